@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from pagemask.llm.dialogues import OP5_SQL, op5_dialogues
 from pagemask.llm.pii import op1_pii
+from pagemask.llm.quality import OP2_SQL, op2_quality
 from pagemask.llm.secrets import op3_secrets
 from pagemask.llm.token_counts import op9_token_counts
 from pagemask.llm.token_files import op8_token_files
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_quality": op2_quality,
     "op3_secrets": op3_secrets,
+    "op5_dialogues": op5_dialogues,
     "op8_token_files": op8_token_files,
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_quality": OP2_SQL, "op5_dialogues": OP5_SQL}
