@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pagemask.llm.bpe import op7_bpe
 from pagemask.llm.dialogues import OP5_SQL, op5_dialogues
 from pagemask.llm.pii import op1_pii
 from pagemask.llm.quality import OP2_SQL, op2_quality
 from pagemask.llm.secrets import op3_secrets
+from pagemask.llm.simhash import op6_simhash
 from pagemask.llm.token_counts import op9_token_counts
 from pagemask.llm.token_files import op8_token_files
 
@@ -14,6 +16,8 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_secrets": op3_secrets,
     "op5_dialogues": op5_dialogues,
+    "op6_simhash": op6_simhash,
+    "op7_bpe": op7_bpe,
     "op8_token_files": op8_token_files,
     "op9_token_counts": op9_token_counts,
 }
