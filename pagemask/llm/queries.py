@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pagemask.llm.bpe import op7_bpe
+from pagemask.llm.decontaminate import op10_decontaminate
 from pagemask.llm.dialogues import OP5_SQL, op5_dialogues
 from pagemask.llm.pii import op1_pii
 from pagemask.llm.quality import OP2_SQL, op2_quality
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_bpe": op7_bpe,
     "op8_token_files": op8_token_files,
     "op9_token_counts": op9_token_counts,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_quality": OP2_SQL, "op5_dialogues": OP5_SQL}
