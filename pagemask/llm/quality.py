@@ -39,14 +39,15 @@ def _features(rows: DataFrame, window: int) -> DataFrame:
         lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(window), i - acc["last"])).alias("n")),
         lambda acc: acc["n"],
     )
-    return d.select(
-        *rows.columns,
+    found = F.struct(
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
+    # A generator, so that a filter on a feature isn't pushed below it and evaluated with all its inputs for each element.
+    return d.select(*rows.columns, F.inline(F.array(found)))
 
 
 def _line_rows(rows: DataFrame) -> DataFrame:
@@ -63,14 +64,15 @@ def frequent_lines(rows: DataFrame, line_limit: int) -> DataFrame:
     return once.groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > line_limit)
 
 
-def quality_rules(docs: DataFrame, line_limit: int = 20, min_share: float = 0.2, window: int = 8, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def quality_rules(docs: DataFrame, line_limit: int = 20, min_share: float = 0.2, window: int = 8, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", carry: bool = False) -> DataFrame:
     """One row per input row: doc_id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_lines (indexes of
     lines that are boilerplate in the document's host), removed_words, base_failed and kept.
 
     Null and empty texts have no words and fail. A null host is a host of its own; rows with null ids are told apart by
-    their texts; repeated rows each give a row with the same verdict. Other columns are not read.
+    their texts; repeated rows each give a row with the same verdict. Other columns are read only with `carry`, which adds the
+    whole input row as the struct `row`.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(host_col).cast("string").alias("host"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(host_col).cast("string").alias("host"), *([F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if carry else []))
     rows = rows.withColumns({"th": F.xxhash64("text"), "tn": F.octet_length("text")})
     salt = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(SALTS))
     often = frequent_lines(rows, line_limit).select(F.col("host").alias("_host"), F.col("line").alias("_line"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
@@ -85,6 +87,7 @@ def quality_rules(docs: DataFrame, line_limit: int = 20, min_share: float = 0.2,
         "doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"), gone.cast("long").alias("removed_words"),
         failed.alias("base_failed"), (~failed & ((gone == 0) | (F.col("n_words") - gone >= F.lit(min_share) * F.col("n_words")))).alias("kept"),
+        *(["row"] if carry else []),
     )
 
 

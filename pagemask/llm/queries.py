@@ -9,6 +9,7 @@ from pagemask.llm.pii import op1_pii
 from pagemask.llm.quality import OP2_SQL, op2_quality
 from pagemask.llm.secrets import op3_secrets
 from pagemask.llm.simhash import op6_simhash
+from pagemask.llm.substrings import op4_substrings
 from pagemask.llm.token_counts import op9_token_counts
 from pagemask.llm.token_files import op8_token_files
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
     "op3_secrets": op3_secrets,
+    "op4_substrings": op4_substrings,
     "op5_dialogues": op5_dialogues,
     "op6_simhash": op6_simhash,
     "op7_bpe": op7_bpe,

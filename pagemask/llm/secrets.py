@@ -132,6 +132,28 @@ def find_secrets(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", tex
     return id_and_text(docs, id_col, text_col).mapInArrow(scan, f"doc_id long, spans {SPANS}")
 
 
+def mask_secrets(docs: DataFrame, model: np.ndarray, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
+    """docs with each secret in the text replaced by a mask (overlapping ones by one); nulls stay null, other columns as they are."""
+    at = docs.columns.index(text_col)
+
+    def clean(text: str | None) -> str | None:
+        if text is None:
+            return None
+        out, done = [], 0
+        for _, s, e in find_spans(text, model):
+            if s >= done:
+                out += [text[done:s], mask]
+            done = max(done, e)
+        return "".join(out) + text[done:]
+
+    def scan(batches):
+        for b in batches:
+            column = pa.array([clean(t) for t in b.column(at).to_pylist()], pa.string())
+            yield b.set_column(at, pa.field(text_col, pa.string()), column)
+
+    return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(scan, docs.withColumn(text_col, F.col(text_col).cast("string")).schema)
+
+
 def op3_secrets(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return span_digest(find_secrets(docs, train(docs)), BASE)

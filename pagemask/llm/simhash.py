@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemask.llm.common import batches_of, id_and_text, materialize, texts
+from pagemask.llm.common import id_and_text, materialize
 from pagemask.llm.components import components
 
 #: Rows of one trie above which it is split, and pairs of trie nodes held at once.
@@ -43,13 +43,14 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a signed long), one row per input row."""
+    """doc_id, th (Spark's hash of the text) and fp (the fingerprint's 64 bits as a signed long), one row per input row."""
 
     def scan(batches):
-        rows = ((i, int(np.uint64(fingerprint(t, words)).astype(np.int64))) for i, t in texts(batches))
-        yield from batches_of({"doc_id": pa.int64(), "fp": pa.int64()}, rows)
+        for b in batches:
+            fp = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp)], names=["doc_id", "th", "fp"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(scan, "doc_id long, fp long")
+    return id_and_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text")).mapInArrow(scan, "doc_id long, th long, fp long")
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
@@ -190,7 +191,8 @@ def links(nodes: DataFrame, errors: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, errors: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp and component_id: the smallest doc_id that is reachable over links of at most `errors` differing bits.
+    """doc_id, th, fp, root (a fingerprint that names the component) and component_id: the smallest doc_id that is reachable over
+    links of at most `errors` differing bits.
 
     One row per input row. Null and empty texts have the fingerprint 0. Rows with a null id take part; their component's id is the
     smallest id that isn't null, or null. Repeated rows and equal texts share a component. Other columns are not read.
@@ -200,8 +202,17 @@ def near_duplicates(docs: DataFrame, words: int = 3, errors: int = 3, id_col: st
     roots = components(links(nodes.select("fp"), errors))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"))
-    classes = rooted.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id")
-    return prints.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    classes = rooted.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "root", "component_id")
+    return prints.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "th", "fp", "root", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 3, errors: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: that of the smallest id (null last), of one id that of the smallest text hash."""
+    found = near_duplicates(docs, words, errors, id_col, text_col)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th")).alias("at")).select(F.col("at.doc_id").alias("_id"), F.col("at.th").alias("_th"))
+    th = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    kept = docs.withColumn("_key", th).join(first, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")), "left_semi")
+    return kept.dropDuplicates([id_col, "_key"]).drop("_key")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
