@@ -28,14 +28,28 @@ def lines_of(text: str) -> list[str] | None:
 
 
 class Cache(dict):
-    """A dictionary that computes what it misses and keeps up to `most` entries, then starts anew."""
+    """A dictionary that computes what it misses. It holds two generations of `most` / 2 entries: what is used again stays."""
 
     def __init__(self, compute, most: int = 600_000):
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.most, self.old = compute, most // 2, {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        self[key] = value = self.compute(key)
+        self[key] = value
+
+    def find(self, key):
+        """The value if it is held, else None."""
+        value = self.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
         return value

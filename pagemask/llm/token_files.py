@@ -134,26 +134,36 @@ class Reader:
 
 
 def encoder(path: str):
-    """encode(text) -> uint32 ids as the library gives them, by way of caches of words and word pieces."""
+    """encode(text) -> uint32 ids as the library gives them, by way of caches of words."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ["RAYON_NUM_THREADS"] = "1"
-    import public_tokenizers
-    import regex
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
     special = [x.content for x in t.get_added_tokens_decoder().values()]
-    pieces_of = regex.compile(public_tokenizers.PATTERN).findall
 
     def library(text: str) -> bytes:
         return np.array(t.encode(text, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
 
-    piece = Cache(library)
-    first = Cache(lambda w: b"".join([piece[p] for p in pieces_of(w)]))
-    later = Cache(lambda w: b"".join([piece[p] for p in pieces_of(" " + w)]))
-    break_ = library("\n")
+    first, spaced, broken = Cache(library), Cache(None), Cache(None)  # first words of texts, words after a space, words after a line break
+
+    def fill(missed: list[list[str]]) -> list[dict[str, bytes]]:
+        """The ids of all missed words of a text, by one call of the library."""
+        parts = [sep + w for sep, words in zip(" \n", missed) for w in words]
+        starts = np.cumsum([0, *map(len, parts)])[:-1]
+        e = t.encode("".join(parts), add_special_tokens=False)
+        ids = np.array(e.ids, dtype=np.uint32)
+        ends = np.searchsorted([s for s, _ in e.offsets], [*starts[1:].tolist(), 1 << 60])
+        values = [ids[i:j].tobytes() for i, j in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        n = len(missed[0])
+        out = [dict(zip(missed[0], values[:n])), dict(zip(missed[1], values[n:]))]
+        for cache, found in zip((spaced, broken), out):
+            for k, v in found.items():
+                cache.put(k, v)
+        return out
+
     # The pattern must be the tokenizer's own; this file's description is checked, not assumed.
     kind = __import__("json").loads(t.to_str())
     cached = kind["normalizer"] is None and kind["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
@@ -162,13 +172,22 @@ def encoder(path: str):
         lines = lines_of(text) if cached and not any(s in text for s in special) else None
         if lines is None:
             return np.frombuffer(library(text), np.uint32)
-        out: list[bytes] = []
+        heads, keys, values = [], [], []
         for line in lines:
             words = line.split(" ")
-            out.append(first[words[0]])
-            out += [later[w] for w in words[1:]]
-            out.append(break_)
-        out.pop()
+            heads.append(words[0])
+            keys.append(words)
+            values.append([b"", *map(spaced.get, words[1:])])
+        breaks = [b"", *map(broken.find, heads[1:])]
+        missed = [list({w for ws, vs in zip(keys, values) for w, v in zip(ws, vs) if v is None and spaced.find(w) is None}), list({w for w, v in zip(heads, breaks) if v is None})]
+        new = fill(missed) if missed[0] or missed[1] else [{}, {}]
+        out: list[bytes] = [first[heads[0]]]
+        for i, (words, found) in enumerate(zip(keys, values)):
+            if i:
+                out.append(breaks[i] if breaks[i] is not None else new[1][heads[i]])
+            if None in found:
+                found = [v if v is not None else new[0].get(w) or spaced.find(w) or library(" " + w) for w, v in zip(words, found)]
+            out += found
         return np.frombuffer(b"".join(out), np.uint32)
 
     return encode, t.get_vocab_size()
@@ -203,26 +222,6 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
     return [(r["file"], r["rows"], r["ids"]) for r in sorted(written, key=lambda r: r["k"])]
 
 
-def read_token_files(spark, files: list[tuple[str, int, int]]) -> DataFrame:
-    """doc_id, start (ids of all earlier documents), ids, from files in order; one task per file."""
-    base, rows = 0, []
-    for f, _, n in files:
-        rows.append((f, base))
-        base += n
-
-    def read(batches):
-        def each():
-            for b in batches:
-                for f, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    for d, start, ids in Reader(f).documents():
-                        yield d, base + start, ids
-
-        yield from batches_of({"doc_id": pa.int64(), "start": pa.int64(), "ids": pa.list_(pa.uint32())}, each(), 500)
-
-    frame = spark.createDataFrame(rows, "file string, base long").repartition(max(1, len(rows)))
-    return frame.mapInArrow(lambda b: (x.set_column(2, pa.field("ids", pa.list_(pa.int64())), x.column(2).cast(pa.list_(pa.int64()))) for x in read(b)), "doc_id long, start long, ids array<long>")
-
-
 def checksums(spark, files: list[tuple[str, int, int]]) -> DataFrame:
     """doc_id, start, n_tokens and the CRC-32 of the ids as little-endian uint32, from the files."""
     base, rows = 0, []
