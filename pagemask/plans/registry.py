@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+from pagemask.plans import scan_queries, search_queries
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _m in (search_queries, scan_queries):
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
 
 
 def flagship(spark, sf_dir: str):
-    raise NotImplementedError
+    """Wildcard search with context over all pages, rolled up per file and term."""
+    from pyspark.sql import functions as F
+
+    from pagemask.functions.text import sentence_context
+    from pagemask.operators.search import wildcard_matches
+    from pagemask.sources.layout import Views
+
+    v = Views(spark, sf_dir)
+    hits = wildcard_matches(v.pages, v.terms).withColumn("context", sentence_context(F.col("text"), F.col("start"), F.col("stop")))
+    return hits.groupBy("file_name", "term").agg(F.count("*").alias("n_hits"), F.sum(F.length("context")).alias("context_chars"))
