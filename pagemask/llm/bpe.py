@@ -26,6 +26,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+#: Pieces up to SHARED bytes share a table of at most KNOWN prefixes.
+SHARED = 64
+KNOWN = 400_000
+
+
 class Bpe:
     """A vocabulary of ranks; a token's rank is its id and the order of its merge."""
 
@@ -35,6 +40,7 @@ class Bpe:
         self.longest = max(map(len, ranks))
         self._pairs: dict[tuple[int, int], bool] = Cache(lambda p: self.merge(self.tokens[p[0]] + self.tokens[p[1]]) == list(p), 1_000_000)
         self._whole: dict[int, bool] = Cache(lambda t: self.merge(self.tokens[t]) == [t], 1_000_000)
+        self.known: dict[bytes, int] = {}  # prefixes that texts share, and their last tokens; holds all prefixes of what it holds
 
     def merge(self, data: bytes) -> list[int]:
         """The definition: merge the pair of lowest rank, the leftmost of equals, until none is left."""
@@ -72,8 +78,31 @@ class Bpe:
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one piece: a piece that is a token is that token, as the library has it."""
-        t = self.ranks.get(piece)
-        return [t] if t is not None else self.read_back(self.prefixes(piece))
+        get = self.ranks.get
+        if (t := get(piece)) is not None:
+            return [t]
+        if len(piece) > SHARED:
+            return self.read_back(self.prefixes(piece))
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        known, pairs, longest, n = self.known, self._pairs, self.longest, len(piece)
+        end = n
+        while end and piece[:end] not in known:
+            end -= 1
+        while end < n:  # the table grows by the prefixes that no earlier piece had
+            end += 1
+            for start in range(max(0, end - longest), end):
+                t = get(piece[start:end])
+                if t is not None and (pairs[known[piece[:start]], t] if start else self._whole[t]):
+                    known[piece[:end]] = t
+                    break
+            else:
+                raise ValueError("bytes that no token covers")
+        ids = []
+        while n:
+            ids.append(t := known[piece[:n]])
+            n -= len(self.tokens[t])
+        return ids[::-1]
 
     def append(self, data: bytes, last: list[int], more: bytes) -> bytes:
         """data + more; `last` gets the new prefixes' entries."""
@@ -104,9 +133,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         import regex
 
         bpe, pieces_of = Bpe(read_ranks(path)), regex.compile(pattern).findall
-        piece = Cache(lambda p: np.array(bpe.encode(p.encode()), dtype=np.int32).tobytes(), 300_000)
+        piece = Cache(lambda p: np.array(bpe.encode(p.encode()), dtype=np.int32).tobytes(), 600_000)
         first = Cache(lambda w: b"".join([piece[p] for p in pieces_of(w)]), 300_000)
-        later = Cache(lambda w: b"".join([piece[p] for p in pieces_of(" " + w)]), 300_000)
+        later = Cache(lambda w: b"".join([piece[p] for p in pieces_of(" " + w)]), 600_000)
 
         def ids(text: str) -> np.ndarray:
             lines = lines_of(text)
