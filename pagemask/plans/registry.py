@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from pagemask.plans import scan_queries, search_queries
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-for _m in (search_queries, scan_queries):
-    QUERIES |= _m.QUERIES
-    ORACLES |= _m.ORACLES
+from pagemask.plans import scan_queries, search_queries, state_queries  # noqa: F401  they fill the registry
+from pagemask.plans.register import ORACLES, QUERIES
 
 
 def flagship(spark, sf_dir: str):

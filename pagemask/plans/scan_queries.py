@@ -8,22 +8,10 @@ from pyspark.sql import functions as F
 from pagemask.functions.text import clean_token
 from pagemask.operators import doses, gaps
 from pagemask.plans.search_queries import _UNDER
-from pagemask.plans.views_sql import VIEWS, with_views
+from pagemask.plans.register import query
+from pagemask.plans.views_sql import VIEWS
 from pagemask.sources.layout import Views
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, views: str = "", sql: str | None = None):
-    def register(f):
-        QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
-        if sql is not None:
-            ORACLES[name] = with_views(views, sql) if views else sql
-        return f
-
-    return register
-
 
 VIEWS["notes"] = ([], """
   n0 AS (SELECT *, l_quantity::INT AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM lineitem),

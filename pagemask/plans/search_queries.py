@@ -6,24 +6,9 @@ from pyspark.sql import functions as F
 
 from pagemask.functions import text as tx
 from pagemask.operators import search as op
-from pagemask.plans.views_sql import with_views
+from pagemask.plans.register import query
 from pagemask.sources.layout import Views, word_offsets
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, views: str = "", sql: str | None = None):
-    """Registers a function of Views as the query `name`."""
-
-    def register(f):
-        QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
-        if sql is not None:
-            ORACLES[name] = with_views(views, sql) if views else sql
-        return f
-
-    return register
-
 
 query("s2_words", "words", "SELECT * FROM words")(lambda v: v.words)
 query("s3_page_text", "pages", "SELECT * FROM pages_t")(lambda v: v.pages)
