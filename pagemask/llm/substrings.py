@@ -31,7 +31,7 @@ from pagemask.llm.common import batches_of, materialize
 
 GRAM = 32
 #: Bytes that are hashed at once: position bits of a sampled key.
-CHUNK_BITS = 21
+CHUNK_BITS = 18
 NO_ID = (1 << 63) - 1  # a null id sorts last
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
