@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import io
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +124,38 @@ class Bpe:
         return changed, out, len(changed) - start
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str, pattern: str):
+    """ids(text) -> int32 array, by way of caches of words. One for each worker process, over all its tasks."""
+    import regex
+
+    bpe, pieces_of = Bpe(read_ranks(path)), regex.compile(pattern).findall
+    piece = Cache(lambda p: np.array(bpe.encode(p.encode()), dtype=np.int32).tobytes())
+    first = Cache(lambda w: b"".join([piece[p] for p in pieces_of(w)]), 100_000)
+    later = Cache(lambda w: b"".join([piece[p] for p in pieces_of(" " + w)]))
+
+    def ids(text: str) -> np.ndarray:
+        lines = lines_of(text)
+        if lines is None:
+            return np.frombuffer(b"".join([piece[p] for p in pieces_of(text)]), np.int32)
+        out: list[bytes] = []
+        for line in lines:
+            words = line.split(" ")
+            out.append(first[words[0]])
+            out += [later[w] for w in words[1:]]
+            out.append(piece["\n"])
+        out.pop()
+        return np.frombuffer(b"".join(out), np.int32)
+
+    return ids
+
+
+@lru_cache(maxsize=1)
+def vocabulary(path: str) -> dict[int, bytes]:
+    """Bytes of each id."""
+    return {i: t for t, i in read_ranks(path).items()}
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids array<int>, one row per input row. Each match of the pattern is encoded by itself; no special tokens.
 
@@ -130,26 +163,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """
 
     def scan(batches):
-        import regex
-
-        bpe, pieces_of = Bpe(read_ranks(path)), regex.compile(pattern).findall
-        piece = Cache(lambda p: np.array(bpe.encode(p.encode()), dtype=np.int32).tobytes(), 600_000)
-        first = Cache(lambda w: b"".join([piece[p] for p in pieces_of(w)]), 300_000)
-        later = Cache(lambda w: b"".join([piece[p] for p in pieces_of(" " + w)]), 600_000)
-
-        def ids(text: str) -> np.ndarray:
-            lines = lines_of(text)
-            if lines is None:
-                return np.frombuffer(b"".join([piece[p] for p in pieces_of(text)]), np.int32)
-            out: list[bytes] = []
-            for line in lines:
-                words = line.split(" ")
-                out.append(first[words[0]])
-                out += [later[w] for w in words[1:]]
-                out.append(piece["\n"])
-            out.pop()
-            return np.frombuffer(b"".join(out), np.int32)
-
+        ids = encoder(path, pattern)
         yield from batches_of({"doc_id": pa.int64(), "ids": pa.list_(pa.int32())}, ((i, ids(t)) for i, t in texts(batches)), 500)
 
     return id_and_text(docs, id_col, text_col).mapInArrow(scan, "doc_id long, ids array<int>")
@@ -159,9 +173,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and the bytes that the ids stand for. A null array gives null bytes."""
 
     def scan(batches):
-        ranks = read_ranks(path)
-        order = sorted(ranks, key=ranks.get)
-        by_id = dict(zip((ranks[t] for t in order), order))
+        by_id = vocabulary(path)
 
         def of(ids: np.ndarray) -> bytes:
             out = io.BytesIO()

@@ -15,6 +15,7 @@ import os
 import struct
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -133,8 +134,9 @@ class Reader:
             yield d, start, held[start - low : end - low]
 
 
+@lru_cache(maxsize=1)
 def encoder(path: str):
-    """encode(text) -> uint32 ids as the library gives them, by way of caches of words."""
+    """encode(text) -> uint32 ids as the library gives them, by way of caches of words. One for each worker process, over all its tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ["RAYON_NUM_THREADS"] = "1"
     from tokenizers import Tokenizer
