@@ -60,18 +60,20 @@ def sequence(a: str, b: str) -> float:
 
 
 def cell(a: str, b: str) -> float:
-    """Similarity of two cells from 0 to 1: equal, contained, shared tokens (three and more), else the better of both ratios."""
-    x, y = a.strip().lower(), b.strip().lower()
+    """Similarity of two cells from 0 to 1: equal, contained, half of the tokens shared (three tokens on a side), else the better ratio."""
+    x, y = " ".join(a.lower().split()), " ".join(b.lower().split())
     if not x or not y:
-        return 1.0 if x == y else 0.0
+        return 0.0
     if x == y:
         return 1.0
     if x in y or y in x:
         return 0.95
     tx, ty = set(x.split()), set(y.split())
-    if min(len(tx), len(ty)) >= 3 and (share := len(tx & ty) / max(len(tx), len(ty))) >= 0.5:
-        return share
-    return max(indel(x, y), partial(x, y) if min(len(x), len(y)) >= 3 else 0.0) / 100.0
+    share = len(tx & ty) / max(len(tx), len(ty))
+    if max(len(tx), len(ty)) >= 3 and share >= 0.5:
+        return min(1.0, 0.5 + share / 2)
+    near = partial(x, y) / 100.0
+    return near if near >= 0.85 else max(near, indel(x, y) / 100.0)
 
 
 def _udf(f):

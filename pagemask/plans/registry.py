@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemask.plans import detect_queries, scan_queries, search_queries, state_queries  # noqa: F401  they fill the registry
+from pagemask.plans import detect_queries, io_queries, scan_queries, search_queries, state_queries, transfer_queries  # noqa: F401  they fill the registry
 from pagemask.plans.register import ORACLES, QUERIES
 
 

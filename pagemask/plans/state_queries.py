@@ -27,12 +27,12 @@ def verdicts(v):
     return v.boxes.withColumns({"verdict": verdict, "confidence": (F.col("seq") % 100) / 100.0, "n_sources": (F.col("seq") % 3).cast("int")})
 
 
-def actions(v):
-    e = v.table("events")
+def actions(e):
+    """An action log of the events table (or of a stream of it)."""
     k = F.col("event_id") % 5
     return e.select(
         F.col("event_id").alias("seq"), F.when(k.isin(0, 4), "add").when(k == 2, "remove").otherwise("edit").alias("action"),
-        F.concat(F.lit("doc_"), (F.col("user_id") % 50).cast("string"), F.lit(".pdf")).alias("file_name"), F.concat(F.lit("b"), (F.col("event_id") * 7 % 97).cast("string")).alias("box_id"),
+        F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("doc_"), (F.col("user_id") % 50).cast("string"), F.lit(".pdf")).alias("file_name"), F.concat(F.lit("b"), (F.col("event_id") * 7 % 97).cast("string")).alias("box_id"),
         (F.col("event_id") % 9 + 1).cast("int").alias("page"), F.col("value").alias("x"), (F.col("value") + 1).alias("y"), (F.col("event_id") % 50 + 1).cast("double").alias("w"), F.lit(10.0).alias("h"),
     )
 
@@ -93,7 +93,7 @@ query("r7_repeat_boxes", "boxes files", "SELECT b.id, unnest(range(1, total_page
 query("r8_replay", "actions", """
 WITH e AS (SELECT file_name, box_id, max(seq) FILTER (action = 'add') AS a, max(seq) FILTER (action = 'remove') AS r FROM actions GROUP BY ALL),
 l AS (SELECT x.* FROM actions x JOIN e USING (file_name, box_id) WHERE e.a > coalesce(e.r, -1) AND x.seq >= e.a AND x.action IN ('add', 'edit'))
-SELECT file_name, box_id, arg_max(page, seq) AS page, arg_max(x, seq) AS x, arg_max(y, seq) AS y, arg_max(w, seq) AS w, arg_max(h, seq) AS h, max(seq) AS seq FROM l GROUP BY ALL""")(lambda v: st.replay_actions(actions(v)))
+SELECT file_name, box_id, arg_max(page, seq) AS page, arg_max(x, seq) AS x, arg_max(y, seq) AS y, arg_max(w, seq) AS w, arg_max(h, seq) AS h, max(seq) AS seq FROM l GROUP BY ALL""")(lambda v: st.replay_actions(actions(v.table("events"))))
 query("r9_batch_bounds", "boxes", "SELECT file_name, page, batch_id AS batch, count(*) AS n, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + h) AS y1 FROM boxes GROUP BY ALL")(lambda v: st.batch_bounds(v.boxes))
 query("r10_disclosure_rollup", "verdicts", """
 WITH g AS (SELECT file_name, batch_id AS batch, arg_min(page, seq) AS page, arg_min(match, seq) AS match, arg_min(term, seq) AS source, string_agg(context, '   |   ' ORDER BY seq) AS context,
