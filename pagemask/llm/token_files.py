@@ -29,6 +29,8 @@ from pagemask.llm.pretokens import Cache, lines_of
 
 MAGIC = b"PMTOK01\n"
 BLOCK = 4096
+#: Words in a worker's cache, some 200 bytes each.
+WORDS = 1_200_000
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -149,7 +151,7 @@ def encoder(path: str):
     def library(text: str) -> bytes:
         return np.array(t.encode(text, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
 
-    first, spaced, broken = Cache(library), Cache(None), Cache(None)  # first words of texts, words after a space, words after a line break
+    first, spaced, broken = Cache(library, 50_000), Cache(None, WORDS), Cache(None, 100_000)  # first words of texts, words after a space, words after a line break
 
     def fill(missed: list[list[str]]) -> list[dict[str, bytes]]:
         """The ids of all missed words of a text, by one call of the library."""
@@ -182,7 +184,13 @@ def encoder(path: str):
             values.append([b"", *map(spaced.get, words[1:])])
         breaks = [b"", *map(broken.find, heads[1:])]
         missed = [list({w for ws, vs in zip(keys, values) for w, v in zip(ws, vs) if v is None and spaced.find(w) is None}), list({w for w, v in zip(heads, breaks) if v is None})]
+        # letters and one full stop or comma are two pieces: such a word needs no call of its own if its letters are known
+        ended = {w: w[:-1] for w in missed[0] if w[-1] in ".," and w[:-1].isalpha()}
+        missed[0] = list({w for w in (ended.get(w, w) for w in missed[0]) if spaced.find(w) is None})
         new = fill(missed) if missed[0] or missed[1] else [{}, {}]
+        for w, letters in ended.items():
+            new[0][w] = (new[0].get(letters) or spaced.find(letters) or library(" " + letters)) + first[w[-1]]
+            spaced.put(w, new[0][w])
         out: list[bytes] = [first[heads[0]]]
         for i, (words, found) in enumerate(zip(keys, values)):
             if i:
