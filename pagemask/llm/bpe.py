@@ -29,7 +29,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 #: Pieces up to SHARED bytes share a table of at most KNOWN prefixes.
 SHARED = 64
-KNOWN = 400_000
+KNOWN = 200_000
 
 
 class Bpe:
@@ -39,8 +39,8 @@ class Bpe:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self._pairs: dict[tuple[int, int], bool] = Cache(lambda p: self.merge(self.tokens[p[0]] + self.tokens[p[1]]) == list(p), 1_000_000)
-        self._whole: dict[int, bool] = Cache(lambda t: self.merge(self.tokens[t]) == [t], 1_000_000)
+        self._pairs: dict[tuple[int, int], bool] = Cache(lambda p: self.merge(self.tokens[p[0]] + self.tokens[p[1]]) == list(p), 300_000)
+        self._whole: dict[int, bool] = Cache(lambda t: self.merge(self.tokens[t]) == [t], 100_000)
         self.known: dict[bytes, int] = {}  # prefixes that texts share, and their last tokens; holds all prefixes of what it holds
 
     def merge(self, data: bytes) -> list[int]:
@@ -130,9 +130,9 @@ def encoder(path: str, pattern: str):
     import regex
 
     bpe, pieces_of = Bpe(read_ranks(path)), regex.compile(pattern).findall
-    piece = Cache(lambda p: np.array(bpe.encode(p.encode()), dtype=np.int32).tobytes())
-    first = Cache(lambda w: b"".join([piece[p] for p in pieces_of(w)]), 100_000)
-    later = Cache(lambda w: b"".join([piece[p] for p in pieces_of(" " + w)]))
+    piece = Cache(lambda p: np.array(bpe.encode(p.encode()), dtype=np.int32).tobytes(), 300_000)
+    first = Cache(lambda w: b"".join([piece[p] for p in pieces_of(w)]), 30_000)
+    later = Cache(lambda w: b"".join([piece[p] for p in pieces_of(" " + w)]), 400_000)
 
     def ids(text: str) -> np.ndarray:
         lines = lines_of(text)
