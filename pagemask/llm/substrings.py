@@ -19,7 +19,6 @@ windows have equal anchors at equal offsets, and each window belongs to one anch
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa
