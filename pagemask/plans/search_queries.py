@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagemask.functions import text as tx
 from pagemask.operators import search as op
 from pagemask.plans.register import query
-from pagemask.sources.layout import Views, word_offsets
+from pagemask.sources.layout import word_offsets
 
 
 query("s2_words", "words", "SELECT * FROM words")(lambda v: v.words)
