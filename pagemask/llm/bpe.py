@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemask.llm.common import batches_of, id_and_text, texts
+from pagemask.llm.common import batches_of, id_and_text, small_batches, texts
 from pagemask.llm.pretokens import Cache, lines_of
 
 
@@ -156,6 +156,13 @@ def vocabulary(path: str) -> dict[int, bytes]:
     return {i: t for t, i in read_ranks(path).items()}
 
 
+def joined(by_id: dict[int, bytes], ids: np.ndarray) -> bytes:
+    """The bytes that ids stand for, one after the other."""
+    out = io.BytesIO()
+    out.writelines(map(by_id.__getitem__, ids.tolist()))
+    return out.getvalue()
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids array<int>, one row per input row. Each match of the pattern is encoded by itself; no special tokens.
 
@@ -166,6 +173,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         ids = encoder(path, pattern)
         yield from batches_of({"doc_id": pa.int64(), "ids": pa.list_(pa.int32())}, ((i, ids(t)) for i, t in texts(batches)), 500)
 
+    small_batches(docs.sparkSession)
     return id_and_text(docs, id_col, text_col).mapInArrow(scan, "doc_id long, ids array<int>")
 
 
@@ -174,26 +182,40 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def scan(batches):
         by_id = vocabulary(path)
-
-        def of(ids: np.ndarray) -> bytes:
-            out = io.BytesIO()
-            out.writelines(map(by_id.__getitem__, ids.tolist()))
-            return out.getvalue()
-
         for b in batches:
             lists = b.column(1)
             flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             null = lists.is_null().to_pylist()
-            decoded = [None if z else of(flat[s:e]) for z, s, e in zip(null, ends[:-1], ends[1:])]
+            decoded = [None if z else joined(by_id, flat[s:e]) for z, s, e in zip(null, ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(scan, "doc_id long, ids array<int>, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids and decoded: what decode(encode(docs)) gives, in one pass, so that a task has one Python worker and one set of caches.
+
+    Rows are as encode has them; decoded is made from the ids alone.
+    """
+
+    def scan(batches):
+        ids, by_id = encoder(path, pattern), vocabulary(path)
+
+        def rows():
+            for i, t in texts(batches):
+                found = ids(t)
+                yield i, found, joined(by_id, found)
+
+        yield from batches_of({"doc_id": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.binary()}, rows(), 250)
+
+    small_batches(docs.sparkSession)
+    return id_and_text(docs, id_col, text_col).mapInArrow(scan, "doc_id long, ids array<int>, decoded binary")
+
+
 def op7_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    both = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.PATTERN), path)
+    both = round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.PATTERN)
     ids = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

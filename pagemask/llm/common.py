@@ -33,6 +33,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the session's rows of an Arrow batch where it has more: a task holds a few batches of whole texts at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def drop_dir(spark: SparkSession, path: str) -> None:
     """Removes a folder that shared_dir named."""
     jvm = spark.sparkContext._jvm
