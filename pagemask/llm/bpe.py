@@ -29,7 +29,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 #: Pieces up to SHARED bytes share a table of at most KNOWN prefixes.
 SHARED = 64
-KNOWN = 200_000
+KNOWN = 300_000
 
 
 class Bpe:
@@ -39,18 +39,22 @@ class Bpe:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self._pairs: dict[tuple[int, int], bool] = Cache(lambda p: self.merge(self.tokens[p[0]] + self.tokens[p[1]]) == list(p), 300_000)
+        self._pairs: dict[tuple[int, int], bool] = Cache(lambda p: self.merge(self.tokens[p[0]] + self.tokens[p[1]]) == list(p), 400_000)
         self._whole: dict[int, bool] = Cache(lambda t: self.merge(self.tokens[t]) == [t], 100_000)
         self.known: dict[bytes, int] = {}  # prefixes that texts share, and their last tokens; holds all prefixes of what it holds
 
     def merge(self, data: bytes) -> list[int]:
         """The definition: merge the pair of lowest rank, the leftmost of equals, until none is left."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(a + b, len(self.ranks) + 1 << 32), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank > len(self.ranks) + (1 << 31):
-                break
+        get, none = self.ranks.get, 1 << 62
+        parts, ranks = [data[i : i + 1] for i in range(len(data))], [get(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while ranks and (least := min(ranks)) != none:
+            i = ranks.index(least)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(ranks):
+                ranks[i] = get(parts[i] + parts[i + 1], none)
         return [self.ranks[p] for p in parts]
 
     def last_token(self, data: bytes, end: int, last: list[int]) -> int:
@@ -130,9 +134,9 @@ def encoder(path: str, pattern: str):
     import regex
 
     bpe, pieces_of = Bpe(read_ranks(path)), regex.compile(pattern).findall
-    piece = Cache(lambda p: np.array(bpe.encode(p.encode()), dtype=np.int32).tobytes(), 300_000)
+    piece = Cache(lambda p: np.array(bpe.encode(p.encode()), dtype=np.int32).tobytes(), 500_000)
     first = Cache(lambda w: b"".join([piece[p] for p in pieces_of(w)]), 30_000)
-    later = Cache(lambda w: b"".join([piece[p] for p in pieces_of(" " + w)]), 400_000)
+    later = Cache(lambda w: b"".join([piece[p] for p in pieces_of(" " + w)]), 600_000)
 
     def ids(text: str) -> np.ndarray:
         lines = lines_of(text)
