@@ -206,15 +206,20 @@ def near_duplicates(docs: DataFrame, words: int = 3, errors: int = 3, id_col: st
     return prints.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "th", "fp", "root", "component_id")
 
 
-def without_near_duplicates(docs: DataFrame, words: int = 3, errors: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the smallest id (null last), of one id that of the smallest text hash."""
-    found = near_duplicates(docs, words, errors, id_col, text_col)
+def first_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each root of found (doc_id, th, root): that of the smallest id (null last), of one id that of the
+    smallest text hash."""
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th")).alias("at")).select(F.col("at.doc_id").alias("_id"), F.col("at.th").alias("_th"))
     th = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     kept = docs.withColumn("_key", th).join(first, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")), "left_semi")
     return kept.dropDuplicates([id_col, "_key"]).drop("_key")
 
 
+def without_near_duplicates(docs: DataFrame, words: int = 3, errors: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component of near_duplicates."""
+    return first_of_each(docs, near_duplicates(docs, words, errors, id_col, text_col), id_col, text_col)
+
+
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
