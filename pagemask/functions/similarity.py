@@ -59,6 +59,12 @@ def sequence(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
+def sequence_from(a: str, b: str, threshold: float) -> float:
+    """`sequence` where it can reach the threshold; 0 where one of its upper bounds is below it."""
+    m = SequenceMatcher(None, a, b)
+    return m.ratio() if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold else 0.0
+
+
 def cell(a: str, b: str) -> float:
     """Similarity of two cells from 0 to 1: equal, contained, half of the tokens shared (three tokens on a side), else the better ratio."""
     x, y = " ".join(a.lower().split()), " ".join(b.lower().split())
@@ -85,3 +91,8 @@ def _udf(f):
 
 
 seq_ratio, indel_ratio, partial_ratio, token_set_ratio, cell_similarity = (_udf(f) for f in (sequence, indel, partial, token_set, cell))
+
+
+def seq_ratio_from(threshold: float):
+    """seq_ratio, with 0 for pairs that can't reach the threshold by their length or letters."""
+    return _udf(lambda a, b: sequence_from(a, b, threshold))
