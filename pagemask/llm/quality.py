@@ -3,7 +3,8 @@
 Rules within a document (base): too few words, or too many words in repeated 8-word windows. Across documents: lines are
 normalised (lower case, runs of white space as one space, trimmed) and hashed; a line that occurs in more than `line_limit`
 distinct documents of one host is boilerplate and removed; a document that keeps less than `min_share` of its words is rejected.
-Documents with equal texts count as one document, so that the lines of a copied text aren't taken for boilerplate.
+Documents with equal texts count as one document, so that the lines of a copied text aren't taken for boilerplate; with
+`merge_copies`, so do documents of a host that are near copies of each other line by line.
 """
 
 from __future__ import annotations
@@ -11,9 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemask.llm.common import materialize
+
 SPACE = r"[ \t-\r]+"
 #: Hot lines are spread over so many keys when they meet their documents.
 SALTS = 16
+#: Near copies share lines with so much of the words of the longer one. Keys by which they are found.
+COPY_SHARE = 0.6
+KEYS = 16
 
 
 def _windows(words: Column, n: int) -> Column:
@@ -64,18 +70,51 @@ def frequent_lines(rows: DataFrame, line_limit: int) -> DataFrame:
     return once.groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > line_limit)
 
 
-def quality_rules(docs: DataFrame, line_limit: int = 20, min_share: float = 0.2, window: int = 8, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", carry: bool = False) -> DataFrame:
+def _salted(df: DataFrame, column: str) -> DataFrame:
+    """df with a row for each salt of a hot key's other side."""
+    return df.withColumn(column, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def frequent_lines_of_originals(rows: DataFrame, line_limit: int) -> DataFrame:
+    """frequent_lines, where a text that is a near copy of another text of its host (of lesser hash) doesn't count.
+
+    Only texts with a frequent line are looked at. A text meets the least text of its host with the same least line under each of
+    KEYS hash orders, and is a copy if lines of COPY_SHARE of the longer one's words are common to both: each comparison is exact,
+    and there are KEYS of them a text at most, however large a group is.
+    """
+    lines = _line_rows(rows).withColumn("did", F.xxhash64("host", "th", "tn"))
+    once = lines.select("host", "line", "did").distinct().withColumn("salt", F.pmod(F.xxhash64("did"), F.lit(SALTS)).cast("int"))
+    often = _salted(once.groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > line_limit).select(F.col("host").alias("_host"), F.col("line").alias("_line")), "_salt")
+    hit = once.join(often, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line")) & (F.col("salt") == F.col("_salt"))).select("host", "line", "did")
+    hit = materialize(hit, "frequent-lines")
+    held = hit.select("did").distinct()
+    sets = lines.join(held, "did", "left_semi").groupBy("did", F.xxhash64("host").alias("site")).agg(F.array_sort(F.collect_set(F.struct("line", "words"))).alias("lines"))
+    sets = materialize(sets, "line-sets")
+    keys = F.array(*[F.xxhash64(F.lit(k), F.array_min(F.transform("lines", lambda x, k=k: F.xxhash64(x["line"], F.lit(k))))) for k in range(KEYS)])
+    keyed = sets.select("did", "site", F.explode(keys).alias("key"))
+    first = keyed.groupBy("site", "key").agg(F.min("did").alias("first"))
+    pairs = keyed.withColumn("salt", F.pmod(F.xxhash64("did"), F.lit(SALTS)).cast("int")).join(_salted(first, "salt"), ["site", "key", "salt"]).filter("did <> first").select("did", "first", "salt").distinct()
+    mine = pairs.join(sets.select("did", "lines"), "did")
+    its = _salted(sets.join(pairs.select(F.col("first").alias("did")).distinct(), "did", "left_semi").select(F.col("did").alias("first"), F.col("lines").alias("its")), "salt")
+    words = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + x["words"])
+    same = words(F.array_intersect("lines", "its"))
+    copies = mine.join(its, ["first", "salt"]).filter(same >= F.lit(COPY_SHARE) * F.greatest(words("lines"), words("its"))).select("did").distinct()
+    return hit.join(copies, "did", "left_anti").groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > line_limit)
+
+
+def quality_rules(docs: DataFrame, line_limit: int = 20, min_share: float = 0.2, window: int = 8, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", carry: bool = False, merge_copies: bool = False) -> DataFrame:
     """One row per input row: doc_id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_lines (indexes of
     lines that are boilerplate in the document's host), removed_words, base_failed and kept.
 
     Null and empty texts have no words and fail. A null host is a host of its own; rows with null ids are told apart by
     their texts; repeated rows each give a row with the same verdict. Other columns are read only with `carry`, which adds the
-    whole input row as the struct `row`.
+    whole input row as the struct `row`. With `merge_copies`, near copies of a text don't make its lines boilerplate.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(host_col).cast("string").alias("host"), *([F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if carry else []))
     rows = rows.withColumns({"th": F.xxhash64("text"), "tn": F.octet_length("text")})
     salt = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(SALTS))
-    often = frequent_lines(rows, line_limit).select(F.col("host").alias("_host"), F.col("line").alias("_line"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    found = (frequent_lines_of_originals if merge_copies else frequent_lines)(rows, line_limit)
+    often = found.select(F.col("host").alias("_host"), F.col("line").alias("_line"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     hit = _line_rows(rows).withColumn("salt", salt.cast("int")).join(often, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line")) & (F.col("salt") == F.col("_salt")))
     removed = hit.select("doc_id", "th", "tn", "line_no", "words").distinct().groupBy("doc_id", "th", "tn").agg(
         F.array_sort(F.collect_list("line_no")).alias("removed_lines"), F.sum("words").alias("removed_words")
