@@ -85,7 +85,14 @@ def cell(a: str, b: str) -> float:
 def _udf(f):
     @F.pandas_udf(DoubleType())
     def scored(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else float(f(x, y)) for x, y in zip(a, b)], dtype="float64")
+        known: dict[tuple[str, str], float] = {}  # of this batch: cells and words repeat
+        out = []
+        for pair in zip(a, b):
+            v = known.get(pair)
+            if v is None and None not in pair:
+                v = known[pair] = float(f(*pair))
+            out.append(v)
+        return pd.Series(out, dtype="float64")
 
     return scored
 

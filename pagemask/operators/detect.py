@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemask.functions.geometry import rect
-from pagemask.functions.similarity import seq_ratio
+from pagemask.functions.similarity import seq_ratio_from
 from pagemask.operators.search import find_on_page, group_occurrences
 from pagemask.sources.layout import PAGE, READING
 
@@ -94,11 +94,12 @@ def page_with_tables(pages: DataFrame, tables: DataFrame) -> DataFrame:
 # ---- prompts and model
 
 
-def library_block(library: DataFrame, limit: int = 200) -> DataFrame:
-    """One row: the library as lines of a prompt. A prompt takes `limit` items, the first by text."""
-    line = F.concat(F.lit('- "'), "redacted_text", F.lit('" ['), F.coalesce("category", F.lit("unknown")), F.lit("]"))
-    top = library.select("redacted_text", line.alias("line")).distinct().orderBy("redacted_text", "line").limit(limit)
-    return top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("redacted_text", "line"))), lambda x: x["line"]), "\n").alias("library"))
+def library_block(library: DataFrame) -> DataFrame:
+    """One row: all of the library (a list that people keep by hand) as lines of a prompt: text, context, category and justification."""
+    shown = [(label, F.coalesce(F.col(c), F.lit("")) if c in library.columns else F.lit("")) for label, c in (("Text", "redacted_text"), ("Context", "context"), ("Category", "category"), ("Justification", "justification"))]
+    item = F.concat_ws("\n", *[F.concat(F.lit(("- " if i == 0 else "  ") + label + ': "'), c, F.lit('"')) for i, (label, c) in enumerate(shown)])
+    items = library.select("redacted_text", item.alias("item")).distinct()
+    return items.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("redacted_text", "item"))), lambda x: x["item"]), "\n\n").alias("library"))
 
 
 def build_prompts(chunks: DataFrame, contexts: DataFrame, library: DataFrame, role: str = "You review clinical documents for confidential information.") -> DataFrame:
@@ -214,7 +215,7 @@ def fuzzy_locate(targets: DataFrame, words: DataFrame, threshold: float = 0.8, w
     c = t.join(w, PAGE).select("id", "target", "pos", "run", F.explode(F.sequence(F.lit(1), F.size("run"))).alias("k"))
     c = c.withColumn("run", F.slice("run", 1, F.col("k"))).withColumn("shown", F.lower(F.array_join(F.transform("run", lambda x: x["text"]), " ")))
     a, b = F.length("target"), F.length("shown")
-    c = c.filter(2.0 * F.least(a, b) >= threshold * (a + b)).withColumn("ratio", seq_ratio("target", "shown")).filter(F.col("ratio") >= threshold)
+    c = c.filter(2.0 * F.least(a, b) >= threshold * (a + b)).withColumn("ratio", seq_ratio_from(threshold)("target", "shown")).filter(F.col("ratio") >= threshold)
     best = c.groupBy("id").agg(F.max_by(F.struct("ratio", "run"), F.struct("ratio", -F.col("pos"), -F.col("k"))).alias("b")).select("id", "b.*")
 
     def of(f, field):

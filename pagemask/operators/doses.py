@@ -54,14 +54,16 @@ def has_dose_keyword(context: Column) -> Column:
 
 
 def dose_matches(words: DataFrame, n: int = 8) -> DataFrame:
-    """A row per dose: the first word's row with match, span (1 or 2 tokens) and context: n raw tokens before and after the match.
+    """A row per dose: the first word's row with match, span (1 or 2 tokens), after (the next word's place) and context: n raw tokens before
+    and after the match.
 
     A unit can't begin a match, so matches never overlap and a look at the next word is enough. One shuffle, by page.
     """
     if n < 0:
         raise ValueError("the context can't be negative")
     page = W.partitionBy(*PAGE).orderBy(*READING)
-    w = words.withColumn("clean", clean_token(F.col("text"))).withColumn("next", F.lead("clean").over(page))
+    w = words.withColumn("clean", clean_token(F.col("text")))
+    w = w.withColumns({"next": F.lead("clean").over(page), "after": F.lead(F.struct("block_no", "line_no", "x0", "y0", "x1", "y1")).over(page)})
     around = F.collect_list("text").over(page.rowsBetween(-n, n + 1))
     place = F.row_number().over(page)
     span = F.when(is_combined_dose(F.col("clean")), 1).when(is_amount(F.col("clean")) & is_unit(F.col("next")), 2)
@@ -71,15 +73,13 @@ def dose_matches(words: DataFrame, n: int = 8) -> DataFrame:
     return w.withColumns({"match": F.when(F.col("span") == 1, F.col("clean")).otherwise(F.concat_ws(" ", "clean", "next")), "context": context}).drop("around", "next", "clean")
 
 
-def dose_rects(matches: DataFrame, words: DataFrame) -> DataFrame:
+def dose_rects(matches: DataFrame) -> DataFrame:
     """matches with rects: one rectangle for each visual line that a match touches."""
-    placed = words.withColumn("_at", F.row_number().over(W.partitionBy(*PAGE).orderBy(*READING)))
-    w = placed.select(*[F.col(c).alias("_" + c) for c in [*PAGE, "block_no", "line_no", "x0", "y0", "x1", "y1"]], "_at")
-    hit = matches.select(*PAGE, "place", "span").join(w, (F.col("file_name") == F.col("_file_name")) & (F.col("page") == F.col("_page")) & (F.col("_at") >= F.col("place")) & (F.col("_at") < F.col("place") + F.col("span")))
-    lines = hit.groupBy(*PAGE, "place", "_block_no", "_line_no").agg(F.min("_x0").alias("x0"), F.min("_y0").alias("y0"), F.max("_x1").alias("x1"), F.max("_y1").alias("y1"))
-    ordered = F.array_sort(F.collect_list(F.struct("_block_no", "_line_no", rect(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("r"))))
-    rects = lines.groupBy(*PAGE, "place").agg(F.transform(ordered, lambda x: x["r"]).alias("rects"))
-    return matches.join(rects, [*PAGE, "place"])
+    own, after = [F.col(c) for c in ("x0", "y0", "x1", "y1")], [F.col("after")[c] for c in ("x0", "y0", "x1", "y1")]
+    one_line = (F.col("block_no") == F.col("after")["block_no"]) & (F.col("line_no") == F.col("after")["line_no"])
+    both = rect(*[F.least(a, b) for a, b in zip(own[:2], after[:2])], *[F.greatest(a, b) for a, b in zip(own[2:], after[2:])])
+    rects = F.when(F.col("span") == 1, F.array(rect(*own))).when(one_line, F.array(both)).otherwise(F.array(rect(*own), rect(*after)))
+    return matches.withColumn("rects", rects).drop("after")
 
 
 def scan_doses(words: DataFrame, context_words: int = 8, smart: bool = True, require_keyword: bool = False) -> DataFrame:
@@ -89,4 +89,4 @@ def scan_doses(words: DataFrame, context_words: int = 8, smart: bool = True, req
         m = m.filter(not_structural(F.col("context")))
     if require_keyword:
         m = m.filter(has_dose_keyword(F.col("context")))
-    return dose_rects(m, words).select(*PAGE, "match", F.lit("CCI:dosing").alias("term"), F.lit("dosage").alias("category"), "context", "rects")
+    return dose_rects(m).select(*PAGE, "match", F.lit("CCI:dosing").alias("term"), F.lit("dosage").alias("category"), "context", "rects")

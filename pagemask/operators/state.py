@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagemask.operators.detect import locate
 from pagemask.operators.search import text_under_boxes
 from pagemask.operators.sections import section_title
 
@@ -94,12 +95,12 @@ def mark_redacted(results: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def dismiss(results: DataFrame, boxes: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """results with the keys dismissed (no longer redacted, no batch), and boxes without the batches these had."""
-    marked = mark_dismissed(results, keys)
-    gone = marked.filter(F.col("dismissed") & F.col("batch_id").isNotNull()).select(F.col("file_name").alias("_f"), F.col("batch_id").alias("_b")).distinct()
+    """results with the keys dismissed (no longer redacted, no batch), and boxes without the batches these had. What was dismissed stays so."""
+    hit = mark_dismissed(results.withColumn("_was", F.col("dismissed")), keys)
+    gone = hit.filter(F.col("dismissed") & F.col("batch_id").isNotNull()).select(F.col("file_name").alias("_f"), F.col("batch_id").alias("_b")).distinct()
     left = boxes.join(gone, (F.col("file_name") == F.col("_f")) & (F.col("batch_id") == F.col("_b")), "left_anti")
-    cleared = marked.withColumns({"redacted": F.col("redacted") & ~F.col("dismissed"), "batch_id": F.when(~F.col("dismissed"), F.col("batch_id"))})
-    return cleared, left
+    cleared = {"redacted": F.col("redacted") & ~F.col("dismissed"), "batch_id": F.when(~F.col("dismissed"), F.col("batch_id")), "dismissed": F.col("dismissed") | F.col("_was")}
+    return hit.withColumns(cleared).select(*results.columns), left
 
 
 def restore(dismissed: DataFrame, keys: DataFrame) -> DataFrame:
@@ -232,11 +233,23 @@ def term_options(results: DataFrame, terms: DataFrame) -> DataFrame:
     return results.select("term").distinct().join(terms.select("term"), "term", "left_semi").filter(F.col("term") != "CCI:dosing").orderBy("term")
 
 
-def restore_results(results: DataFrame, boxes: DataFrame, dismissed: DataFrame) -> DataFrame:
-    """Saved results with dismissed by key, and redacted if any box of the file (on any page) has the result's batch id."""
+def restore_results(results: DataFrame, boxes: DataFrame, dismissed: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """Saved results with dismissed by key, and redacted if any box of the file (on any page) has the result's batch id. With words,
+    model detections (category ai) get their rectangles anew; where the text isn't found they keep those they have."""
     b = boxes.select(F.col("file_name").alias("_f"), F.col("batch_id").alias("_b")).distinct()
     r = mark_dismissed(results, dismissed).join(b, (F.col("file_name") == F.col("_f")) & (F.col("batch_id") == F.col("_b")), "left")
-    return r.withColumn("redacted", F.col("_b").isNotNull()).select(*results.columns)
+    r = r.withColumn("redacted", F.col("_b").isNotNull()).select(*results.columns)
+    if words is None:
+        return r
+    ai = r.filter("category = 'ai'").select("id", "file_name", "page", F.col("match").alias("text"), "context")
+    found = locate(ai, words).select(F.col("id").alias("_id"), F.col("rects").alias("_rects"))
+    return r.join(found, F.col("id") == F.col("_id"), "left").withColumn("rects", F.coalesce("_rects", "rects")).select(*results.columns)
+
+
+def restored_counts(results: DataFrame) -> DataFrame:
+    """One row: how many model detections have rectangles (restored), and how many have none (failed)."""
+    there = F.coalesce(F.size("rects"), F.lit(0)) > 0
+    return results.filter("category = 'ai'").agg(F.count_if(there).alias("restored"), F.count_if(~there).alias("failed"))
 
 
 # ---- action log

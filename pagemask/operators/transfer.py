@@ -211,14 +211,19 @@ def _alike(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), 1.0 - F.coalesce(F.try_divide(F.abs(a - b), F.greatest(a, b)), F.lit(0.0)))
 
 
-def match_clusters(source: DataFrame, target: DataFrame, pages: int = 2, variant: str = "position") -> DataFrame:
-    """The best target cluster for each source cluster within `pages` pages: source cluster, page, cluster, score.
+def match_clusters(source: DataFrame, target: DataFrame, pages: int = 2, variant: str = "position", cells: DataFrame | None = None) -> DataFrame:
+    """The best target cluster for each source cluster within `pages` pages: source cluster, page, cluster, score. With the target's table
+    cells, clusters of which a table covers 30 % are passed over.
 
     position: dimension .3, aspect .2, position .3, count .2; 0.65 in all and 0.5 in each. density: count .2, dimension .3, aspect .2,
     density .3, without threshold. The page window is an equi-join on exploded pages.
     """
     s = source.select("file_name", F.col("page").alias("s_page"), F.col("cluster").alias("s_cluster"), *[F.col(c).alias("s_" + c) for c in ("n", "x0", "y0", "x1", "y1")])
     s = s.withColumn("page", F.explode(F.sequence(F.greatest(F.lit(1), F.col("s_page") - pages), F.col("s_page") + pages)))
+    if cells is not None:
+        t = _prefixed(table_bounds(cells), [*PAGE, "x0", "y0", "x1", "y1"])
+        share = coverage(*[F.col(c) for c in ("x0", "y0", "x1", "y1", "_x0", "_y0", "_x1", "_y1")])
+        target = target.join(t, _same_page() & (share >= 0.3), "left_anti")
     j = s.join(target, PAGE)
     sw, sh, w, h = (F.col(b) - F.col(a) for a, b in (("s_x0", "s_x1"), ("s_y0", "s_y1"), ("x0", "x1"), ("y0", "y1")))
     count = _alike(F.col("s_n").cast("double"), F.col("n").cast("double"))
@@ -238,12 +243,15 @@ def match_clusters(source: DataFrame, target: DataFrame, pages: int = 2, variant
 
 
 def _neighbours(cells: DataFrame) -> DataFrame:
-    """cells with the texts and origins above, below, left and right of each."""
-    out = cells
-    for side, (dr, dc) in SIDES.items():
-        n = cells.select(*TABLE, (F.col("row_idx") - dr).alias("row_idx"), (F.col("col_idx") - dc).alias("col_idx"), F.col("text").alias(side), F.col("x0").alias(f"{side}_x"), F.col("y0").alias(f"{side}_y"))
-        out = out.join(n, [*TABLE, "row_idx", "col_idx"], "left")
-    return out
+    """cells with the texts and origins above, below, left and right of each, by a look along its column and along its row."""
+    column, row = W.partitionBy(*TABLE, "col_idx").orderBy("row_idx"), W.partitionBy(*TABLE, "row_idx").orderBy("col_idx")
+    looks = {"up": (F.lag, column, "row_idx", -1), "down": (F.lead, column, "row_idx", 1), "left": (F.lag, row, "col_idx", -1), "right": (F.lead, row, "col_idx", 1)}
+    near = {side: look(F.struct(idx, "text", "x0", "y0")).over(over) for side, (look, over, idx, _) in looks.items()}
+    out = cells.withColumns({f"_{side}": c for side, c in near.items()})
+    for side, (_, _, idx, step) in looks.items():
+        n = F.when(F.col(f"_{side}")[idx] == F.col(idx) + step, F.col(f"_{side}"))  # a gap in the grid has no neighbour
+        out = out.withColumns({side: n["text"], f"{side}_x": n["x0"], f"{side}_y": n["y0"]})
+    return out.drop(*[f"_{side}" for side in looks])
 
 
 def table_fingerprint(cells: DataFrame) -> DataFrame:
@@ -265,11 +273,12 @@ def _window(df: DataFrame, pages: int, keep: list[str]) -> DataFrame:
     return df.withColumn("s_page", F.col("page")).withColumn("page", F.explode(F.sequence(F.greatest(F.lit(1), F.col("page") - pages), F.col("page") + pages))).select(*keep)
 
 
-def match_tables(source: DataFrame, target: DataFrame, pages: int = 2, variant: str = "newer") -> DataFrame:
+def match_tables(source: DataFrame, target: DataFrame, pages: int = 2, variant: str = "newer", source_titles: DataFrame | None = None, target_titles: DataFrame | None = None) -> DataFrame:
     """The best target table of each source table within `pages` pages: file_name, s_page, s_table, page, table_idx, score.
 
-    Both sides are cells. Scores: adjacency of key cells, structure, headers (first rows) and titles (none here: 1); weights .30 .30
-    .25 .15 with 0.40 in all (newer), or .50 .25 .15 .10 with 0.65 (older).
+    Both sides are cells; titles (file_name, page, table_idx, title) are optional. Scores: adjacency of key cells, structure, headers (first
+    rows) and titles (their ratio; 0.5 where one side has none, 1 where both have none); weights .30 .30 .25 .15 with 0.40 in all (newer),
+    or .50 .25 .15 .10 with 0.65 (older).
     """
     weights, threshold = ((0.30, 0.30, 0.25, 0.15), 0.40) if variant == "newer" else ((0.50, 0.25, 0.15, 0.10), 0.65)
 
@@ -299,7 +308,15 @@ def match_tables(source: DataFrame, target: DataFrame, pages: int = 2, variant:
     score = 0.5 * F.when(F.col("m_text") > 0.85, 1.0).otherwise(0.0) + 0.5 * F.coalesce(F.try_divide(sum(good[1:], good[0]), sum(there[1:], there[0])), F.lit(0.0))
     adjacency = cells.groupBy(*key).agg(F.avg(score).alias("adjacency"))
     out = pair.join(headers, key, "left").join(adjacency, key, "left").fillna({"headers": 1.0, "adjacency": 0.0})
-    total = weights[0] * F.col("adjacency") + weights[1] * F.col("structure") + weights[2] * F.col("headers") + weights[3] * F.lit(1.0)
+    for titles, own, name in ((source_titles, ["file_name", "s_page", "s_table"], "s_title"), (target_titles, TABLE, "t_title")):
+        if titles is None:
+            out = out.withColumn(name, F.lit(None).cast("string"))
+        else:
+            out = out.join(titles.select(*[F.col(a).alias(b) for a, b in zip(TABLE, own)], F.nullif(F.trim("title"), F.lit("")).alias(name)), own, "left")
+    both_titles = F.col("s_title").isNotNull() & F.col("t_title").isNotNull()
+    ratio = indel_ratio("s_title", "t_title") / 100.0 if source_titles is not None and target_titles is not None else F.lit(0.0)
+    title = F.when(both_titles, ratio).when(F.col("s_title").isNull() & F.col("t_title").isNull(), 1.0).otherwise(0.5)
+    total = weights[0] * F.col("adjacency") + weights[1] * F.col("structure") + weights[2] * F.col("headers") + weights[3] * title
     out = out.withColumn("score", total).filter(F.col("score") >= threshold)
     w = W.partitionBy("file_name", "s_page", "s_table").orderBy(F.col("score").desc(), "page", "table_idx")
     return out.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("file_name", "s_page", "s_table", "page", "table_idx", "score")
@@ -315,20 +332,36 @@ def transfer_relative(boxes: DataFrame) -> DataFrame:
 
 
 def anchor_cells(source: DataFrame, target: DataFrame, matches: DataFrame) -> DataFrame:
-    """The best anchor of each matched table: the key cell with equal content (2) and equal neighbours (1 each), 2 at least; file_name,
-    s_page, s_table, dx, dy (the anchor's shift) and score."""
+    """The best anchor of each matched table: the key cell with equal content (2) and equal neighbours (1 each), 2 at least, case ignored;
+    the first of equals. file_name, s_page, s_table, dx, dy (the anchor's shift) and anchor (its score)."""
     s = table_fingerprint(source).join(source.select(*TABLE, "row_idx", "col_idx", "x0", "y0"), [*TABLE, "row_idx", "col_idx"])
     s = s.select("file_name", F.col("page").alias("s_page"), F.col("table_idx").alias("s_table"), "row_idx", "col_idx", *[F.col(c).alias("s_" + c) for c in ("text", *SIDES, "x0", "y0")])
     j = matches.join(s, ["file_name", "s_page", "s_table"]).join(_neighbours(target).drop(*[f"{c}_{k}" for c in SIDES for k in "xy"]), [*TABLE, "row_idx", "col_idx"])
-    equal = F.when(F.trim("text") == F.trim("s_text"), 2).otherwise(0)
-    total = equal
+    plain = lambda c: F.lower(F.trim(c))
+    total = F.when(plain(F.coalesce("text", F.lit(""))) == plain(F.coalesce("s_text", F.lit(""))), 2).otherwise(0)
     for c in SIDES:
-        total = total + F.when(F.coalesce(F.trim(c) == F.trim(f"s_{c}"), F.lit(False)), 1).otherwise(0)
-    j = j.withColumn("anchor", total).filter((equal > 0) & (F.col("anchor") >= 2))
+        total = total + F.when(F.coalesce((F.length(c) > 0) & (plain(c) == plain(f"s_{c}")), F.lit(False)), 1).otherwise(0)
+    j = j.withColumn("anchor", total).filter(F.col("anchor") >= 2)
     best = F.max_by(F.struct((F.col("x0") - F.col("s_x0")).alias("dx"), (F.col("y0") - F.col("s_y0")).alias("dy"), "anchor"), F.struct("anchor", -F.col("row_idx"), -F.col("col_idx")))
     return j.groupBy("file_name", "s_page", "s_table").agg(best.alias("b")).select("file_name", "s_page", "s_table", "b.*")
 
 
+def transfer_anchored(boxes: DataFrame, source: DataFrame, target: DataFrame, matches: DataFrame) -> DataFrame:
+    """id, file_name, page, x, y, w, h, how: boxes (with table_idx) carried to the matched table by its anchor's shift, or else to the same
+    place in its bounds; boxes of tables without a match, or without an anchor in a degenerate table, have no row."""
+
+    def bounds(cells: DataFrame, p: str, own: list[str]) -> DataFrame:
+        return table_bounds(cells).select(*[F.col(a).alias(b) for a, b in zip(TABLE, own)], *[F.col(c).alias(p + c) for c in ("x0", "y0", "x1", "y1")])
+
+    own = ["file_name", "s_page", "s_table"]
+    b = boxes.select("id", "file_name", F.col("page").alias("s_page"), F.col("table_idx").alias("s_table"), "x", "y", "w", "h").join(matches, own)
+    b = b.join(anchor_cells(source, target, matches), own, "left")
+    held = b.filter("anchor IS NOT NULL").select("id", "file_name", "page", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "w", "h", F.lit("anchor").alias("how"))
+    free = b.filter("anchor IS NULL").join(bounds(source, "s", own), own).join(bounds(target, "t", TABLE), TABLE)
+    moved = transfer_relative(free).join(free.select("id", *PAGE), "id")
+    return held.unionByName(moved.withColumn("how", F.lit("relative")))
+
+
 def containing_cell(boxes: DataFrame, cells: DataFrame) -> DataFrame:
     """id and the cell that shares the most area with a box, with its neighbours and the box's offset in it."""
     c = _prefixed(_neighbours(cells), [*TABLE, "row_idx", "col_idx", "x0", "y0", "x1", "y1", "text", *SIDES])

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from pagemask.plans.register import query
 from pagemask.plans.state_queries import actions, edits
 from pagemask.sources import io
+from pagemask.sources.layout import stream_dir
 from pagemask.streaming.jobs import fold_actions, stream_boxes
 
 _PLAIN = ["id", "file_name", "page", "seq", "x", "y", "w", "h", "selection_mode", "match", "term", "batch_id", "context"]
@@ -67,8 +66,7 @@ def _(v):
 def _(v):
     from pagemask.operators.state import replay_actions
 
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/pagemask-checkpoints"
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = stream_dir(v.spark)
     schema = v.table("events").schema
     live = v.spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(v.dir + "/events.parquet*")
     batches = []

@@ -10,7 +10,8 @@ from pagemask.operators import doses, gaps
 from pagemask.plans.search_queries import _UNDER
 from pagemask.plans.register import query
 from pagemask.plans.views_sql import VIEWS
-from pagemask.sources.layout import Views
+from pagemask.sources.layout import Views, stream_dir
+from pagemask.streaming.jobs import stream_gap_scan
 
 
 VIEWS["notes"] = ([], """
@@ -73,43 +74,81 @@ def _flat(r, *more):
 
 
 query("d7_rects", "doses", f"WITH {_RECTS} SELECT file_name, page, match, place, n_rects, round(width, 6) AS width, x, y FROM rects")(
-    lambda v: _flat(doses.dose_rects(doses.dose_matches(notes(v)), notes(v)), "place"))
+    lambda v: _flat(doses.dose_rects(doses.dose_matches(notes(v))), "place"))
 query("d8_scan_doses", "doses", f"WITH {_RECTS} SELECT file_name, page, match, 'CCI:dosing' AS term, 'dosage' AS category, context, n_rects, round(width, 6) AS width, x, y FROM rects WHERE NOT regexp_matches(context, '(?i)\\b(page|table)\\s+[0-9]')")(
     lambda v: _flat(doses.scan_doses(notes(v)), "term", "category", "context"))
 
-VIEWS["gaps"] = (["boxes"], _UNDER.strip() + r""",
+# Every place of a probe (without outer punctuation) in a page's text that doesn't begin or end inside a word.
+_W = r"[\p{L}\p{M}\p{N}_]"
+VIEWS["gaps"] = (["boxes", "offsets", "pages"], _UNDER.strip() + rf""",
   idx AS (SELECT DISTINCT trim(u.text) AS text, lower(trim(u.text)) AS probe, b.file_name, b.page FROM boxes b JOIN under u USING (id) WHERE trim(u.text) <> ''),
   probes AS (SELECT DISTINCT probe FROM idx WHERE length(probe) >= 2),
-  pt AS (SELECT probe, list_filter(list_transform(string_split(probe, ' '), lambda x: trim(x, '()[]{}<>.,;:!?')), lambda x: x <> '') AS toks FROM probes),
-  tk AS (SELECT *, lower(trim(trim(text), '()[]{}<>.,;:!?')) AS tok, row_number() OVER (PARTITION BY file_name, page ORDER BY block_no, line_no, word_no) AS pos FROM words),
-  ah AS (SELECT *, list(tok) OVER p AS ahead FROM tk WINDOW p AS (PARTITION BY file_name, page ORDER BY pos ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING)),
-  ph AS (SELECT a.file_name, a.page, p.probe, a.pos, len(p.toks) AS n FROM ah a JOIN pt p ON a.tok = p.toks[1] WHERE a.ahead[1:len(p.toks)] = p.toks),
-  hw AS (SELECT h.file_name, h.page, h.probe, t.x0, t.y0, t.x1, t.y1 FROM ph h JOIN tk t ON t.file_name = h.file_name AND t.page = h.page AND t.pos BETWEEN h.pos AND h.pos + h.n - 1),
+  pt AS (SELECT probe, trim(probe, '()[]{{}}<>.,;:!? ') AS needle FROM probes),
+  lp AS (SELECT file_name, page, lower(text) AS text FROM pages_t),
+  runs AS (SELECT DISTINCT file_name, page, unnest(regexp_extract_all(text, '{_W}+')) AS run FROM lp),
+  rp AS (SELECT probe, needle, regexp_extract(needle, '{_W}+') AS run FROM pt WHERE needle <> ''),
+  cd AS (SELECT lp.file_name, lp.page, probe, needle, text FROM rp JOIN runs USING (run) JOIN lp USING (file_name, page) WHERE rp.run <> '' AND contains(text, needle)
+    UNION ALL SELECT lp.file_name, lp.page, probe, needle, text FROM rp JOIN lp ON contains(text, needle) WHERE rp.run = ''),
+  ps AS (SELECT *, length(needle) AS n, unnest(range(1, length(text) - length(needle) + 2)) AS p FROM cd),
+  ph AS (SELECT file_name, page, probe, p - 1 AS b, p - 1 + n AS e FROM ps WHERE substr(text, p, n) = needle AND NOT (p > 1 AND regexp_matches(substr(text, p - 1, 2), '^{_W}{{2}}$')) AND NOT regexp_matches(substr(text, p + n - 1, 2), '^{_W}{{2}}$')),
+  hw AS (SELECT h.file_name, h.page, h.probe, min(o.x0 + (o.x1 - o.x0) / length(o.text) * greatest(0, b - o.start)) AS x0, min(o.y0) AS y0, max(o.x1 - (o.x1 - o.x0) / length(o.text) * greatest(0, o.stop - e)) AS x1, max(o.y1) AS y1
+    FROM ph h JOIN offsets o ON o.file_name = h.file_name AND o.page = h.page AND o.start < e AND o.stop > b GROUP BY h.file_name, h.page, h.probe, b, o.block_no, o.line_no),
   hm AS (SELECT *, lag(y0) OVER w AS py, lag(x1) OVER w AS px FROM hw WINDOW w AS (PARTITION BY file_name, page, probe ORDER BY y0, x0)),
   hr AS (SELECT *, sum(CASE WHEN py IS NULL OR abs(y0 - py) >= 5 OR x0 - px > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY file_name, page, probe ORDER BY y0, x0 ROWS UNBOUNDED PRECEDING) AS run FROM hm),
-  hits AS (SELECT file_name, page, probe, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM hr GROUP BY file_name, page, probe, run),
-  cov AS (SELECT h.*, EXISTS (SELECT 1 FROM boxes b WHERE b.file_name = h.file_name AND b.page = h.page AND
-    greatest(0, least(h.x1, b.x + b.w) - greatest(h.x0, b.x)) * greatest(0, least(h.y1, b.y + b.h) - greatest(h.y0, b.y)) >= 0.5 * (h.x1 - h.x0) * (h.y1 - h.y0)) AS covered FROM hits h),
+  hits AS (SELECT file_name, page, probe, round(min(x0), 6) AS x0, min(y0) AS y0, round(max(x1), 6) AS x1, max(y1) AS y1 FROM hr GROUP BY file_name, page, probe, run),
+  own AS (SELECT h.file_name, h.page, h.probe, h.x0, h.y0, max(greatest(0, least(h.x1, b.x + b.w) - greatest(h.x0, b.x)) * greatest(0, least(h.y1, b.y + b.h) - greatest(h.y0, b.y)) / ((h.x1 - h.x0) * (h.y1 - h.y0))) AS share FROM hits h JOIN boxes b ON b.file_name = h.file_name AND b.page = h.page GROUP BY ALL),
+  cov AS (SELECT h.*, coalesce(share, 0) >= 0.5 AS covered FROM hits h LEFT JOIN own USING (file_name, page, probe, x0, y0)),
   gaps AS (SELECT file_name, page, probe AS match_text, x0, y0, x1, y1 FROM cov WHERE NOT covered)""")
 
+
+def _rounded(df):
+    return df.withColumns({c: F.round(c, 6) for c in ("x0", "x1")})
+
+
 query("g2_redacted_index", "gaps", "SELECT * FROM idx")(lambda v: gaps.redacted_index(v.boxes, v.words))
 query("g3_probes", "gaps", "SELECT probe FROM probes WHERE length(probe) >= 3")(lambda v: gaps.probe_texts(gaps.redacted_index(v.boxes, v.words)))
-query("g4_gap_scan", "gaps", "SELECT * FROM gaps")(lambda v: gaps.gap_scan(v.words, v.boxes))
+query("g4_gap_scan", "gaps", "SELECT * FROM gaps")(lambda v: _rounded(gaps.gap_scan(v.words, v.boxes)))
 query("g4_locations", "gaps", "SELECT g.*, l.n_locations FROM gaps g JOIN (SELECT probe, count(DISTINCT (file_name, page)) AS n_locations FROM idx GROUP BY probe) l ON l.probe = g.match_text")(
-    lambda v: gaps.with_locations(gaps.gap_scan(v.words, v.boxes), gaps.redacted_index(v.boxes, v.words)).withColumn("n_locations", F.size("redacted_locations")).drop("redacted_locations"))
-query("g5_is_covered", "gaps", "SELECT * FROM cov")(lambda v: gaps.is_covered(gaps.probe_hits(v.words, gaps.probe_texts(gaps.redacted_index(v.boxes, v.words), 2)), v.boxes))
+    lambda v: gaps.with_locations(_rounded(gaps.gap_scan(v.words, v.boxes)), gaps.redacted_index(v.boxes, v.words)).withColumn("n_locations", F.size("redacted_locations")).drop("redacted_locations"))
+query("g5_is_covered", "gaps", "SELECT * FROM cov")(lambda v: gaps.is_covered(_rounded(gaps.probe_hits(v.words, gaps.probe_texts(gaps.redacted_index(v.boxes, v.words), 2))), v.boxes))
 query("g6_gap_context", "gaps", """SELECT g.*, substr(string_agg(w.text, ' ' ORDER BY w.block_no, w.line_no, w.word_no), 1, 300) AS context FROM gaps g JOIN words w ON w.file_name = g.file_name AND w.page = g.page
   AND w.x1 > g.x0 - 200 AND w.x0 < g.x1 + 200 AND w.y1 > g.y0 - 5 AND w.y0 < g.y1 + 5 GROUP BY g.file_name, g.page, g.match_text, g.x0, g.y0, g.x1, g.y1""")(
-    lambda v: gaps.gap_context(gaps.gap_scan(v.words, v.boxes), v.words))
+    lambda v: gaps.gap_context(_rounded(gaps.gap_scan(v.words, v.boxes)), v.words))
 
 
 @query("g7_incremental", "gaps", "SELECT * FROM gaps")
 def _(v):
-    doc = F.regexp_extract("file_name", r"doc_(\d+)", 1).cast("long")
-    words, boxes = v.words.filter(doc % 3 != 1), v.boxes.filter(doc % 20 == 0)
-    before = {"pages": words.select("file_name", "page").distinct(), "probes": gaps.probe_texts(gaps.redacted_index(boxes, words), 2), "gaps": gaps.gap_scan(words, boxes)}
-    return gaps.gap_scan_incremental(before, v.words, v.boxes)["gaps"]
+    """Before: no third pages, other words on the second ones, and half of the boxes, with some that are gone now."""
+    page = F.col("page")
+    words = v.words.filter(page % 3 > 0).withColumn("text", F.when((page % 3 == 2) & (F.col("word_no") == 4), F.lit("other")).otherwise(F.col("text")))
+    boxes = v.boxes.filter("seq % 2 = 0").unionByName(v.boxes.filter("seq % 5 = 0").withColumns({"id": F.concat("id", F.lit("~")), "x": F.col("x") + F.col("w")}))
+    none = {"pages": "file_name string, page int, mark long", "probes": "probe string", "hits": "file_name string, page int, probe string, x0 double, y0 double, x1 double, y1 double"}
+    before = gaps.gap_scan_incremental({t: v.spark.createDataFrame([], s) for t, s in none.items()}, words, boxes)
+    return _rounded(gaps.gap_scan_incremental(before, v.words, v.boxes)["gaps"])
+
+
+@query("g9_stream_gaps", "gaps", "SELECT * FROM gaps")
+def _(v):
+    """Three micro-batches: pages of lower numbers first, then all pages with a half of the boxes, then everything as it is."""
+    path = stream_dir(v.spark)
+    v.table("documents").select("doc_id").repartition(3).write.parquet(path + "/changes")
+    changes = v.spark.readStream.schema("doc_id long").option("maxFilesPerTrigger", 1).parquet(path + "/changes")
+    turn = iter(range(3))
+    now: dict = {}
+
+    def words():
+        now["n"] = next(turn, 2)
+        return v.words.filter("page <= 2") if now["n"] == 0 else v.words
+
+    stream_gap_scan(changes, words, lambda: v.boxes if now["n"] == 2 else v.boxes.filter("seq % 2 = 0"), path + "/state", path + "/checkpoint", once=True).awaitTermination()
+    last = max(int(x.getPath().getName()) for x in _folders(v.spark, path + "/state"))
+    return _rounded(v.spark.read.parquet(f"{path}/state/{last}/gaps"))
+
+
+def _folders(spark, path):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
 
 
-query("g8_gap_results", "gaps results", "SELECT id, file_name, page, match, term, category FROM results WHERE category <> 'gap' UNION ALL SELECT concat_ws('#', 'gap', file_name, page, match_text, x0::INT, y0::INT), file_name, page, match_text, 'CCI:consistency', 'gap' FROM gaps")(
-    lambda v: gaps.gaps_to_results(gaps.gap_scan(v.words, v.boxes), v.results))
+query("g8_gap_results", "gaps results", "SELECT id, file_name, page, match, term, category FROM results WHERE category <> 'gap' UNION ALL SELECT concat_ws('#', 'gap', file_name, page, match_text, trunc(x0)::INT, y0::INT), file_name, page, match_text, 'CCI:consistency', 'gap' FROM gaps")(
+    lambda v: gaps.gaps_to_results(_rounded(gaps.gap_scan(v.words, v.boxes)), v.results))

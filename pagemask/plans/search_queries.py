@@ -140,7 +140,20 @@ def _(v):
     return op.rect_offsets(v.boxes, v.words, slack=0).select("id", "start", "stop")
 
 
-@query("t7_rect_context")
+@query("t7_rect_context", "offsets boxes pages", rf"""
+WITH {_UNDER},
+f AS (SELECT u.id, min(o.start) AS first, (SELECT any_value(text) FROM under w WHERE w.id = u.id) AS under FROM under0 u JOIN offsets o USING (file_name, page, block_no, line_no, word_no) GROUP BY u.id),
+q AS (SELECT b.id, p.text, first, under, greatest(0, first - 10) AS lo FROM boxes b JOIN pages_t p USING (file_name, page) LEFT JOIN f USING (id)),
+m AS (SELECT *, instr(lower(substr(text, lo + 1, first + length(under) + 10 - lo)), lower(under)) AS found FROM q),
+g AS (SELECT *, CASE WHEN found > 0 THEN lo + found - 1 ELSE first END AS s FROM m),
+h AS (SELECT *, s + length(under) AS e FROM g),
+l AS (SELECT *, greatest(0, s - 300) AS low, substr(text, greatest(0, s - 300) + 1, s - greatest(0, s - 300)) AS back, substr(text, e + 1, least(length(text), e + 300) - e) AS ahead FROM h),
+k AS (SELECT *, list_max(list_transform(['. ', '? ', '! ', '; '], lambda b: CASE WHEN contains(back, b) THEN length(back) - instr(reverse(back), reverse(b)) - 1 ELSE -1 END)) AS last,
+  list_min(list_filter(list_transform(['. ', '? ', '! ', '; '], lambda b: instr(ahead, b) - 1), lambda x: x >= 0)) AS nxt FROM l),
+c AS (SELECT *, CASE WHEN last >= 0 THEN low + last + 2 ELSE greatest(0, s - 50) END AS b0, CASE WHEN nxt IS NOT NULL THEN e + nxt + 1 ELSE least(length(text), e + 50) END AS e0 FROM k),
+d AS (SELECT *, greatest(0, 50 - (e0 - b0)) AS lack FROM c),
+w AS (SELECT *, greatest(0, b0 - lack // 2) AS b1, least(length(text), e0 + lack - lack // 2) AS e1 FROM d)
+SELECT id, CASE WHEN first IS NULL THEN CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END ELSE trim(substr(text, (b1 + 1)::BIGINT, (e1 - b1)::BIGINT)) END AS context FROM w""")
 def _(v):
     return op.rect_context(v.boxes, v.words)
 

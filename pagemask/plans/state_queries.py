@@ -67,6 +67,11 @@ def _(v):
     return st.dismiss(v.results, v.boxes, v.dismissed)[1].select("id")
 
 
+query("r3_dismiss_results", "results dismissed", """SELECT id, r.dismissed OR d.term IS NOT NULL AS dismissed, (length(match) % 2 = 0) AND d.term IS NULL AS redacted, CASE WHEN d.term IS NULL THEN batch_id END AS batch_id
+FROM results r LEFT JOIN dismissed d ON d.file_name = r.file_name AND d.page = r.page AND d.match_text = lower(trim(r.match)) AND d.term = r.term""")(
+    lambda v: st.dismiss(v.results.withColumn("redacted", F.length("match") % 2 == 0), v.boxes, v.dismissed)[0].select("id", "dismissed", "redacted", "batch_id"))
+
+
 query("r3_restore", "dismissed", "SELECT * FROM dismissed WHERE page % 2 = 1")(lambda v: st.restore(v.dismissed, v.dismissed.filter("page % 2 = 0")))
 _TITLE = "coalesce((SELECT arg_max(t.title, t.toc_index) FROM toc t WHERE t.file_name = {0}.file_name AND t.level = 1 AND t.page <= {0}.page), '')"
 query("r4_redact", "results toc", f"SELECT id || '#0' AS id, file_name, page, rects[1].x AS x, rects[1].w AS w, match, 'batch#' || id AS batch_id, {_TITLE.format('r')} AS section_title FROM results r")(
@@ -82,10 +87,19 @@ def _(v):
     return st.unredact(b, v.results, b.filter("seq % 7 = 0").select("file_name", "batch_id").distinct(), b.filter("seq % 4 = 0").select("id"))[0].select("id")
 
 
+@query("r5_unredact_results", "boxes results", """WITH g AS (SELECT DISTINCT file_name, batch_id FROM boxes WHERE seq % 7 = 0)
+SELECT id, g.batch_id IS NULL AS redacted, CASE WHEN g.batch_id IS NULL THEN r.batch_id END AS batch_id FROM results r LEFT JOIN g ON g.file_name = r.file_name AND g.batch_id = r.batch_id""")
+def _(v):
+    b = v.boxes
+    return st.unredact(b, v.results.withColumn("redacted", F.lit(True)), b.filter("seq % 7 = 0").select("file_name", "batch_id").distinct(), b.filter("seq % 4 = 0").select("id"))[1].select("id", "redacted", "batch_id")
+
+
 query("r6_add_files", "files", "SELECT file_name, file_path FROM files")(
     lambda v: st.add_files(v.files.filter("total_pages > 1"), v.files.withColumn("ord", F.col("total_pages")).unionByName(v.files.withColumn("ord", F.lit(99)))))
 query("r6_remove_files", "files boxes", "SELECT id FROM boxes JOIN files USING (file_name) WHERE total_pages <> 3")(
     lambda v: st.remove_files(v.files, v.boxes, edits(v), v.files.filter("total_pages = 3").select("file_name"))[1].select("id"))
+query("r6_remove_edits", "files edits", "SELECT e.* FROM edits e JOIN files USING (file_name) WHERE total_pages <> 3")(
+    lambda v: st.remove_files(v.files, v.boxes, edits(v), v.files.filter("total_pages = 3").select("file_name"))[2])
 query("r6_split_missing", "files toc", "SELECT file_name, file_name IN (SELECT file_name FROM files WHERE total_pages > 2) AS present FROM (SELECT DISTINCT file_name FROM toc)")(
     lambda v: st.split_missing(v.toc.select("file_name").distinct(), v.files.filter("total_pages > 2")))
 query("r7_repeat_boxes", "boxes files", "SELECT b.id, unnest(range(1, total_pages + 1))::INT AS page, 'repeat#' || b.id AS batch_id FROM boxes b JOIN files f USING (file_name)")(
@@ -111,23 +125,36 @@ query("r13_ordered", "results", "SELECT id, file_name, page, rects[1].y AS y FRO
 query("r14_term_options", "results boxes", "SELECT DISTINCT term FROM results WHERE term IN (SELECT term FROM boxes)")(lambda v: st.term_options(v.results, v.boxes.select("term")))
 query("r15_restore", "results boxes dismissed", """SELECT r.id, d.term IS NOT NULL AS dismissed, EXISTS (SELECT 1 FROM boxes b WHERE b.file_name = r.file_name AND b.batch_id = r.batch_id) AS redacted
 FROM results r LEFT JOIN dismissed d ON d.file_name = r.file_name AND d.page = r.page AND d.match_text = lower(trim(r.match)) AND d.term = r.term""")(lambda v: st.restore_results(v.results, v.boxes, v.dismissed).select("id", "dismissed", "redacted"))
+query("r15_locate_again", "results", "SELECT id, length(match) % 7 > 0 AS restored FROM results WHERE category = 'ai'")(
+    lambda v: st.restore_results(_lost(v), v.boxes, v.dismissed, v.words).filter("category = 'ai'").select("id", (F.coalesce(F.size("rects"), F.lit(0)) > 0).alias("restored")))
+query("r15_restored_counts", "results", "SELECT count(*) FILTER (length(match) % 7 > 0) AS restored, count(*) FILTER (length(match) % 7 = 0) AS failed FROM results WHERE category = 'ai'")(
+    lambda v: st.restored_counts(st.restore_results(_lost(v), v.boxes, v.dismissed, v.words)))
+
+
+def _lost(v):
+    """Results without rectangles, some with a text that no page has."""
+    return v.results.withColumns({"rects": F.lit(None).cast("array<struct<x:double,y:double,w:double,h:double>>"), "match": F.when(F.length("match") % 7 == 0, F.lit("\u2460\u2461\u2462\u2463\u2464\u2465\u2466")).otherwise(F.col("match"))})
+
+
 query("r16_section_title", "toc", f"SELECT p.file_name, p.page, {_TITLE.format('p')} AS section_title FROM (SELECT DISTINCT file_name, page FROM toc) p")(lambda v: sec.section_title(v.toc.select("file_name", "page"), v.toc))
 
 query("s4_library", "boxes", "SELECT CASE WHEN seq % 3 = 0 THEN context ELSE match END AS redacted_text, '' AS context, term AS category FROM boxes")(
     lambda v: st.load_library(v.boxes.select(F.when(F.col("seq") % 3 != 0, F.col("match")).otherwise(F.lit("  ")).alias("Redacted text"), F.col("context").alias("CCI snippet"), F.col("term").alias("Category"))))
-query("s5_import_terms", "words", "SELECT trim(text) AS term, seq AS ord FROM (SELECT text, row_number() OVER (ORDER BY file_name, page, block_no, line_no, word_no) AS seq FROM words WHERE file_name = 'doc_0.pdf')")(
+_NTH = "row_number() OVER (PARTITION BY file_name ORDER BY page, block_no, line_no, word_no) AS ord"
+query("s5_import_terms", "words", f"SELECT trim(text) AS term, ord FROM (SELECT text, {_NTH} FROM words)")(
     lambda v: st.import_terms(_ranked(v).select("ord", F.concat(F.lit(" "), "text").alias("value")).unionByName(v.spark.createDataFrame([(-1, "Search Term"), (0, "  ")], "ord int, value string"))))
-query("s6_merge_terms", "words terms", """
-WITH i AS (SELECT text AS term, row_number() OVER (ORDER BY page, block_no, line_no, word_no) AS ord FROM words WHERE file_name = 'doc_0.pdf')
-SELECT term, active, ord FROM terms UNION ALL SELECT term, true, ord FROM i WHERE lower(term) NOT IN (SELECT lower(term) FROM terms) QUALIFY row_number() OVER (PARTITION BY lower(term) ORDER BY ord) = 1""")(
-    lambda v: st.merge_terms(v.terms, _ranked(v).select(F.col("text").alias("term"), "ord")))
+query("s6_merge_terms", "words terms", f"""
+WITH i AS (SELECT text AS term, file_name, {_NTH} FROM words), f AS (SELECT lower(term) AS key, min(ord) AS ord FROM i GROUP BY 1)
+SELECT term, active, ord FROM terms UNION ALL SELECT key, true, ord FROM f WHERE key NOT IN (SELECT lower(term) FROM terms)""")(
+    lambda v: st.merge_terms(v.terms, _ranked(v).select(F.lower("text").alias("term"), "ord")).withColumn("ord", F.col("ord").cast("long")))
 
 
 def _ranked(v):
+    """All words with their number in their document."""
     from pyspark.sql import Window as W
 
     w = W.partitionBy("file_name").orderBy("page", "block_no", "line_no", "word_no")
-    return v.words.filter("file_name = 'doc_0.pdf'").withColumn("ord", F.row_number().over(w))
+    return v.words.withColumn("ord", F.row_number().over(w))
 
 
 query("a1_chunks", "pages", "SELECT file_name, (page - 1) // 5 * 5 + 1 AS start_page, max(page) AS end_page, string_agg(text || chr(10) || chr(10), '' ORDER BY page) AS text FROM pages_t GROUP BY file_name, (page - 1) // 5")(lambda v: sec.chunk_pages(v.pages))

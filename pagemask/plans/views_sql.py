@@ -21,16 +21,15 @@ VIEWS: dict[str, tuple[list[str], str]] = {
   files AS (SELECT f.file_name, '/corpus/' || source || '/' || f.file_name AS file_path, total_pages
     FROM (SELECT 'doc_' || doc_id || '.pdf' AS file_name, source FROM documents) f JOIN (SELECT file_name, max(page) AS total_pages FROM words GROUP BY file_name) p USING (file_name))"""),
     "boxes": (["words"], r"""
-  b0 AS (SELECT *, trim(trim(text), '()[]{}<>.,;:!?') AS clean, lead(x1) OVER l AS next_x1, lead(text) OVER l AS next_text FROM words
-    WHERE regexp_extract(file_name, 'doc_(\d+)', 1)::BIGINT % 10 = 0 WINDOW l AS (PARTITION BY file_name, page, block_no, line_no ORDER BY word_no)),
+  b0 AS (SELECT *, trim(trim(text), '()[]{}<>.,;:!?') AS clean, lead(x1) OVER l AS next_x1, lead(text) OVER l AS next_text FROM words WINDOW l AS (PARTITION BY file_name, page, block_no, line_no ORDER BY word_no)),
   b1 AS (SELECT *, row_number() OVER (PARTITION BY file_name, page ORDER BY block_no, line_no, word_no) AS n FROM b0
-    WHERE regexp_matches(clean, '^[A-Za-z]{11,}$') OR contains(text, '@') OR regexp_matches(text, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') OR regexp_matches(text, '[0-9]{10,}')),
+    WHERE (block_no + line_no + word_no) % 3 <> 0 AND (regexp_matches(clean, '^[A-Za-z]{11,}$') OR contains(text, '@') OR regexp_matches(text, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') OR regexp_matches(text, '[0-9]{10,}'))),
   boxes AS (SELECT file_name, page, concat_ws('#', file_name, page, block_no, line_no, word_no) AS id, page * 100000 + n AS seq, x0 AS x, y0 AS y,
     (CASE WHEN length(text) % 2 = 1 AND next_x1 IS NOT NULL THEN next_x1 ELSE x1 END) - x0 AS w, y1 - y0 AS h,
     CASE WHEN n % 3 = 0 THEN 'rectangle' ELSE 'highlight' END AS selection_mode, clean AS match, lower(substr(clean, 1, 3)) AS term,
     concat_ws('#', file_name, page, (n + 1) // 2) AS batch_id, CASE WHEN length(text) % 2 = 1 AND next_x1 IS NOT NULL THEN text || ' ' || next_text ELSE text END AS context FROM b1)"""),
     "results": (["words"], r"""
-  r0 AS (SELECT *, trim(trim(text), '()[]{}<>.,;:!?') AS clean FROM words WHERE regexp_extract(file_name, 'doc_(\d+)', 1)::BIGINT % 5 = 0),
+  r0 AS (SELECT *, trim(trim(text), '()[]{}<>.,;:!?') AS clean FROM words),
   results AS (SELECT concat_ws('#', file_name, page, block_no, line_no, word_no) AS id, file_name, '/corpus/' || file_name AS file_path, page, text AS match, lower(substr(clean, 1, 3)) AS term,
     CASE length(clean) % 4 WHEN 0 THEN 'dosage' WHEN 1 THEN 'matches' WHEN 2 THEN 'gap' ELSE 'ai' END AS category, 'block ' || block_no || ' ' || text AS context,
     CASE WHEN length(clean) % 6 = 0 THEN concat_ws('#', file_name, page, '1') END AS batch_id, false AS redacted, page % 7 = 0 AS dismissed,

@@ -170,3 +170,115 @@ def test_plans_have_no_cartesian_product(spark):
 def test_library_row_by_row(spark):
     df = spark.createDataFrame([("x1", "", "c"), ("", "second", "d"), ("", "", "")], ["Redacted", "CCI text", "Type"])
     assert [(r.redacted_text, r.category) for r in state.load_library(df).orderBy(F.col("redacted_text")).collect()] == [("second", "d"), ("x1", "c")]
+
+
+def test_dismissing_twice_keeps_both(spark):
+    rows = [("a", "f", 1, "x", "t", "b1", True, False), ("b", "f", 1, "y", "t", "b2", True, False)]
+    r = spark.createDataFrame(rows, "id string, file_name string, page int, match string, term string, batch_id string, redacted boolean, dismissed boolean")
+    boxes = spark.createDataFrame([("f", "b1"), ("f", "b2"), ("f", "b3")], "file_name string, batch_id string")
+    key = lambda m: spark.createDataFrame([("f", 1, m, "t")], "file_name string, page int, match_text string, term string")
+    one, left = state.dismiss(r, boxes, key("x"))
+    two, left = state.dismiss(one, left, key("y"))
+    assert {(x.id, x.dismissed, x.redacted, x.batch_id) for x in two.collect()} == {("a", True, False, None), ("b", True, False, None)}
+    assert [x.batch_id for x in left.collect()] == ["b3"]
+
+
+def test_library_has_every_item(spark):
+    df = spark.createDataFrame([(f"text {i:04d}", "c", "k", f"j{i}") for i in range(450)], "redacted_text string, context string, category string, justification string")
+    (r,) = detect.library_block(df).collect()
+    assert r.library.count("- Text:") == 450 and '  Justification: "j449"' in r.library
+
+
+def test_clusters_over_tables_are_passed_over(spark):
+    box = "file_name string, page int, cluster int, n long, x0 double, y0 double, x1 double, y1 double"
+    src = spark.createDataFrame([("f", 1, 0, 5, 0.0, 0.0, 100.0, 100.0)], box)
+    dst = spark.createDataFrame([("f", 1, 0, 5, 0.0, 0.0, 100.0, 100.0), ("f", 2, 1, 5, 10.0, 10.0, 110.0, 110.0)], box)
+    cells = spark.createDataFrame([("f", 1, 0, 0, 0, 0.0, 0.0, 100.0, 31.0, "a")], "file_name string, page int, table_idx int, row_idx int, col_idx int, x0 double, y0 double, x1 double, y1 double, text string")
+    assert transfer.match_clusters(src, dst).first().page == 1 and transfer.match_clusters(src, dst, cells=cells).first().page == 2
+
+
+def grid(spark, texts, page=1, idx=0):
+    rows = [("f", page, idx, r, c, 60.0 * c, 14.0 * r, 60.0 * c + 60, 14.0 * r + 14, t) for r, line in enumerate(texts) for c, t in enumerate(line)]
+    return spark.createDataFrame(rows, "file_name string, page int, table_idx int, row_idx int, col_idx int, x0 double, y0 double, x1 double, y1 double, text string")
+
+
+def test_titles_decide_between_equal_tables(spark):
+    t = [["a", "b"], ["1", "2"]]
+    both = grid(spark, t, 1, 0).unionByName(grid(spark, t, 1, 1))
+    titles = lambda a, b: spark.createDataFrame([("f", 1, 0, a), ("f", 1, 1, b)], "file_name string, page int, table_idx int, title string")
+    m = transfer.match_tables(grid(spark, t), both, source_titles=titles("Plasma levels", None), target_titles=titles("Sites", "Plasma levels")).first()
+    assert m.table_idx == 1 and round(m.score, 6) == 1.0
+    assert round(transfer.match_tables(grid(spark, t), both, source_titles=titles(None, None)).first().score, 6) == 1.0
+    assert round(transfer.match_tables(grid(spark, t), both, target_titles=titles("x", "y")).first().score, 6) == 1.0 - 0.15 / 2
+
+
+def test_cell_matching_equals_brute_force(spark):
+    from pagemask.functions.similarity import cell
+
+    rng = random.Random(8)
+    make = lambda: [[rng.choice(["alpha one", "alpha two", "beta", "12", "13", "", "gamma delta"]) for _ in range(3)] for _ in range(4)]
+    a, b = make(), make()
+    b[2] = list(a[2])
+    src, dst = grid(spark, a), grid(spark, b, 2)
+    boxes = spark.createDataFrame([(f"{r}{c}", "f", 1, 60.0 * c + 5, 14.0 * r + 2, 40.0, 9.0) for r in range(4) for c in range(3)], "id string, file_name string, page int, x double, y double, w double, h double")
+    at = lambda t, r, c: t[r][c] if 0 <= r < 4 and 0 <= c < 3 else ""
+    want, content = {}, {}
+    for r in range(4):
+        for c in range(3):
+            scores = []
+            for i in range(4):
+                for j in range(3):
+                    near = [cell(at(a, r + y, c + x), at(b, i + y, j + x)) for y, x in ((-1, 0), (1, 0), (0, -1), (0, 1))]
+                    scores.append((5 * cell(a[r][c], b[i][j]) + sum(near), (i, j)))
+                    if cell(a[r][c], b[i][j]) >= 0.85:
+                        content.setdefault(f"{r}{c}", (i, j))
+            full = [p for s, p in scores if s >= 8]
+            best = max(scores, key=lambda x: (x[0], -x[1][0], -x[1][1]))
+            if full or best[0] >= 3.5:
+                want[f"{r}{c}"] = full[0] if full else best[1]
+    got = transfer.match_cells(transfer.containing_cell(boxes, src), dst).collect()
+    assert {x.id: (x.row_idx, x.col_idx) for x in got} == want
+    texts = boxes.join(src.selectExpr("concat(row_idx, col_idx) AS id", "text"), "id")
+    got = transfer.match_cell_content(texts, dst).collect()
+    assert {x.id: (x.row_idx, x.col_idx) for x in got} == content
+
+
+def test_line_and_run_matching_equals_brute_force(spark):
+    from difflib import SequenceMatcher
+
+    from pagemask.functions.similarity import token_set
+
+    rng = random.Random(9)
+    vocabulary = ["alpha", "alphq", "beta", "gamma", "delta", "x"]
+    pages = ["\n".join(" ".join(rng.choice(vocabulary) for _ in range(5)) for _ in range(5)) for _ in range(6)]
+    words = line_words(spark, pages)
+    targets = [(f"doc_{i}.pdf", " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 4)))) for i in range(6)]
+    boxes = spark.createDataFrame([(f, f, 1, t) for f, t in targets], "id string, file_name string, page int, text string")
+    window = spark.createDataFrame([(f, 0, 0, 1) for f, _ in targets], "file_name string, page_offset int, radius int, target_pages int")
+    got = {(r.b_id, r.block_no): round(r.score, 6) for r in transfer.match_lines(boxes, words, window).collect()}
+    want = {(f, k): round(token_set(t, line) / 100, 6) for (f, t), p in zip(targets, pages) for k, line in enumerate(p.split("\n")) if len(t) >= 3 and token_set(t, line) >= 80}
+    assert got == want and got
+    found = {r.id: round(r.ratio, 6) for r in detect.fuzzy_locate(boxes, words).collect()}
+    best = {}
+    for (f, t), p in zip(targets, pages):
+        w = p.split()
+        r = max(SequenceMatcher(None, t, " ".join(w[i : i + k])).ratio() for k in range(1, 7) for i in range(len(w) - k + 1))
+        if r >= 0.8:
+            best[f] = round(r, 6)
+    assert found == best and found
+
+
+def test_log_entries_count_however_late(spark, tmp_path):
+    from pagemask.streaming.jobs import stream_boxes
+
+    schema = "file_name string, box_id string, seq long, action string, page int, x double, y double, w double, h double, ts timestamp"
+    rows = [("f", "a", 1, "add", 1, 1.0, 1.0, 1.0, 1.0, "2026-01-09 00:00:00"), ("f", "b", 2, "add", 1, 2.0, 1.0, 1.0, 1.0, "2026-01-01 00:00:00"), ("f", "b", 2, "add", 1, 2.0, 1.0, 1.0, 1.0, "2026-01-01 00:00:00"), ("f", "a", 3, "edit", 1, 9.0, 1.0, 1.0, 1.0, "2025-12-01 00:00:00")]
+    log = str(tmp_path / "log")
+    for r in rows:  # a file and so a batch each
+        spark.createDataFrame([r[:-1]], schema.rsplit(",", 1)[0]).selectExpr("*", f"timestamp'{r[-1]}' AS ts").coalesce(1).write.mode("append").parquet(log)
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(log)
+    last: list[int] = []
+    stream_boxes(live, f"file://{tmp_path}/state", f"file://{tmp_path}/checkpoint", on_boxes=lambda df, n: last.append(n), once=True).awaitTermination()
+    got = state.replay_actions(spark.read.parquet(f"file://{tmp_path}/state/{last[-1]}")).collect()
+    assert {(r.box_id, r.x) for r in got} == {("a", 9.0), ("b", 2.0)} and last[-1] >= 3
+    assert not (tmp_path / "state" / "0").exists()
