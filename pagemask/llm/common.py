@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys that join_hot deals with by a broadcast: no other key has more than one in so many rows.
+HOT_KEYS = 2000
+#: Bytes of text that are worked on at once; a longer text is a portion of its own.
+PORTION = 4 << 20
+_MADE: list[str] = []
+
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id long, text string, null as empty): other columns, whatever their names, never reach an operator."""
@@ -15,14 +24,25 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor sees; a temporary one only where the setting is absent."""
+    """A new folder below spark.checkpoint.dir, which every executor sees. Only a local session, where one machine does it all, may leave
+    the setting out. `release` removes the folders that a session has asked for."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         base = "file://" + tempfile.gettempdir() + "/pagemask-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Removes what shared_dir has named so far, but for `keep`. What was made from these folders and isn't written yet can't be read after it."""
+    for path in [p for p in _MADE if p not in keep]:
+        drop_dir(spark, path)
+    _MADE[:] = keep
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -33,11 +53,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lowers the session's rows of an Arrow batch where it has more: a task holds a few batches of whole texts at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def join_hot(rows: DataFrame, one: DataFrame, on: Column, count: str) -> DataFrame:
+    """Inner join of many rows with a small row for each key, where one key may have any share of the rows.
+
+    one: narrow, at most one row matches each of rows; `count` is its column with the number of rows that match it. The HOT_KEYS rows of the
+    largest counts are broadcast, which is a bounded number; the rest meet in a shuffle, where each key has under one in HOT_KEYS rows.
+    rows are read twice. No column may be in both.
+    """
+    first = [c for c in one.columns if c != count]
+    hot = one.orderBy(F.col(count).desc(), *first).limit(HOT_KEYS).withColumn("_is_hot", F.lit(True))
+    met = rows.join(F.broadcast(hot), on, "left")
+    rest = met.filter("_is_hot IS NULL").select(*rows.columns).join(one, on)
+    return met.filter("_is_hot").select(*rest.columns).unionByName(rest)
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:
@@ -45,6 +72,8 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _MADE:
+        _MADE.remove(path)
 
 
 def batches_of(columns: dict[str, pa.DataType], rows, every: int = 2000):
@@ -60,9 +89,20 @@ def batches_of(columns: dict[str, pa.DataType], rows, every: int = 2000):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), columns.values())], schema=schema)
 
 
+def portions(batches, column: int = 1, most: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches with at most `most` bytes in a string column, or one row."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
 def texts(batches):
     """(doc_id, text) of Arrow batches whose first two columns they are."""
-    for b in batches:
+    for b in portions(batches):
         yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist())
 
 
