@@ -9,16 +9,16 @@ until they agree again with the old ones for as long as the longest token.
 from __future__ import annotations
 
 import base64
-import io
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemask.llm.common import batches_of, id_and_text, small_batches, texts
-from pagemask.llm.pretokens import Cache, lines_of
+from pagemask.llm.common import id_and_text, portions
+from pagemask.llm.pretokens import Cache, encoded, piece, single_spaced
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -27,7 +27,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-#: Pieces up to SHARED bytes share a table of at most KNOWN prefixes.
+#: Pieces of up to SHARED bytes share a table of at most KNOWN prefixes; keeping each prefix of a longer one would cost the square of its
+#: length. Both ways store the same last token of each prefix.
 SHARED = 64
 KNOWN = 300_000
 
@@ -39,6 +40,10 @@ class Bpe:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
+        self.reach: dict[bytes, int] = {}  # length of the longest token that ends with four bytes
+        for t in ranks:
+            if len(t) > 3 and self.reach.get(t[-4:], 0) < len(t):
+                self.reach[t[-4:]] = len(t)
         self._pairs: dict[tuple[int, int], bool] = Cache(lambda p: self.merge(self.tokens[p[0]] + self.tokens[p[1]]) == list(p), 400_000)
         self._whole: dict[int, bool] = Cache(lambda t: self.merge(self.tokens[t]) == [t], 100_000)
         self.known: dict[bytes, int] = {}  # prefixes that texts share, and their last tokens; holds all prefixes of what it holds
@@ -60,7 +65,7 @@ class Bpe:
     def last_token(self, data: bytes, end: int, last: list[int]) -> int:
         """The last token of data[:end], given those of all shorter prefixes (last[k] belongs to data[:k])."""
         get, pairs = self.ranks.get, self._pairs
-        for start in range(max(0, end - self.longest), end):
+        for start in range(max(0, end - self.reach.get(data[max(0, end - 4) : end], 3)), end):
             t = get(data[start:end])
             if t is not None and (pairs[last[start], t] if start else self._whole[t]):
                 return t
@@ -90,13 +95,13 @@ class Bpe:
             return self.read_back(self.prefixes(piece))
         if len(self.known) > KNOWN:
             self.known.clear()
-        known, pairs, longest, n = self.known, self._pairs, self.longest, len(piece)
+        known, pairs, reach, n = self.known, self._pairs, self.reach.get, len(piece)
         end = n
         while end and piece[:end] not in known:
             end -= 1
         while end < n:  # the table grows by the prefixes that no earlier piece had
             end += 1
-            for start in range(max(0, end - longest), end):
+            for start in range(max(0, end - (reach(piece[end - 4 : end], 3) if end > 3 else 3)), end):
                 t = get(piece[start:end])
                 if t is not None and (pairs[known[piece[:start]], t] if start else self._whole[t]):
                     known[piece[:end]] = t
@@ -130,41 +135,41 @@ class Bpe:
 
 @lru_cache(maxsize=1)
 def encoder(path: str, pattern: str):
-    """ids(text) -> int32 array, by way of caches of words. One for each worker process, over all its tasks."""
+    """encode(texts) -> uint32 ids of all texts and their ends, by way of caches of words and pieces. One for each worker process, over all its tasks."""
     import regex
 
     bpe, pieces_of = Bpe(read_ranks(path)), regex.compile(pattern).findall
-    piece = Cache(lambda p: np.array(bpe.encode(p.encode()), dtype=np.int32).tobytes(), 500_000)
-    first = Cache(lambda w: b"".join([piece[p] for p in pieces_of(w)]), 30_000)
-    later = Cache(lambda w: b"".join([piece[p] for p in pieces_of(" " + w)]), 600_000)
-
-    def ids(text: str) -> np.ndarray:
-        lines = lines_of(text)
-        if lines is None:
-            return np.frombuffer(b"".join([piece[p] for p in pieces_of(text)]), np.int32)
-        out: list[bytes] = []
-        for line in lines:
-            words = line.split(" ")
-            out.append(first[words[0]])
-            out += [later[w] for w in words[1:]]
-            out.append(piece["\n"])
-        out.pop()
-        return np.frombuffer(b"".join(out), np.int32)
-
-    return ids
+    held = Cache(lambda p: np.array(bpe.encode(p.encode()), dtype=np.uint32).tobytes(), 400_000)
+    cache = Cache(most=600_000)
+
+    def whole(text: str) -> bytes:
+        return b"".join([held[p] for p in pieces_of(text)])
+
+    def words(distinct: list[str]) -> list[bytes]:
+        return cache.all_of(distinct, lambda missed: [whole(piece(w)) for w in missed])
+
+    return lambda texts: encoded(texts, single_spaced, words, whole)
 
 
 @lru_cache(maxsize=1)
-def vocabulary(path: str) -> dict[int, bytes]:
-    """Bytes of each id."""
-    return {i: t for t, i in read_ranks(path).items()}
+def vocabulary(path: str) -> pa.Array:
+    """The bytes of each id, at its place."""
+    by_id = {i: t for t, i in read_ranks(path).items()}
+    return pa.array([by_id.get(i) for i in range(max(by_id) + 1)], pa.binary())
+
 
+def joined(by_id: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes that each run of ids stands for; ends: where the runs end, each beginning where the one before ends."""
+    taken = by_id.take(pa.array(ids))
+    if taken.null_count:
+        raise ValueError("an id that isn't in the vocabulary")
+    _, at, data = taken.buffers()
+    at = np.frombuffer(at, np.int32, len(taken) + 1, 4 * taken.offset)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(at[np.r_[0, ends]].tobytes()), data or pa.py_buffer(b"")])
 
-def joined(by_id: dict[int, bytes], ids: np.ndarray) -> bytes:
-    """The bytes that ids stand for, one after the other."""
-    out = io.BytesIO()
-    out.writelines(map(by_id.__getitem__, ids.tolist()))
-    return out.getvalue()
+
+def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids.view(np.int32)))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,10 +179,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """
 
     def scan(batches):
-        ids = encoder(path, pattern)
-        yield from batches_of({"doc_id": pa.int64(), "ids": pa.list_(pa.int32())}, ((i, ids(t)) for i, t in texts(batches)), 500)
+        ids_of = encoder(path, pattern)
+        for b in portions(batches):
+            ids, ends = ids_of(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids, ends)], names=["doc_id", "ids"])
 
-    small_batches(docs.sparkSession)
     return id_and_text(docs, id_col, text_col).mapInArrow(scan, "doc_id long, ids array<int>")
 
 
@@ -188,10 +194,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         by_id = vocabulary(path)
         for b in batches:
             lists = b.column(1)
-            flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            null = lists.is_null().to_pylist()
-            decoded = [None if z else joined(by_id, flat[s:e]) for z, s, e in zip(null, ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
+            null, filled = lists.is_null(), pc.fill_null(lists, pa.scalar([], lists.type))
+            ends = np.cumsum(pc.list_value_length(filled).to_numpy(), dtype=np.int64)
+            decoded = joined(by_id, filled.flatten().to_numpy(zero_copy_only=False), ends)
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pc.if_else(null, None, decoded)], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(scan, "doc_id long, ids array<int>, decoded binary")
 
@@ -203,16 +209,11 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     """
 
     def scan(batches):
-        ids, by_id = encoder(path, pattern), vocabulary(path)
-
-        def rows():
-            for i, t in texts(batches):
-                found = ids(t)
-                yield i, found, joined(by_id, found)
-
-        yield from batches_of({"doc_id": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.binary()}, rows(), 250)
+        ids_of, by_id = encoder(path, pattern), vocabulary(path)
+        for b in portions(batches):
+            ids, ends = ids_of(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids, ends), joined(by_id, ids, ends)], names=["doc_id", "ids", "decoded"])
 
-    small_batches(docs.sparkSession)
     return id_and_text(docs, id_col, text_col).mapInArrow(scan, "doc_id long, ids array<int>, decoded binary")
 
 
