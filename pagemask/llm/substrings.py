@@ -4,21 +4,24 @@ A byte goes if a string of `length` bytes that covers it also starts earlier (in
 document). Sampling: in every window of `length` bytes the gram of GRAM bytes with the least hash is the window's anchor, so equal
 windows have equal anchors at equal offsets, and each window belongs to one anchor. A text has about one anchor in 35 bytes.
 
-1. Each task finds the anchors of its documents by prefix polynomial hashes, with a hash of all bytes of the anchor's windows.
+1. Each task finds the anchors of its documents by prefix polynomial hashes, with a cryptographic digest (BLAKE2b, 128 bits) of all bytes of
+   the anchor's windows: what is settled by it in steps 1 and 2 needs no look at the bytes, as no two strings with one digest are known.
    An anchor whose windows all stood earlier in the same batch is settled there; so a string that fills a third of all rows
    leaves one row a batch.
-2. Anchors are shuffled by hash. Of occurrences with the same windows only the first can keep bytes. Where an anchor has
-   different surroundings, the first of each goes on.
+2. Anchors are shuffled by hash and sorted. Of occurrences with the same windows only the first can keep bytes. Where an anchor has
+   different surroundings, the first of each goes on. Rows stream through: no group is held, whatever its size.
 3. These fetch their surroundings from the text. The suffixes right of the anchor, and the reversed ones left of it, are
    mergesorted; two suffixes are compared by a binary search for their longest common extension over prefix hashes, and
    neighbours in the result are compared byte by byte, which verifies order and extensions (a collision leads to another base).
    Windows are equal if both extensions reach; the first of equal windows stays.
-   An anchor with more than `most` different surroundings isn't held in a task: its windows are grouped by their bytes instead.
+   An anchor with more than `most` different surroundings isn't held in a task, which bounds its memory: its windows are grouped by their
+   bytes by Spark instead, with the same result.
 4. Runs are merged per document, and the text is cut.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,9 @@ from pagemask.llm.common import batches_of, materialize
 GRAM = 32
 #: Bytes that are hashed at once: position bits of a sampled key.
 CHUNK_BITS = 18
-NO_ID = (1 << 63) - 1  # a null id sorts last
+#: A null id sorts as the last one, after a document of that very id, from which its th tells it apart.
+NO_ID = (1 << 63) - 1
+NULL_TH = 1 << 62
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -61,12 +66,13 @@ class PrefixHash:
 
 
 def anchors(data: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of the windows that start where `valid`: anchor place g, first and last window start a and b, anchor hash, hash of the windows' bytes."""
+    """Of the windows that start where `valid`: anchor place g, first and last window start a and b, anchor hash, and the two halves of the
+    digest of the windows' bytes and of the anchor's place among them."""
     none = np.zeros(0, np.int64)
     windows = len(data) - length + 1
     if windows < 1 or not valid[:windows].any():
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    one, two = (PrefixHash(data, b) for b in _BASES)
+        return none, none, none, *[none.view(np.uint64)] * 3
+    one = PrefixHash(data, _BASES[0])
     grams = np.arange(len(data) - GRAM + 1)
     h = _mix(one.of(grams, grams + GRAM))
     low = np.uint64((1 << CHUNK_BITS) - 1)
@@ -82,8 +88,10 @@ def anchors(data: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarra
     new = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (starts[1:] != starts[:-1] + 1)])
     a, b = starts[new], starts[np.r_[new[1:], len(starts)] - 1]
     g = g[new]
-    around = two.of(a, b + length) + (g - a).astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7) + (b - a).astype(np.uint64)
-    return g, a, b, h[g], _mix(around)
+    raw = data.tobytes()
+    digests = np.frombuffer(b"".join([blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(a.tolist(), (b + length).tolist())]), np.uint64).reshape(-1, 2)
+    place = (g - a).astype(np.uint64) << np.uint64(32) | (b - a).astype(np.uint64)
+    return g, a, b, h[g], digests[:, 0] ^ _mix(place), digests[:, 1]
 
 
 def _runs(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -94,7 +102,7 @@ def _runs(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndar
     return doc[new], start[new], stop[np.r_[new[1:], len(doc)] - 1]
 
 
-_ROW = "settled boolean, key long, around long, doc long, th long, g int, a int, b int"
+_ROW = "settled boolean, key long, around long, more long, doc long, th long, g int, a int, b int"
 
 
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
@@ -132,74 +140,69 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 which = np.repeat(np.arange(len(held)), sizes)
                 # a piece's last windows belong to the next piece, if there is one
                 valid = np.arange(len(data)) + length <= ends[which]
-                g, a, b, key, around = anchors(data, valid, length)
+                g, a, b, key, around, more = anchors(data, valid, length)
                 row, shift = np.array([c[0] for c in held])[which[a]], (np.array([c[1] for c in held]) - (ends - sizes))[which[a]]
-                parts.append((row, g + shift, a + shift, b + shift, key, around))
+                parts.append((row, g + shift, a + shift, b + shift, key, around, more))
             if not parts:
                 continue
-            row, g, a, b, key, around = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((a, th[row], doc[row], around, key))
-            later = np.r_[False, (key[order][1:] == key[order][:-1]) & (around[order][1:] == around[order][:-1])]
+            row, g, a, b, key, around, more = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((a, th[row], doc[row], more, around, key))
+            later = np.r_[False, np.all([x[order][1:] == x[order][:-1] for x in (key, around, more)], axis=0)]
             gone, left = order[later], order[~later]
             gone = gone[np.lexsort((a[gone], row[gone]))]
             r, s, e = _runs(row[gone], a[gone], b[gone] + length)
-            yield _batch(True, _mix(doc[r].view(np.uint64)), np.zeros(len(r), np.uint64), doc[r], th[r], s, s, e)
-            yield _batch(False, key[left], around[left], doc[row[left]], th[row[left]], g[left], a[left], b[left])
+            none = np.zeros(len(r), np.uint64)
+            yield _batch(True, _mix(doc[r].view(np.uint64)), none, none, doc[r], th[r], s, s, e)
+            yield _batch(False, key[left], around[left], more[left], doc[row[left]], th[row[left]], g[left], a[left], b[left])
 
     return docs.mapInArrow(scan, _ROW)
 
 
-def _batch(settled, key, around, doc, th, g, a, b) -> pa.RecordBatch:
+def _batch(settled, key, around, more, doc, th, g, a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(key), settled)), pa.array(key.view(np.int64)), pa.array(around.view(np.int64)), pa.array(doc), pa.array(th), *(pa.array(x.astype(np.int32)) for x in (g, a, b))],
-        names=["settled", "key", "around", "doc", "th", "g", "a", "b"],
+        [pa.array(np.full(len(key), settled)), *(pa.array(x.view(np.int64)) for x in (key, around, more)), pa.array(doc), pa.array(th), *(pa.array(x.astype(np.int32)) for x in (g, a, b))],
+        names=["settled", "key", "around", "more", "doc", "th", "g", "a", "b"],
     )
 
 
-def _grouped(batches, column: int, least: int):
-    """Tables of whole groups (rows sorted by the key column), of `least` rows or more."""
-    held, n = [], 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(b)
-        n += b.num_rows
-        if n < least:
-            continue
-        t = pa.Table.from_batches(held).combine_chunks()
-        keys = t.column(column).to_numpy()
-        stop = int(np.searchsorted(keys, keys[-1]))
-        if stop:
-            yield t.slice(0, stop)
-        t = t.slice(stop)
-        held, n = t.to_batches(), t.num_rows
-        least = max(least, 2 * n)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _settle(rows: DataFrame, length: int) -> DataFrame:
     """Step 2, on rows of step 1: the same schema; rows that aren't settled must look at their surroundings."""
 
     def scan(batches):
-        for t in _grouped(batches, 1, 60_000):
-            settled, key, around, doc, th, g, a, b = (t.column(i).to_numpy() for i in range(8))
+        before = None  # the last row's key and digest
+        held = None  # the first row of the current key, while no other surroundings of it have come
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            settled = t.column(0).to_numpy()
             if settled.any():
                 yield from t.filter(pa.array(settled)).to_batches()
-            open_ = np.flatnonzero(~settled)
-            order = open_[np.lexsort((a[open_], th[open_], doc[open_], around[open_], key[open_]))]
-            if not len(order):
+                t = t.filter(pa.array(~settled))
+            if not t.num_rows:
                 continue
-            key, around, doc, th, g, a, b = (x[order] for x in (key, around, doc, th, g, a, b))
-            same_key = np.r_[False, key[1:] == key[:-1]]
-            later = same_key & np.r_[False, around[1:] == around[:-1]]
-            group = np.cumsum(~same_key) - 1
-            classes = np.bincount(group, weights=~later)
-            ask = ~later & (classes[group] > 1)
-            yield _batch(True, key[later].view(np.uint64), around[later].view(np.uint64), doc[later], th[later], a[later], a[later], b[later] + length)
-            yield _batch(False, key[ask].view(np.uint64), around[ask].view(np.uint64), doc[ask], th[ask], g[ask], a[ask], b[ask])
+            key, around, more, doc, th, g, a, b = (t.column(i).to_numpy() for i in range(1, 9))
+            last = before or (~key[0], 0, 0)
+            same_key = np.r_[last[0], key[:-1]] == key
+            later = same_key & (np.r_[last[1], around[:-1]] == around) & (np.r_[last[2], more[:-1]] == more)
+            before = key[-1], around[-1], more[-1]
+            first = np.flatnonzero(~later)
+            # of two firsts of one key that follow each other, both have different surroundings
+            follows = same_key[first]
+            ask = follows.copy()
+            ask[:-1] |= follows[1:]
+            if len(first):
+                if held is not None and follows[0]:
+                    yield held
+                if not follows[-1]:
+                    ask[-1] = False
+                    held = t.slice(int(first[-1]), 1).to_batches()[0]
+                else:
+                    held = None
+            yield _batch(True, key[later], around[later], more[later], doc[later], th[later], a[later], a[later], b[later] + length)
+            at = first[ask]
+            yield _batch(False, key[at], around[at], more[at], doc[at], th[at], g[at], a[at], b[at])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(scan, _ROW)
+    order = ["key", "around", "more", "doc", "th", "a"]
+    return rows.repartition("key").sortWithinPartitions(*order).mapInArrow(scan, _ROW)
 
 
 class Suffixes:
@@ -418,9 +421,12 @@ def _surroundings(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """doc (the id, NO_ID for null), th (tells texts of one id apart; 0 where ids don't repeat) and text: all rows, and each document once."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    own = F.col(id_col).cast("long")
+    rows = docs.select(F.coalesce(own, F.lit(NO_ID)).alias("doc"), own.isNull().alias("null"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     repeats = rows.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").take(1)
-    rows = rows.select("doc", (F.xxhash64("text") if repeats else F.lit(0).cast("long")).alias("th"), "text")
+    h = F.xxhash64("text")
+    th = F.when(F.col("null"), F.lit(NULL_TH) + F.shiftrightunsigned(h, 3)).otherwise(F.shiftright(h, 2) if repeats else F.lit(0).cast("long"))
+    rows = rows.select("doc", th.alias("th"), "text")
     return rows, rows.dropDuplicates(["doc", "th"]) if repeats else rows
 
 
@@ -444,7 +450,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, most: int = 40_000, id_co
     """
     rows, once = keyed(docs, id_col, text_col)
     spans = repeated_spans(once, length, most).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), "spans")
-    both = _packed(rows).join(spans, (F.col("doc") == F.col("_doc")) & (F.col("th") == F.col("_th")), "left").select("doc", "packed", "spans")
+    both = _packed(rows).join(spans, (F.col("doc") == F.col("_doc")) & (F.col("th") == F.col("_th")), "left").select("doc", "th", "packed", "spans")
     types = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), "kept": pa.binary()}
 
     def scan(batches):
@@ -452,7 +458,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, most: int = 40_000, id_co
 
         def cut():
             for b in batches:
-                for doc, packed, spans in zip(*(b.column(i).to_pylist() for i in range(3))):
+                for doc, th, packed, spans in zip(*(b.column(i).to_pylist() for i in range(4))):
                     data, runs = z.decompress(packed), []
                     for a, e in sorted((s["a"], s["b"]) for s in spans or ()):
                         if runs and a <= runs[-1]["stop"]:
@@ -460,7 +466,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, most: int = 40_000, id_co
                         else:
                             runs.append({"start": a, "stop": e})
                     edges = [0, *(x for r in runs for x in (r["start"], r["stop"])), len(data)]
-                    yield None if doc == NO_ID else doc, len(data), runs, b"".join(data[s:e] for s, e in zip(edges[::2], edges[1::2]))
+                    yield None if doc == NO_ID and th >= NULL_TH else doc, len(data), runs, b"".join(data[s:e] for s, e in zip(edges[::2], edges[1::2]))
 
         yield from batches_of(types, cut(), 1000)
 
