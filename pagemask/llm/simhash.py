@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemask.llm.common import id_and_text, materialize
+from pagemask.llm.common import id_and_text, join_hot, materialize, portions
 from pagemask.llm.components import components
 
 #: Rows of one trie above which it is split, and pairs of trie nodes held at once.
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     """doc_id, th (Spark's hash of the text) and fp (the fingerprint's 64 bits as a signed long), one row per input row."""
 
     def scan(batches):
-        for b in batches:
+        for b in portions(batches):
             fp = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp)], names=["doc_id", "th", "fp"])
 
@@ -198,21 +198,23 @@ def near_duplicates(docs: DataFrame, words: int = 3, errors: int = 3, id_col: st
     smallest id that isn't null, or null. Repeated rows and equal texts share a component. Other columns are not read.
     """
     prints = materialize(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     roots = components(links(nodes.select("fp"), errors))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"))
-    classes = rooted.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "root", "component_id")
-    return prints.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "th", "fp", "root", "component_id")
+    classes = materialize(rooted.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "root", "component_id", "n"), "classes")
+    return join_hot(prints, classes, F.col("fp") == F.col("_fp"), "n").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def first_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each root of found (doc_id, th, root): that of the smallest id (null last), of one id that of the
-    smallest text hash."""
+    smallest text hash; where rows of this id and text differ in other columns, that of the smallest JSON form."""
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th")).alias("at")).select(F.col("at.doc_id").alias("_id"), F.col("at.th").alias("_th"))
-    th = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    kept = docs.withColumn("_key", th).join(first, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")), "left_semi")
-    return kept.dropDuplicates([id_col, "_key"]).drop("_key")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("th"))
+    kept = rows.join(first, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left_semi")
+    others = F.struct(*[F.col("row")[c].alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col])
+    one = kept.groupBy("id", "th").agg(F.min_by("row", F.to_json(others)).alias("row"))
+    return one.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 3, errors: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
