@@ -180,7 +180,7 @@ _OWN = "SELECT DISTINCT file_name, page AS s_page, table_idx AS s_table, page +
 query("m13_match_tables", "cells", _OWN)(lambda v: matches(v).drop("score"))
 query("m13_match_tables_titles", "cells", _OWN)(lambda v: tr.match_tables(cells(v), dest_cells(v), variant="older", source_titles=_titles(v, True), target_titles=_titles(v, False)).drop("score"))
 query("m13_match_tables_older", "cells", _OWN)(lambda v: tr.match_tables(cells(v), dest_cells(v), variant="older").drop("score"))
-_BOTH = "b.id, d.file_name, d.page, s.x0 AS sx0, s.y0 AS sy0, s.x1 AS sx1, s.y1 AS sy1, d.x0 AS tx0, d.y0 AS ty0, d.x1 AS tx1, d.y1 AS ty1, b.x, b.y, b.w, b.h FROM tboxes b JOIN sb s ON b.file_name = s.file_name AND b.page = s.page AND b.table_idx = s.table_idx JOIN db d ON d.file_name = s.file_name AND d.page = s.page + 1 AND d.table_idx = 1 - s.table_idx"
+_BOTH = "b.id, d.file_name, d.page, b.page AS s_page, b.table_idx AS s_table, s.x0 AS sx0, s.y0 AS sy0, s.x1 AS sx1, s.y1 AS sy1, d.x0 AS tx0, d.y0 AS ty0, d.x1 AS tx1, d.y1 AS ty1, b.x, b.y, b.w, b.h FROM tboxes b JOIN sb s ON b.file_name = s.file_name AND b.page = s.page AND b.table_idx = s.table_idx JOIN db d ON d.file_name = s.file_name AND d.page = s.page + 1 AND d.table_idx = 1 - s.table_idx"
 query("m14_relative", "tboxes bounds", f"""WITH j AS (SELECT {_BOTH})
 SELECT id, round(tx0 + (x - sx0) * (tx1 - tx0) / (sx1 - sx0), 6) AS x, round(ty0 + (y - sy0) * (ty1 - ty0) / (sy1 - sy0), 6) AS y, round(w * (tx1 - tx0) / (sx1 - sx0), 6) AS w, round(h * (ty1 - ty0) / (sy1 - sy0), 6) AS h FROM j""")(lambda v: _relative(v))
 
@@ -204,7 +204,7 @@ _ANCHOR = """
 an AS (SELECT s.file_name, s.page AS s_page, s.table_idx AS s_table, s.row_idx, s.col_idx, d.x0 - s.x0 AS dx, d.y0 - s.y0 AS dy, CASE WHEN lower(d.text) = lower(s.text) THEN 2 ELSE 0 END
     + CASE WHEN d.up <> '' AND lower(d.up) = lower(s.up) THEN 1 ELSE 0 END + CASE WHEN d.down <> '' AND lower(d.down) = lower(s.down) THEN 1 ELSE 0 END + CASE WHEN d."left" <> '' AND lower(d."left") = lower(s."left") THEN 1 ELSE 0 END + CASE WHEN d."right" <> '' AND lower(d."right") = lower(s."right") THEN 1 ELSE 0 END AS anchor
   FROM fp s JOIN dn d ON d.file_name = s.file_name AND d.page = s.page + 1 AND d.table_idx = 1 - s.table_idx AND d.row_idx = s.row_idx AND d.col_idx = s.col_idx),
-ba AS (SELECT * FROM an WHERE anchor >= 2 QUALIFY row_number() OVER (PARTITION BY file_name, s_page, s_table ORDER BY anchor DESC, row_idx, col_idx) = 1)"""
+ba AS MATERIALIZED (SELECT * FROM an WHERE anchor >= 2 QUALIFY row_number() OVER (PARTITION BY file_name, s_page, s_table ORDER BY anchor DESC, row_idx, col_idx) = 1)"""
 query("m15_anchors", "keys", f"WITH {_ANCHOR} SELECT file_name, s_page, s_table, anchor, dx, dy FROM ba")(lambda v: tr.anchor_cells(cells(v), dest_cells(v), _truth(v)).select("file_name", "s_page", "s_table", "anchor", "dx", "dy"))
 
 
@@ -214,10 +214,10 @@ def _emptied(v):
     return dest_cells(v).withColumn("text", F.when(lost, F.concat(F.lit("#"), F.col("row_idx").cast("string"), F.lit("#"), F.col("col_idx").cast("string"))).otherwise(F.col("text")))
 
 
-query("m15_transfer_anchored", "keys tboxes bounds", f"""WITH {_ANCHOR}, j AS (SELECT {_BOTH}), lost AS (SELECT *, regexp_extract(file_name, '([0-9]+)', 1)::BIGINT % 4 = 0 AS gone FROM j)
+query("m15_transfer_anchored", "keys tboxes bounds", f"""WITH {_ANCHOR}, j AS MATERIALIZED (SELECT {_BOTH}), lost AS (SELECT *, regexp_extract(file_name, '([0-9]+)', 1)::BIGINT % 4 = 0 AS gone FROM j)
 SELECT l.id, l.file_name, l.page, round(CASE WHEN gone THEN tx0 + (l.x - sx0) * (tx1 - tx0) / (sx1 - sx0) ELSE l.x + a.dx END, 6) AS x, round(CASE WHEN gone THEN ty0 + (l.y - sy0) * (ty1 - ty0) / (sy1 - sy0) ELSE l.y + a.dy END, 6) AS y,
   round(CASE WHEN gone THEN l.w * (tx1 - tx0) / (sx1 - sx0) ELSE l.w END, 6) AS w, CASE WHEN gone THEN 'relative' ELSE 'anchor' END AS how
-FROM lost l JOIN tboxes b USING (id) JOIN ba a ON a.file_name = l.file_name AND a.s_page = l.page - 1 AND a.s_table = b.table_idx""")(
+FROM lost l JOIN ba a ON a.file_name = l.file_name AND a.s_page = l.s_page AND a.s_table = l.s_table""")(
     lambda v: tr.transfer_anchored(table_boxes(v), cells(v), _emptied(v), _truth(v)).select("id", "file_name", "page", *[F.round(c, 6).alias(c) for c in "xyw"], "how"))
 query("m16_containing_cell", "tboxes keys", """
 WITH o AS (SELECT t.id, n.table_idx, n.row_idx, n.col_idx, n.text, n.up, n.down, n."left", n."right", t.x - n.x0 AS dx, t.y - n.y0 AS dy, greatest(0, least(t.x + t.w, n.x1) - greatest(t.x, n.x0)) * greatest(0, least(t.y + t.h, n.y1) - greatest(t.y, n.y0)) AS cut
