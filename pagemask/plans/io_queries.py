@@ -23,10 +23,13 @@ def _project(v):
     )
 
 
+query("s1_list_files")(lambda v: io.list_files(v.spark, v.dir, pattern="*.parquet"))
 query("s7_read_project", "boxes", "SELECT id, file_name, page, x, y, w, h, selection_mode, match, term, batch_id FROM boxes")(
     lambda v: io.project_frames(_project(v))["boxes"].select("id", "file_name", "page", "x", "y", "w", "h", "selection_mode", "match", "term", "batch_id"))
 query("s7_project_dismissed", "dismissed", "SELECT * FROM dismissed")(lambda v: io.project_frames(_project(v))["dismissed"])
 query("s7_project_edits", "edits", "SELECT * FROM edits")(lambda v: io.project_frames(_project(v))["toc_edits"])
+query("s8_round_trip", "boxes", "SELECT id, file_name, page, x, y, w, h, selection_mode, match, term, batch_id, context FROM boxes")(
+    lambda v: io.project_frames(_project(v))["boxes"].select("id", "file_name", "page", "x", "y", "w", "h", "selection_mode", "match", "term", "batch_id", "context"))
 query("s8_project_json", "boxes dismissed edits", """SELECT file_name, (SELECT count(*) FROM boxes b WHERE b.file_name = n.file_name) AS n_boxes, (SELECT count(*) FROM dismissed b WHERE b.file_name = n.file_name) AS n_dismissed
 FROM (SELECT file_name FROM boxes UNION SELECT file_name FROM dismissed UNION SELECT file_name FROM edits) n""")(
     lambda v: io.project_json(v.boxes.select(*_PLAIN), v.dismissed, edits(v)).select("file_name", F.regexp_count("json", F.lit('"selection_mode":')).cast("long").alias("n_boxes"), F.coalesce(F.size(F.from_json(F.get_json_object("json", "$.dismissed"), "array<array<string>>")), F.lit(0)).cast("long").alias("n_dismissed")))

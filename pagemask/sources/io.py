@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-def list_files(spark: SparkSession, folder: str, selected: DataFrame | None = None) -> DataFrame:
-    """file_name and file_path of all .pdf files (any case) below a folder, or of the selected names. Contents aren't read."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(folder)
+
+def list_files(spark: SparkSession, folder: str, selected: DataFrame | None = None, pattern: str = "*.[pP][dD][fF]") -> DataFrame:
+    """file_name and file_path of all files of a pattern (.pdf in any case) below a folder, or of the selected names. Contents aren't read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     files = found.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("path").alias("file_path"))
     return files if selected is None else files.join(selected.select("file_name").distinct(), "file_name", "left_semi")
 
