@@ -105,9 +105,13 @@ def _rounded(df):
     return df.withColumns({c: F.round(c, 6) for c in ("x0", "x1")})
 
 
+def _scan(v):
+    return _rounded(gaps.gap_scan(v.words, v.boxes))
+
+
 query("g2_redacted_index", "gaps", "SELECT * FROM idx")(lambda v: gaps.redacted_index(v.boxes, v.words))
 query("g3_probes", "gaps", "SELECT probe FROM probes WHERE length(probe) >= 3")(lambda v: gaps.probe_texts(gaps.redacted_index(v.boxes, v.words)))
-query("g4_gap_scan", "gaps", "SELECT * FROM gaps")(lambda v: _rounded(gaps.gap_scan(v.words, v.boxes)))
+query("g4_gap_scan", "gaps", "SELECT * FROM gaps")(lambda v: _scan(v.stored()))
 query("g4_locations", "gaps", "SELECT g.*, l.n_locations FROM gaps g JOIN (SELECT probe, count(DISTINCT (file_name, page)) AS n_locations FROM idx GROUP BY probe) l ON l.probe = g.match_text")(
     lambda v: gaps.with_locations(_rounded(gaps.gap_scan(v.words, v.boxes)), gaps.redacted_index(v.boxes, v.words)).withColumn("n_locations", F.size("redacted_locations")).drop("redacted_locations"))
 query("g5_is_covered", "gaps", "SELECT * FROM cov")(lambda v: gaps.is_covered(_rounded(gaps.probe_hits(v.words, gaps.probe_texts(gaps.redacted_index(v.boxes, v.words), 2))), v.boxes))
@@ -119,7 +123,7 @@ query("g6_gap_context", "gaps", """SELECT g.*, substr(string_agg(w.text, ' ' ORD
 @query("g7_incremental", "gaps", "SELECT * FROM gaps")
 def _(v):
     """Before: no third pages, other words on the second ones, and half of the boxes, with some that are gone now."""
-    page = F.col("page")
+    v, page = v.stored(), F.col("page")
     words = v.words.filter(page % 3 > 0).withColumn("text", F.when((page % 3 == 2) & (F.col("word_no") == 4), F.lit("other")).otherwise(F.col("text")))
     boxes = v.boxes.filter("seq % 2 = 0").unionByName(v.boxes.filter("seq % 5 = 0").withColumns({"id": F.concat("id", F.lit("~")), "x": F.col("x") + F.col("w")}))
     none = {"pages": "file_name string, page int, mark long", "probes": "probe string", "hits": "file_name string, page int, probe string, x0 double, y0 double, x1 double, y1 double"}
@@ -130,7 +134,7 @@ def _(v):
 @query("g9_stream_gaps", "gaps", "SELECT * FROM gaps")
 def _(v):
     """Three micro-batches: pages of lower numbers first, then all pages with a half of the boxes, then everything as it is."""
-    path = stream_dir(v.spark)
+    path, v = stream_dir(v.spark), v.stored()
     v.table("documents").select("doc_id").repartition(3).write.parquet(path + "/changes")
     changes = v.spark.readStream.schema("doc_id long").option("maxFilesPerTrigger", 1).parquet(path + "/changes")
     turn = iter(range(3))

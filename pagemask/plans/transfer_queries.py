@@ -9,7 +9,7 @@ from pagemask.operators import transfer as tr
 from pagemask.plans.detect_queries import cells, dest_cells
 from pagemask.plans.register import query
 from pagemask.plans.views_sql import VIEWS
-from pagemask.sources.layout import page_text, words_from_text
+from pagemask.sources.layout import page_text, read_words, stream_dir, words_from_text
 
 VIEWS["annots"] = ([], """
   annots AS (SELECT event_id AS annot_id, 'doc_' || (user_id % 50) || '.pdf' AS file_name, (event_id % 4 + 1)::INT AS page, CASE WHEN event_id % 7 = 0 THEN 4 WHEN event_id % 4 = 0 THEN 25 WHEN event_id % 4 = 1 THEN 8 WHEN event_id % 4 = 2 THEN 13 ELSE 9 END AS annot_type,
@@ -258,11 +258,18 @@ p0 AS (SELECT b_id, file_name, page, length(needle) AS k, string_split(lower(tex
 p1 AS (SELECT b_id, file_name, page, k, list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * k + 1 AS p FROM (SELECT *, unnest(range(1, len(parts))) AS i FROM p0)),
 ln AS (SELECT b_id, p1.file_name, p1.page, p, block_no, line_no, min(x0 + (x1 - x0) / length(o.text) * greatest(0, p - 1 - start)) AS x0, min(y0) AS y0, max(x1 - (x1 - x0) / length(o.text) * greatest(0, start + length(o.text) - (p - 1 + k))) AS x1, max(y1) AS y1
   FROM p1 JOIN am_off o ON o.file_name = p1.file_name AND o.page = p1.page AND start < p - 1 + k AND start + length(o.text) > p - 1 GROUP BY ALL)
-SELECT b_id, file_name, page::INT AS page, round(x0, 6) AS x0, y0, round(x1, 6) AS x1, y1 FROM ln""")(lambda v: tr.transfer_text_exact(source_boxes(v), amended(v), window(v)).withColumns({c: F.round(c, 6) for c in ("x0", "x1")}))
+SELECT b_id, file_name, page::INT AS page, round(x0, 6) AS x0, y0, round(x1, 6) AS x1, y1 FROM ln""")(lambda v: _exact(v.stored()).withColumns({c: F.round(c, 6) for c in ("x0", "x1")}))
+
+
+def _exact(v):
+    return tr.transfer_text_exact(source_boxes(v), amended(v), window(v))
 
 
 def _fuzzy(v):
-    s, t, w = source_boxes(v), amended(v), window(v)
+    v = v.stored()
+    path = stream_dir(v.spark)
+    amended(v).write.parquet(path)
+    s, t, w = source_boxes(v), read_words(v.spark, path), window(v)
     return tr.transfer_text_fuzzy(s, tr.transfer_text_exact(s, t, w), t, w)
 
 

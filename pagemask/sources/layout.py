@@ -123,13 +123,25 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self.kept: dict[str, DataFrame] = {}
+
+    def stored(self) -> Views:
+        """The same views, with words and boxes written once below the shared folder and read from there, as an application keeps them:
+        for queries that read them many times."""
+        path, v = stream_dir(self.spark), Views(self.spark, self.dir)
+        self.words.write.parquet(path + "/words")
+        v.kept["words"] = read_words(self.spark, path + "/words")
+        boxes = v.boxes
+        boxes.write.parquet(path + "/boxes")
+        v.kept["boxes"] = self.spark.read.schema(boxes.schema).parquet(path + "/boxes")
+        return v
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     @property
     def words(self) -> DataFrame:
-        return words_from_text(self.table("documents"))
+        return self.kept["words"] if "words" in self.kept else words_from_text(self.table("documents"))
 
     @property
     def pages(self) -> DataFrame:
@@ -141,7 +153,7 @@ class Views:
 
     @property
     def boxes(self) -> DataFrame:
-        return sample_boxes(self.words)
+        return self.kept["boxes"] if "boxes" in self.kept else sample_boxes(self.words)
 
     @property
     def results(self) -> DataFrame:
