@@ -31,6 +31,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 #: length. Both ways store the same last token of each prefix.
 SHARED = 64
 KNOWN = 300_000
+#: Bytes of text that are encoded at once: ids and decoded bytes of a portion leave the worker together.
+PORTION = 1 << 20
 
 
 class Bpe:
@@ -139,7 +141,7 @@ def encoder(path: str, pattern: str):
     import regex
 
     bpe, pieces_of = Bpe(read_ranks(path)), regex.compile(pattern).findall
-    held = Cache(lambda p: np.array(bpe.encode(p.encode()), dtype=np.uint32).tobytes(), 400_000)
+    held = Cache(lambda p: np.array(bpe.encode(p.encode()), dtype=np.uint32).tobytes(), 150_000)
     cache = Cache(most=600_000)
 
     def whole(text: str) -> bytes:
@@ -180,7 +182,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def scan(batches):
         ids_of = encoder(path, pattern)
-        for b in portions(batches):
+        for b in portions(batches, most=PORTION):
             ids, ends = ids_of(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids, ends)], names=["doc_id", "ids"])
 
@@ -210,9 +212,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     def scan(batches):
         ids_of, by_id = encoder(path, pattern), vocabulary(path)
-        for b in portions(batches):
+        for b in portions(batches, most=PORTION):
             ids, ends = ids_of(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids, ends), joined(by_id, ids, ends)], names=["doc_id", "ids", "decoded"])
+            pa.default_memory_pool().release_unused()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(scan, "doc_id long, ids array<int>, decoded binary")
 
