@@ -8,7 +8,8 @@ checksum of the header words. Every block starts at a known offset and unpacks a
 Documents are dealt by ranges of id, so file k holds smaller ids than file k + 1. The texts are shuffled, not their ids, which have about
 as many bytes; each task encodes its range straight into its file. The number of files follows from the bytes of text.
 Each attempt of a task writes under a name of its own, and only the names that the successful ones return count: a repeated
-task, or one that ran twice, does no harm on any file system. What other attempts left is deleted at the end.
+task, or one that ran twice, does no harm on any file system. What other attempts of the same call left is deleted at the end; all of a call's
+names begin with an id of its own, and nothing else in the folder is touched.
 """
 
 from __future__ import annotations
@@ -197,8 +198,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
     """Encodes docs, appends end_id to each, and writes files of about file_bytes bytes of text below `path` in ascending id order.
 
     Returns (file, rows, ids) of each file in order, which is all that reaches the driver. Null texts are empty, null ids
-    come first, rows of one id are ordered by a hash of their text; each row is written, repeated ones too.
+    come first, rows of one id are ordered by a hash of their text; each row is written, repeated ones too. Other files in the folder stay as they are,
+    those of an earlier call too.
     """
+    run = uuid.uuid4().hex[:12]
     rows = id_and_text(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
     if files is None:
         total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -211,7 +214,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
         k = TaskContext.get().partitionId()
         fs, p = file_system(path)
         fs.create_dir(p, recursive=True)
-        name = f"{k:06d}-{uuid.uuid4().hex}.tok"
+        name = f"{run}-{k:06d}-{uuid.uuid4().hex}.tok"
         w = Writer(fs.open_output_stream(f"{p}/{name}"), max(1, (size - 1).bit_length()))
         for b in portions(batches):
             doc = b.column(0)
@@ -224,7 +227,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
     names = {r["file"] for r in written}
     fs, p = file_system(path)
     for left in fs.get_file_info(pafs.FileSelector(p, allow_not_found=True)):
-        if left.base_name not in names:
+        if left.base_name.startswith(f"{run}-") and left.base_name not in names:
             fs.delete_file(left.path)
     return [(f"{path}/{r['file']}", r["rows"], r["ids"]) for r in written]
 
