@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 HOT_KEYS = 2000
 #: Bytes of text that are worked on at once; a longer text is a portion of its own.
 PORTION = 4 << 20
-_MADE: list[str] = []
+_OPEN: ContextVar[tuple[Scope, ...]] = ContextVar("open scopes", default=())
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -25,7 +26,7 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which every executor sees. Only a local session, where one machine does it all, may leave
-    the setting out. `release` removes the folders that a session has asked for."""
+    the setting out. The folder stays, unless a Scope is open."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
@@ -34,15 +35,26 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
         base = "file://" + tempfile.gettempdir() + "/pagemask-checkpoints"
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _MADE.append(path)
+    for scope in _OPEN.get()[-1:]:
+        scope.made.append(path)
     return path
 
 
-def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
-    """Removes what shared_dir has named so far, but for `keep`. What was made from these folders and isn't written yet can't be read after it."""
-    for path in [p for p in _MADE if p not in keep]:
-        drop_dir(spark, path)
-    _MADE[:] = keep
+class Scope:
+    """Removes at its end the folders that operators have named inside it (`with Scope(spark):`), and no others: what was made before it, beside it in
+    another thread, or in a scope within it isn't touched. Results that are read from such folders must be written before it ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made = spark, []
+
+    def __enter__(self) -> Scope:
+        self.token = _OPEN.set((*_OPEN.get(), self))
+        return self
+
+    def __exit__(self, *_) -> None:
+        _OPEN.reset(self.token)
+        for path in self.made:
+            drop_dir(self.spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -72,8 +84,6 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    if path in _MADE:
-        _MADE.remove(path)
 
 
 def batches_of(columns: dict[str, pa.DataType], rows, every: int = 2000):

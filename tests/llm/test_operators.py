@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemask.llm import bpe, decontaminate, dialogues, pii, quality, secrets, simhash, substrings, token_counts, token_files
-from pagemask.llm.common import shared_dir, span_digest
+from pagemask.llm.common import Scope, shared_dir, span_digest
 from pagemask.llm.components import components
 from pagemask.llm.queries import ORACLE_SQL, QUERIES
 
@@ -589,3 +589,36 @@ def test_long_texts_and_texts_off_the_plain_path(spark):
     assert {r.doc_id: r.ids_crc32 for r in token_files.checksums(spark, files).collect()} == crc
     assert {r.doc_id: list(r.ids) for r in bpe.round_trip(d, ranks, tokenizer_files.PATTERN).collect()} == {i: library.encode_ordinary(x) for i, x, *_ in rows}
     assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(d, words).collect()} == {i: len(w.encode(x, add_special_tokens=False).ids) for i, x, *_ in rows}
+
+
+def test_a_scope_removes_only_what_was_made_inside_it(spark):
+    """A result that is still pending survives a pipeline run and any scope beside or within the one that it was made in."""
+    rng = random.Random(21)
+    d = spark.createDataFrame([(i, noise(rng, "abcdefgh ", 400), "x", "s", 0) for i in range(30)], SCHEMA)
+    pending = simhash.near_duplicates(d)
+    path = shared_dir(spark, "kept")
+    with Scope(spark):
+        inner = simhash.near_duplicates(d)
+        with Scope(spark):
+            gone = simhash.near_duplicates(d)
+            assert gone.count() == 30
+        assert inner.count() == 30
+        inner.write.parquet(path)
+    assert pending.count() == 30 and spark.read.parquet(path).count() == 30
+    for frame in (gone, inner):
+        with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+            frame.count()
+
+
+def test_two_calls_write_token_files_into_one_folder(spark, tmp_path):
+    json = tokenizer_files.path("byte_bpe_50k.json")
+    target = f"file://{tmp_path}/files"
+    (tmp_path / "files" / "sub").mkdir(parents=True)
+    (tmp_path / "files" / "keep.txt").write_text("not ours")
+    (tmp_path / "files" / "sub" / "000000-x.tok").write_text("not ours either")
+    first = token_files.write_token_files(spark.createDataFrame([(1, "one text"), (2, "two")], "doc_id long, text string"), json, target)
+    before = {r.doc_id: r.ids_crc32 for r in token_files.checksums(spark, first).collect()}
+    second = token_files.write_token_files(spark.createDataFrame([(3, "another")], "doc_id long, text string"), json, target)
+    assert {r.doc_id for r in token_files.checksums(spark, second).collect()} == {3}
+    assert {r.doc_id: r.ids_crc32 for r in token_files.checksums(spark, first).collect()} == before
+    assert (tmp_path / "files" / "keep.txt").exists() and (tmp_path / "files" / "sub" / "000000-x.tok").exists()
