@@ -4,9 +4,12 @@ A pair at similarity 0.8 differs in about 10 of SimHash's 64 bits, and often in
 afford finds all such pairs. Candidates come from MinHash instead: BANDS keys of ROWS minima each, which a pair at 0.8 misses
 altogether with a probability of (1 - 0.8 ** ROWS) ** BANDS, about 1e-7. Every link is then verified on the exact shingle sets.
 
-In a bucket of equal keys all members are first held against the least one. Only buckets of three and more members that are still
-in several components go on: there, each member outside the bucket's largest component is held against all members, in blocks of
-bounded size. No link between members of one component is looked for, and a block returns a spanning forest, never all pairs.
+In a bucket of equal keys all members are first held against the least one. Texts of buckets that are then still in several components (texts
+that share a long passage and little else, as a rule) meet anew by the rarest of their shingles: two sets with a similarity of `least` have one in common
+among the first |set| - ceil(least |set|) + 1 of each, in any order of the shingles that is the same for all, so the rarest come first. A shared passage
+is the commonest part of a text and never in this prefix; what only one text has leads to no other. There, each member outside the largest
+component of a shingle's texts is held against all of them, in blocks of bounded size. No link between members of one component is looked
+for, and a block returns a spanning forest, never all pairs.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemask.llm.common import id_and_text, materialize, portions
+from pagemask.llm.common import id_and_text, join_hot, materialize, portions
 from pagemask.llm.components import components
 from pagemask.llm.simhash import first_of_each
 
@@ -159,9 +162,33 @@ def _stars(members: DataFrame) -> DataFrame:
     return left.unionByName(right)
 
 
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """node, each once, of the members of buckets that hold several components."""
+    m = members.filter("n > 2").select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp"))
+    several = m.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("bucket")
+    return m.join(several, "bucket", "left_semi").select("node").distinct()
+
+
+def rare_shingles(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """node and bucket: the shingles of a node's prefix that another one of the nodes has too. nodes: node; sets: node, set."""
+    every = sets.join(nodes, "node", "left_semi").select("node", F.size("set").alias("size"), F.explode("set").alias("shingle"))
+    often = every.groupBy(F.col("shingle").alias("key")).agg(F.count("*").alias("n")).filter("n > 1")
+    ordered = F.array_sort(F.collect_list(F.struct("n", "key")))
+    shared = join_hot(every, often, F.col("shingle") == F.col("key"), "n").groupBy("node", "size").agg(ordered.alias("own"))
+    # shingles of this node alone are the rarest: they fill the prefix first
+    room = F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-6) + 1 - (F.col("size") - F.size("own"))
+    return shared.select("node", F.explode(F.slice("own", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))).alias("s")).select("node", F.col("s.key").alias("bucket"))
+
+
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """rows (with node and bucket) of buckets with several rows, and n, head and sign: number, least and a name of the bucket's nodes."""
+    full = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("head"), F.expr("bit_xor(xxhash64(node))").alias("sign")).filter("n > 1")
+    return rows.join(full, "bucket")
+
+
 def _rest(members: DataFrame, found: DataFrame) -> DataFrame:
     """Blocks that hold the members outside a bucket's largest component against all its members, where a bucket has several."""
-    m = members.filter("n > 2").join(found, "node", "left").select("bucket", "n", "sign", "node", F.coalesce("root", "node").alias("comp"))
+    m = members.join(found, "node", "left").select("bucket", "n", "sign", "node", F.coalesce("root", "node").alias("comp"))
     sizes = m.groupBy("bucket", "n", "sign", "comp").agg(F.count("*").alias("size"))
     open_ = sizes.groupBy("bucket", "n", "sign").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.max("size").alias("most"), F.count("*").alias("comps")).filter("comps > 1")
     open_ = open_.dropDuplicates(["n", "sign"])  # buckets of the same members are one
@@ -179,11 +206,12 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str
     """
     sketches = materialize(_sketches(docs, words, id_col, text_col), "sketches")
     rows = sketches.dropDuplicates(["node"]).select("node", "th", F.explode("keys").alias("bucket"))
-    full = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("head"), F.expr("bit_xor(xxhash64(node))").alias("sign")).filter("n > 1")
-    members = materialize(rows.join(full, "bucket"), "members")
+    members = materialize(_bucketed(rows), "members")
     sets = materialize(_sets(docs, members.select("th").distinct(), words, id_col, text_col), "sets")
     star = materialize(_verified(_stars(members), sets, least), "star-links")
-    rest = _verified(_rest(members, components(star)), sets, least)
+    linked = components(star)
+    rare = materialize(rare_shingles(materialize(_open(members, linked), "open"), sets, least), "rare-shingles")
+    rest = _verified(_rest(_bucketed(rare), linked), sets, least)
     found = components(star.unionByName(rest)).withColumnRenamed("node", "_node")
     return sketches.join(found, F.col("node") == F.col("_node"), "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
 

@@ -67,3 +67,67 @@ def test_near_dedup_stage_keeps_one_of_each_group(spark):
     for root, (i, _) in zip(brute_roots([t for _, t in texts]), texts):
         first[root] = min(first.get(root, i), i)
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, rows, DATA).collect()) == sorted(first.values())
+
+
+def passage_texts(n: int, seed: int = 5) -> list[str]:
+    """n texts that share a passage of 120 words and have 40 to 60 words of their own; every tenth text has a near copy."""
+    rng = random.Random(seed)
+    passage = [f"p{k}" for k in range(120)]
+    texts = []
+    for k in range(n):
+        own = [f"o{rng.randrange(10**9)}" for _ in range(rng.randint(40, 60))]
+        texts.append(own[:20] + passage + own[20:])
+        if k % 10 == 0:
+            t = list(texts[-1])
+            t[5] = "changed"
+            texts.append(t)
+    return [" ".join(t) for t in texts]
+
+
+def test_a_shared_passage_costs_no_more_than_its_texts(spark):
+    """The rows that are verified follow the number of texts, not its square; the classes are those of brute force."""
+    made = {}
+    for n in (150, 300, 600):
+        texts = passage_texts(n)
+        d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        seen = []
+        real = near_copies._verified
+        near_copies._verified = lambda rows, sets, least: (seen.append(rows.count()), real(rows, sets, least))[1]
+        try:
+            got = near_copies.near_copies(d).collect()
+        finally:
+            near_copies._verified = real
+        made[n] = sum(seen)
+        if n <= 300:
+            assert classes([r.doc_id for r in got], [r.root for r in got]) == classes(range(len(texts)), brute_roots(texts))
+        else:  # each text with a copy, and no other
+            assert len({r.root for r in got}) == n
+    assert made[300] < 3 * made[150] and made[600] < 5 * made[150]
+
+
+@pytest.mark.parametrize("left, right", [(500, 2000), (3, 7)])
+def test_mixtures_of_common_lines(spark, left, right, monkeypatch):
+    """Texts whose rarest shingles are shared, too: many groups that are linked or nearly so."""
+    monkeypatch.setattr(near_copies, "LEFT", left)
+    monkeypatch.setattr(near_copies, "RIGHT", right)
+    rng = random.Random(8)
+    lines = [" ".join(f"l{rng.randrange(400)}" for _ in range(14)) for _ in range(14)]
+    texts = ["\n".join(rng.sample(lines, rng.choice([9, 10, 11, 12]))) for _ in range(120)]
+    texts += ["\n".join([*lines[:10], x]) for x in lines[10:]] + ["\n".join(lines[:10])]
+    got = near_copies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = classes(range(len(texts)), brute_roots(texts))
+    assert classes([r.doc_id for r in got], [r.root for r in got]) == want and 20 < len(want) < len(texts)
+
+
+def test_rare_shingles_meet_every_pair(spark):
+    """All pairs at 0.8 share a shingle of both prefixes."""
+    rng = np.random.default_rng(3)
+    base = [rng.choice(10**6, size=rng.integers(1, 60), replace=False) for _ in range(12)]
+    sets = [np.unique(np.r_[rng.choice(b, max(1, len(b) - k), replace=False), np.arange(30)[: 3 * k]]) for b in base for k in range(5)]
+    frame = spark.createDataFrame([(i, [int(x) for x in s]) for i, s in enumerate(sets)], "node long, set array<long>")
+    by = {}
+    for r in near_copies.rare_shingles(frame.select("node"), frame, 0.8).collect():
+        by.setdefault(r.bucket, set()).add(r.node)
+    met = {(a, b) for ns in by.values() for a in ns for b in ns if a < b}
+    near = {(a, b) for b in range(len(sets)) for a in range(b) if 10 * len(np.intersect1d(sets[a], sets[b])) >= 8 * len(np.union1d(sets[a], sets[b]))}
+    assert near and near <= met
