@@ -6,33 +6,79 @@ from pyspark.sql import functions as F
 
 from pagemask.plans.register import query
 from pagemask.plans.state_queries import actions, edits
-from pagemask.sources import io
+from pagemask.plans.views_sql import VIEWS
+from pagemask.sources import io, project
 from pagemask.sources.layout import stream_dir
 from pagemask.streaming.jobs import fold_actions, stream_boxes
 
-_PLAIN = ["id", "file_name", "page", "seq", "x", "y", "w", "h", "selection_mode", "match", "term", "batch_id", "context"]
+_PLAIN = "id, file_name, page, x, y, w, h, selection_mode, match, term, batch_id, context"
+VIEWS["drafts"] = (["results"], """
+  drafts AS (SELECT match AS text, file_name, page, file_path, 'high' AS confidence, category, term AS justification, context, page % 7 = 0 AS dismissed FROM results WHERE category = 'ai')""")
 
 
-def _project(v):
-    """The boxes as project rows in JSON form, and read back."""
-    j = io.project_json(v.boxes.select(*_PLAIN), v.dismissed, edits(v))
-    p = j.select("file_name", F.from_json("json", "redactions map<string,array<struct<id:string,x:double,y:double,w:double,h:double,selection_mode:string,match:string,term:string,batch_id:string,context:string>>>, dismissed array<array<string>>, toc_edits map<string,string>").alias("p"))
-    return p.select(
-        F.array("file_name").alias("files"), F.map_from_arrays(F.array("file_name"), F.array("p.redactions")).alias("redactions"),
-        F.transform("p.dismissed", lambda d: F.concat(F.array("file_name"), d)).alias("dismissed"), F.map_from_arrays(F.array("file_name"), F.array("p.toc_edits")).alias("toc_edits"),
-    )
+def _drafts(v):
+    """Detections: the results of a model's finds."""
+    r = v.results.filter("category = 'ai'")
+    return r.select(F.col("match").alias("text"), "file_name", "page", "file_path", F.lit("high").alias("confidence"), "category", F.col("term").alias("justification"), "context", "dismissed")
+
+
+def _frames(v):
+    """A whole project: all boxes, edits, dismissed keys, results, detections, terms and files of the sample."""
+    boxes = v.boxes.withColumns({
+        "pd_check_result": F.when(F.col("seq") % 10 == 0, F.struct(F.lit("public").alias("verdict"), F.col("match").alias("claim"), F.lit(0.5).alias("confidence"))),
+        "repeat_pages": F.when(F.col("seq") % 7 == 0, F.array("page", F.col("page") + 1)), "rects": F.lit("not saved"),
+    })
+    summaries = v.files.select("file_name", F.create_map(F.lit("doc_type"), F.lit("report"), F.lit("summary"), F.col("file_path")).alias("summary"))
+    return {
+        "boxes": boxes, "toc_edits": edits(v), "dismissed": v.dismissed, "results": v.results, "detections": _drafts(v), "terms": v.terms, "summaries": summaries,
+        "files": v.files.select("file_path"), "auto_batches": v.boxes.filter("seq % 3 = 0").select("batch_id").distinct(),
+        "settings": v.spark.createDataFrame([("/corpus", None)], "folder string, ai_library_path string"),
+    }
+
+
+def _saved(v, *names, parts=3):
+    """The tables of a project that was written to files and read again; names: those that are saved, all if none is named."""
+    path = stream_dir(v.spark) + "/project"
+    frames = _frames(v)
+    project.write_project({k: f for k, f in frames.items() if not names or k in names}, path, parts)
+    return project.read_project(v.spark, path)
 
 
 query("s1_list_files")(lambda v: io.list_files(v.spark, v.dir, pattern="*.parquet"))
-query("s7_read_project", "boxes", "SELECT id, file_name, page, x, y, w, h, selection_mode, match, term, batch_id FROM boxes")(
-    lambda v: io.project_frames(_project(v))["boxes"].select("id", "file_name", "page", "x", "y", "w", "h", "selection_mode", "match", "term", "batch_id"))
-query("s7_project_dismissed", "dismissed", "SELECT * FROM dismissed")(lambda v: io.project_frames(_project(v))["dismissed"])
-query("s7_project_edits", "edits", "SELECT * FROM edits")(lambda v: io.project_frames(_project(v))["toc_edits"])
-query("s8_round_trip", "boxes", "SELECT id, file_name, page, x, y, w, h, selection_mode, match, term, batch_id, context FROM boxes")(
-    lambda v: io.project_frames(_project(v))["boxes"].select("id", "file_name", "page", "x", "y", "w", "h", "selection_mode", "match", "term", "batch_id", "context"))
-query("s8_project_json", "boxes dismissed edits", """SELECT file_name, (SELECT count(*) FROM boxes b WHERE b.file_name = n.file_name) AS n_boxes, (SELECT count(*) FROM dismissed b WHERE b.file_name = n.file_name) AS n_dismissed
-FROM (SELECT file_name FROM boxes UNION SELECT file_name FROM dismissed UNION SELECT file_name FROM edits) n""")(
-    lambda v: io.project_json(v.boxes.select(*_PLAIN), v.dismissed, edits(v)).select("file_name", F.regexp_count("json", F.lit('"selection_mode":')).cast("long").alias("n_boxes"), F.coalesce(F.size(F.from_json(F.get_json_object("json", "$.dismissed"), "array<array<string>>")), F.lit(0)).cast("long").alias("n_dismissed")))
+query("s7_read_project", "boxes", f"SELECT {_PLAIN} FROM boxes")(lambda v: _saved(v, "boxes")["boxes"].select(*_PLAIN.split(", ")))
+query("s7_project_dismissed", "dismissed", "SELECT * FROM dismissed")(lambda v: _saved(v, "dismissed", parts=1)["dismissed"])
+query("s7_project_edits", "edits", "SELECT * FROM edits")(lambda v: _saved(v, "toc_edits", parts=1)["toc_edits"])
+query("s7_project_results", "results", "SELECT id, file_name, file_path, page, match, term, category, context, coalesce(batch_id, '') AS batch_id, redacted, dismissed FROM results")(lambda v: _saved(v, "results")["results"])
+query("s7_project_detections", "drafts", "SELECT text, file_name, page, file_path, confidence, category, justification, context, false AS redacted, dismissed, '' AS batch_id, 0 AS n_rects FROM drafts")(
+    lambda v: _saved(v, "detections")["detections"].withColumn("n_rects", F.size("rects")).drop("rects"))
+@query("s7_project_lists", "terms files boxes", """SELECT 'term' AS kind, term AS a, active::VARCHAR AS b, ord - 1 AS n FROM terms UNION ALL SELECT 'file', file_path, NULL, NULL FROM files
+UNION ALL SELECT 'batch', batch_id, NULL, NULL FROM (SELECT DISTINCT batch_id FROM boxes WHERE seq % 3 = 0) UNION ALL SELECT 'summary', file_name, 'report ' || file_path, NULL FROM files UNION ALL SELECT 'folder', '/corpus', NULL, NULL""")
+def _(v):
+    t = _saved(v, "terms", "files", "auto_batches", "summaries", "settings")
+    row = lambda kind, df, a, b=F.lit(None), n=F.lit(None): df.select(F.lit(kind).alias("kind"), a.alias("a"), b.cast("string").alias("b"), n.cast("int").alias("n"))
+    c = F.col
+    out = row("term", t["terms"], c("term"), c("active"), c("ord")).unionByName(row("file", t["files"], c("file_path"))).unionByName(row("batch", t["auto_batches"], c("batch_id")))
+    return out.unionByName(row("summary", t["summaries"], c("file_name"), F.concat_ws(" ", c("summary")["doc_type"], c("summary")["summary"]))).unionByName(row("folder", t["settings"], c("folder")))
+
+
+@query("s8_round_trip", "boxes", f"""SELECT {_PLAIN}, CASE WHEN seq % 10 = 0 THEN 'public ' || match || ' ' || 0.5::VARCHAR END AS verdict, CASE WHEN seq % 7 = 0 THEN [page, page + 1] ELSE [] END AS repeat_pages FROM boxes""")
+def _(v):
+    b, c = _saved(v)["boxes"], F.col("pd_check_result")
+    return b.select(*_PLAIN.split(", "), F.when(c.isNotNull(), F.concat_ws(" ", c["verdict"], c["claim"], c["confidence"].cast("string"))).alias("verdict"), "repeat_pages")
+
+
+@query("s8_project_json", "boxes dismissed edits", """SELECT file_name, (SELECT count(*) FROM boxes b WHERE b.file_name = n.file_name) AS n_boxes, (SELECT count(DISTINCT page) FROM boxes b WHERE b.file_name = n.file_name) AS n_pages,
+  (SELECT count(*) FROM edits b WHERE b.file_name = n.file_name) AS n_edits FROM (SELECT file_name FROM boxes UNION SELECT file_name FROM edits) n""")
+def _(v):
+    """What stands in the documents' text, counted from it."""
+    text = project.project_documents(_frames(v), 2).select("document")
+    count = lambda key, kind: text.select(F.explode(F.from_json(F.get_json_object("document", f"$.{key}"), kind)).alias("file_name", "v"))
+    b = count("project_redactions", "map<string,map<string,array<string>>>").select("file_name", F.aggregate(F.map_values("v"), F.lit(0), lambda n, x: n + F.size(x)).alias("b"), F.size("v").alias("p"))
+    e = count("project_toc_redactions", "map<string,map<string,string>>").select("file_name", F.size("v").alias("e"))
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return b.join(e, "file_name", "full").select("file_name", n("b").alias("n_boxes"), n("p").alias("n_pages"), n("e").alias("n_edits"))
+
+
 query("s9_export", "results", "SELECT file_name, page, term, match, context FROM results")(lambda v: io.export_rows(v.results))
 query("s10_redaction_manifest", "boxes files", "SELECT 'REDACTED_' || file_name AS output_name, id, page, unnest(['square', 'redact']) AS kind, unnest([1.5, 0.0])::DOUBLE AS border FROM boxes JOIN files USING (file_name) WHERE page <= total_pages")(
     lambda v: io.redaction_manifest(v.boxes, v.files, v.toc, edits(v))[0].select("output_name", "id", "page", "kind", "border"))

@@ -1,4 +1,4 @@
-"""Sources and sinks: file lists, project files, exports and mark-up manifests."""
+"""Sources and sinks: file lists, exports and mark-up manifests."""
 
 from __future__ import annotations
 
@@ -13,48 +13,6 @@ def list_files(spark: SparkSession, folder: str, selected: DataFrame | None = No
     return files if selected is None else files.join(selected.select("file_name").distinct(), "file_name", "left_semi")
 
 
-def project_schema() -> str:
-    """The JSON form of a project: files, redactions by file and page, dismissed keys, bookmark edits."""
-    fields = "id:string,x:double,y:double,w:double,h:double,selection_mode:string,match:string,term:string,batch_id:string,context:string,section_title:string,repeat_pages:array<int>,pd_check_result:struct<verdict:string,claim:string,confidence:double,source_name:string,url:string,quote:string,detail:string,evidence_urls:array<string>>"
-    return f"files array<string>, redactions map<string,map<string,array<struct<{fields}>>>>, dismissed array<array<string>>, toc_edits map<string,map<string,string>>"
-
-
-def project_frames(project: DataFrame) -> dict[str, DataFrame]:
-    """boxes (1-based pages), dismissed, toc_edits and files of project rows. A former mode 'redact' is read as 'highlight'; dismissed entries
-    other than 4-tuples are passed over."""
-    pages = project.select(F.explode("redactions").alias("file_name", "pages")).select("file_name", F.explode("pages").alias("p", "boxes"))
-    boxes = pages.select("file_name", (F.col("p").cast("int") + 1).alias("page"), F.posexplode("boxes").alias("n", "b")).select("file_name", "page", "n", "b.*")
-    mode = F.coalesce(F.when(F.col("selection_mode") == "redact", "highlight").otherwise(F.col("selection_mode")), F.lit("highlight"))
-    boxes = boxes.withColumns({"selection_mode": mode, "match": F.coalesce("match", F.lit("")), "term": F.coalesce("term", F.lit(""))})
-    d = project.select(F.explode("dismissed").alias("d")).filter(F.size("d") == 4)
-    dismissed = d.select(F.col("d")[0].alias("file_name"), F.col("d")[1].cast("int").alias("page"), F.col("d")[2].alias("match_text"), F.col("d")[3].alias("term"))
-    edits = project.select(F.explode("toc_edits").alias("file_name", "e")).select("file_name", F.explode("e").alias("i", "new_title")).select("file_name", F.col("i").cast("int").alias("toc_index"), "new_title")
-    return {"boxes": boxes, "dismissed": dismissed, "toc_edits": edits, "files": project.select(F.explode("files").alias("file_path"))}
-
-
-def read_project(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of a project file."""
-    return project_frames(spark.read.schema(project_schema()).json(path, multiLine=True))
-
-
-def project_json(boxes: DataFrame, dismissed: DataFrame, toc_edits: DataFrame) -> DataFrame:
-    """One row per file: file_name and json, the file's part of a project: pages (0-based, as text) with their boxes, without nulls."""
-    keep = [c for c in boxes.columns if c not in ("file_name", "page", "seq", "n", "rects", "is_repeat_draft", "_order")]
-    order = "seq" if "seq" in boxes.columns else "id"
-    b = boxes.groupBy("file_name", (F.col("page") - 1).cast("string").alias("p")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), F.struct(*keep).alias("b")))).alias("bs"))
-    b = b.groupBy("file_name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("p", F.transform("bs", lambda x: x["b"]).alias("v"))))).alias("redactions"))
-    d = dismissed.groupBy("file_name").agg(F.array_sort(F.collect_list(F.array(F.col("page").cast("string"), "match_text", "term"))).alias("dismissed"))
-    e = toc_edits.groupBy("file_name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("toc_index").cast("string").alias("k"), F.col("new_title").alias("v"))))).alias("toc_edits"))
-    j = b.join(d, "file_name", "full").join(e, "file_name", "full")
-    return j.select("file_name", F.to_json(F.struct("redactions", "dismissed", "toc_edits")).alias("json"))
-
-
-def write_project(frames: dict[str, DataFrame], path: str) -> None:
-    """Writes the parts of a project as JSON lines, one per file."""
-    j = project_json(frames["boxes"], frames["dismissed"], frames["toc_edits"])
-    j.select(F.to_json(F.struct("file_name", F.col("json").alias("project"))).alias("value")).write.mode("overwrite").text(path)
-
-
 def export_rows(results: DataFrame) -> DataFrame:
     """The export's columns that results have, in order."""
     return results.select(*[c for c in ("file_name", "page", "term", "match", "context") if c in results.columns])

@@ -3,10 +3,11 @@ from __future__ import annotations
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagemask.operators import detect, gaps, sections, state, transfer
-from pagemask.sources import io
+from pagemask.sources import io, project
 from pagemask.streaming.jobs import STATE, fold_actions, stream_gap_scan
 from tests.conftest import line_words
 
@@ -136,19 +137,77 @@ def test_gap_stream_equals_a_full_scan(spark, tmp_path):
     assert [r.file_name for r in got.collect()] == ["doc_1.pdf"] == [r.file_name for r in gaps.gap_scan(words, boxes).collect()]
 
 
-def test_project_round_trip(spark, tmp_path):
+def test_a_document_with_all_keys_is_read(spark, tmp_path):
+    """Records of former versions, records without fields and things that aren't records."""
+    box = {"id": "1", "x": 1.0, "y": 2, "w": 3.0, "h": 4.0, "page": 0, "selection_mode": "redact", "match": "é \"q\"", "pd_check_result": {"verdict": "public", "claim": "c"}, "repeat_pages": [1, 2], "section_title": "S"}
     doc = {
-        "files": ["/c/a.pdf"],
-        "redactions": {"a.pdf": {"0": [{"id": "1", "x": 1.0, "y": 2.0, "w": 3.0, "h": 4.0, "selection_mode": "redact"}]}},
-        "dismissed": [["a.pdf", "1", "x", "t"], ["short"]],
-        "toc_edits": {"a.pdf": {"2": "CCI"}},
+        "project_redactions": {"a.pdf": {"0": [box, {"selection_mode": "rectangle"}, "no box", 5], "11": [{"id": "2"}]}, "empty.pdf": {}},
+        "project_toc_redactions": {"a.pdf": {"2": "CCI"}},
+        "dismissed_matches": [["a.pdf", 1, "x, [y]", "t"], ["short"], "text", 7, None],
+        "terms_list": [{"term": "one*", "active": True}, {"term": "two", "active": False}, "no term"],
+        "selected_files": ["/c/a.pdf", "/c/b.pdf"],
+        "folder": "/c",
+        "search_results": [{"id": "r", "file_name": "a.pdf", "page": 3, "match": "m", "category": "ai"}, {"file_name": "b.pdf"}, []],
+        "ai_detections": [{"text": "d", "page": 2, "file_name": "a.pdf", "rects": [{"x": 1.0, "y": 2.0, "w": 3.0, "h": 4.0}], "redacted": True}, {}, 3],
+        "ai_library_path": None,
+        "ai_document_summaries": {"a.pdf": {"doc_type": "csr", "summary": "s"}},
+        "cci_auto_batch_ids": ["b1"],
     }
-    (tmp_path / "p.json").write_text(json.dumps(doc, indent=1))
-    p = io.read_project(spark, str(tmp_path / "p.json"))
-    b = p["boxes"].collect()
-    assert [(r.page, r.selection_mode, r.term) for r in b] == [(1, "highlight", "")] and p["dismissed"].count() == 1 and p["toc_edits"].first().toc_index == 2
-    text = io.project_json(p["boxes"].drop("n"), p["dismissed"], p["toc_edits"]).first().json
-    assert json.loads(text)["redactions"]["0"][0]["id"] == "1" and "pd_check_result" not in text
+    (tmp_path / "p.json").write_text(json.dumps(doc, indent=2), encoding="utf-8")
+    t = project.read_project(spark, str(tmp_path / "p.json"))
+    b = {(r.page, r.n): r for r in t["boxes"].collect()}
+    assert set(b) == {(1, 0), (1, 1), (12, 0)}
+    assert (b[1, 0].selection_mode, b[1, 0].match, b[1, 0].y, b[1, 0].repeat_pages, b[1, 0].section_title) == ("highlight", 'é "q"', 2.0, [1, 2], "S")
+    assert b[1, 0].pd_check_result[:5] == ("public", "c", 0.0, "", "") and b[1, 1].pd_check_result is None
+    assert (b[1, 1].selection_mode, b[1, 1].id, b[1, 1].x, b[1, 1].match, b[12, 0].selection_mode) == ("rectangle", "", 0.0, None, "highlight")
+    assert [tuple(r) for r in t["dismissed"].collect()] == [("a.pdf", 1, "x, [y]", "t")] and [tuple(r) for r in t["toc_edits"].collect()] == [("a.pdf", 2, "CCI")]
+    assert [tuple(r) for r in t["terms"].orderBy("ord").collect()] == [("one*", True, 0), ("two", False, 1)] and [r.file_path for r in t["files"].orderBy("ord").collect()] == ["/c/a.pdf", "/c/b.pdf"]
+    r = {x.file_name: x for x in t["results"].collect()}
+    assert len(r) == 2 and (r["a.pdf"].id, r["a.pdf"].page, r["a.pdf"].category, r["a.pdf"].term, r["a.pdf"].redacted) == ("r", 3, "ai", "", False) and (r["b.pdf"].category, len(r["b.pdf"].id)) == ("matches", 40)
+    d = sorted(t["detections"].collect(), key=lambda x: x.text)
+    assert [(x.text, x.page, x.confidence, x.redacted, len(x.rects)) for x in d] == [("", 0, "low", False, 0), ("d", 2, "low", True, 1)]
+    assert t["summaries"].first().summary == {"doc_type": "csr", "summary": "s"} and t["auto_batches"].first().batch_id == "b1" and tuple(t["settings"].first()) == ("/c", None)
+    (tmp_path / "few.json").write_text("{}")
+    assert all(f.count() == (k == "settings") for k, f in project.read_project(spark, str(tmp_path / "few.json")).items())
+    (tmp_path / "bad.json").write_text("{,")
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        project.read_project(spark, str(tmp_path / "bad.json"))["boxes"].collect()
+
+
+@pytest.mark.parametrize("parts", [None, 1, 4])
+def test_project_round_trip(spark, tmp_path, parts):
+    """What is written is read again, from one document or several, each of which has all keys and is plain JSON."""
+    odd = 'a "quoted"\\ name\n[{ü.pdf'
+    box = "file_name string, page int, id string, seq long, x double, y double, w double, h double, selection_mode string, match string, term string, batch_id string, context string, section_title string, repeat_pages array<int>, rects string"
+    boxes = [(f, p, f"{f}{p}{k}", 9 - k, 1.5 * k, 0.1, 3.0, 4e-5, "rectangle", None if k else 'm "', "t", "b", None, "s", [2] if k else [], "x") for f in (odd, "b.pdf", "c.pdf") for p in (1, 12) for k in range(3)]
+    frames = {
+        "boxes": spark.createDataFrame(boxes, box),
+        "toc_edits": spark.createDataFrame([(odd, 0, "C\tCI"), (odd, 10, ""), ("b.pdf", 2, "x")], "file_name string, toc_index int, new_title string"),
+        "dismissed": spark.createDataFrame([(odd, 1, "m,]\"", "t"), ("b.pdf", 2, "", "")], "file_name string, page int, match_text string, term string"),
+        "terms": spark.createDataFrame([("z", True, 0), ('a"*', False, 1)], "term string, active boolean, ord int"),
+        "files": spark.createDataFrame([(f"/x/{f}",) for f in (odd, "b.pdf")], "file_path string"),
+        "results": spark.createDataFrame([("1", "b.pdf", "/x/b.pdf", 3, "m", "t", "gap", "c", "b", True, False)], "id string, file_name string, file_path string, page int, match string, term string, category string, context string, batch_id string, redacted boolean, dismissed boolean"),
+        "detections": spark.createDataFrame([("d", odd, "/p", 2, "high", "c", "j", "x", False, True, "")], "text string, file_name string, file_path string, page int, confidence string, category string, justification string, context string, redacted boolean, dismissed boolean, batch_id string"),
+        "summaries": spark.createDataFrame([(odd, {"a": 'b"'}), ("b.pdf", {})], "file_name string, summary map<string,string>"),
+        "auto_batches": spark.createDataFrame([("b1",), ("b2",)], "batch_id string"),
+        "settings": spark.createDataFrame([('/f "older', "/lib.csv")], "folder string, ai_library_path string"),
+    }
+    path = str(tmp_path / "project")
+    n = project.write_project(frames, path, parts)
+    texts = [x.read_text(encoding="utf-8") for x in sorted((tmp_path / "project").rglob("part-*.txt"))]
+    assert len(texts) == n == (parts or 1) and all(list(json.loads(x)) == project.KEYS for x in texts) and not any('"rects"' in x or "null" in x.replace('"ai_library_path": null', "") for x in texts)
+    if n == 1:
+        d = json.loads(texts[0])
+        assert [b["id"] for b in d["project_redactions"][odd]["11"]] == [f"{odd}12{k}" for k in (2, 1, 0)] and {b["page"] for b in d["project_redactions"][odd]["11"]} == {11}
+        assert d["terms_list"] == [{"term": "z", "active": True}, {"term": 'a"*', "active": False}] and [odd, 1, 'm,]"', "t"] in d["dismissed_matches"]
+    back = project.read_project(spark, path)
+    key = lambda rows: sorted(map(str, rows))
+    for name, frame in frames.items():
+        columns = [c for c in frame.columns if c in back[name].columns and c not in project.UNSAVED]
+        assert len(columns) >= len(frame.columns) - 2 and key(tuple(r) for r in back[name].select(*columns).collect()) == key(tuple(r) for r in frame.select(*columns).collect()), name
+    path = str(tmp_path / "empty")
+    project.write_project({k: f.limit(0) for k, f in frames.items()}, path)
+    assert all(f.count() == (k == "settings") for k, f in project.read_project(spark, path).items())
 
 
 def test_files(spark, tmp_path):
