@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemask.functions.text import escape, wildcard_pattern
+from pagemask.operators.term_index import candidates
 
 
 def section_title(pages: DataFrame, toc: DataFrame, level1: bool = True) -> DataFrame:
@@ -96,7 +97,9 @@ def bookmark_terms(toc: DataFrame, terms: DataFrame, filter_text: str = "") -> D
     if filter_text.strip():
         t = spark.createDataFrame([(filter_text, -1)], "term string, ord int").unionByName(t)
     hit = F.when(F.contains("term", F.lit("*")), F.regexp_like("title", wildcard_pattern(F.col("term")))).otherwise(F.contains(F.lower("title"), F.lower("term")))
-    joined = toc.join(F.broadcast(t), hit)
+    # a term with a star is a pattern of whole words, any other one is found anywhere
+    met = candidates(toc, ["file_name", "toc_index"], t, F.contains("term", F.lit("*")), "title").join(t, "term")
+    joined = toc.join(met, ["file_name", "toc_index"]).filter(hit)
     return joined.groupBy("file_name", "toc_index", "title").agg(F.min_by("term", "ord").alias("term"))
 
 
