@@ -7,9 +7,10 @@ altogether with a probability of (1 - 0.8 ** ROWS) ** BANDS, about 1e-7. Every l
 In a bucket of equal keys all members are first held against the least one. Texts of buckets that are then still in several components (texts
 that share a long passage and little else, as a rule) meet anew by the rarest of their shingles: two sets with a similarity of `least` have one in common
 among the first |set| - ceil(least |set|) + 1 of each, in any order of the shingles that is the same for all, so the rarest come first. A shared passage
-is the commonest part of a text and never in this prefix; what only one text has leads to no other. There, each member outside the largest
-component of a shingle's texts is held against all of them, in blocks of bounded size. No link between members of one component is looked
-for, and a block returns a spanning forest, never all pairs.
+is the commonest part of a text and never in this prefix; what only one text has leads to no other. Texts that such shingles connect, over any number
+of them, form a cluster (of more than RIGHT texts: each shingle's texts by themselves). There, each member outside the largest component is
+held against all of them, in blocks of bounded size. No link between members of one component is looked for, and a block returns a spanning
+forest, never all pairs.
 """
 
 from __future__ import annotations
@@ -171,15 +172,27 @@ def _open(members: DataFrame, found: DataFrame) -> DataFrame:
 
 def rare_shingles(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """node and bucket: the shingles of a node's prefix that another one of the nodes has too. nodes: node; sets: node, set."""
-    every = sets.join(nodes, "node", "left_semi").select("node", F.size("set").alias("size"), F.explode("set").alias("shingle"))
+    own = sets.join(nodes, "node", "left_semi")
+    every = own.select("node", F.explode("set").alias("shingle"))
     often = every.groupBy(F.col("shingle").alias("key")).agg(F.count("*").alias("n")).filter("n > 1")
     ordered = F.array_sort(F.collect_list(F.struct("n", "key")))
-    shared = join_hot(every, often, F.col("shingle") == F.col("key"), "n").groupBy("node", "size").agg(ordered.alias("own"))
+    shared = join_hot(every, often, F.col("shingle") == F.col("key"), "n").groupBy("node").agg(ordered.alias("own"))
     # shingles of this node alone are the rarest: they fill the prefix first
-    room = F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-6) + 1 - (F.col("size") - F.size("own"))
+    size = F.col("size")
+    room = size - F.ceil(F.lit(least) * size - 1e-6) + 1 - (size - F.size("own"))
+    shared = shared.join(own.select("node", F.size("set").alias("size")), "node")
     return shared.select("node", F.explode(F.slice("own", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))).alias("s")).select("node", F.col("s.key").alias("bucket"))
 
 
+def _clusters(rare: DataFrame) -> DataFrame:
+    """node and bucket: the cluster of nodes that buckets connect; in one of more than RIGHT nodes, its buckets as they are."""
+    head = rare.groupBy("bucket").agg(F.min("node").alias("head"))
+    found = components(rare.join(head, "bucket").select(F.col("node").alias("u"), F.col("head").alias("v")))
+    roots = found.groupBy("root").agg((F.count("*") >= RIGHT).alias("wide"))  # the root itself has no row
+    named = found.join(roots, "root").select("node", "root", "wide").union(roots.select("root", "root", "wide"))
+    return rare.join(named, "node").select("node", F.when(F.col("wide"), F.col("bucket")).otherwise(F.col("root")).alias("bucket")).distinct()
+
+
 def _bucketed(rows: DataFrame) -> DataFrame:
     """rows (with node and bucket) of buckets with several rows, and n, head and sign: number, least and a name of the bucket's nodes."""
     full = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("head"), F.expr("bit_xor(xxhash64(node))").alias("sign")).filter("n > 1")
@@ -211,7 +224,7 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str
     star = materialize(_verified(_stars(members), sets, least), "star-links")
     linked = components(star)
     rare = materialize(rare_shingles(materialize(_open(members, linked), "open"), sets, least), "rare-shingles")
-    rest = _verified(_rest(_bucketed(rare), linked), sets, least)
+    rest = _verified(_rest(_bucketed(materialize(_clusters(rare), "clusters")), linked), sets, least)
     found = components(star.unionByName(rest)).withColumnRenamed("node", "_node")
     return sketches.join(found, F.col("node") == F.col("_node"), "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
 
