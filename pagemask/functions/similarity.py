@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -65,6 +68,83 @@ def sequence_from(a: str, b: str, threshold: float) -> float:
     return m.ratio() if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold else 0.0
 
 
+class Windows:
+    """The runs of consecutive words of a page, joined by spaces, against which texts are held."""
+
+    def __init__(self, words: list[str]):
+        self.words = words
+        sizes = np.array([len(w) for w in words], np.int64)
+        self.ends = np.r_[0, np.cumsum(sizes + 1)]
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.letters = np.unique(np.r_[codes, np.uint32(32)])
+        counts = np.zeros((len(words), len(self.letters)), np.int32)
+        np.add.at(counts, (np.repeat(np.arange(len(words)), sizes), np.searchsorted(self.letters, codes)), 1)
+        counts[:, np.searchsorted(self.letters, 32)] += 1  # the space after each word
+        self.sums = np.concatenate([np.zeros((1, counts.shape[1]), np.int32), np.cumsum(counts, axis=0, dtype=np.int32)])
+
+    def best(self, target: str, least: int, most: int, threshold: float, off: float | None = None) -> tuple[float, int, int] | None:
+        """(ratio, first word, words) of the run of least to most words with the best `sequence` ratio of `threshold` and more; the first of equals, then the shortest.
+
+        Only runs whose length isn't off by more than `off` of the target's count, if it is given. A run's letters bound its ratio from above: all runs' bounds are
+        computed at once, and ratios from the highest bound down, until none can be better.
+        """
+        a = len(target)
+        codes = np.frombuffer(target.encode("utf-32-le", "surrogatepass"), np.uint32)
+        place = np.searchsorted(self.letters, codes)
+        place[place == len(self.letters)] = 0
+        bag = np.bincount(place[self.letters[place] == codes], minlength=len(self.letters))
+        space, found = np.searchsorted(self.letters, 32), []
+        for k in range(max(1, least), min(most, len(self.words)) + 1):
+            b = self.ends[k:] - self.ends[:-k] - 1
+            fits = 2.0 * np.minimum(a, b) >= threshold * (a + b)
+            if off is not None:
+                fits &= np.abs(a - b) <= off * a
+            i = np.flatnonzero(fits)
+            if not len(i):
+                continue
+            counts = self.sums[i + k] - self.sums[i]
+            counts[:, space] -= 1
+            bound = 2.0 * np.minimum(counts, bag).sum(axis=1) / (a + b[i])
+            good = bound >= threshold
+            found += zip((-bound[good]).tolist(), i[good].tolist(), [k] * int(good.sum()))
+        best = None
+        for bound, i, k in sorted(found):
+            if best and -bound < best[0]:
+                break
+            ratio = sequence(target, " ".join(self.words[i : i + k]))
+            if ratio >= threshold and (best is None or (-ratio, i, k) < (-best[0], best[1], best[2])):
+                best = ratio, i, k
+        return best
+
+
+BOXED = "struct<id:string,target:string,least:int,most:int>"
+
+
+def best_windows(pages: DataFrame, threshold: float, off: float | None = None) -> DataFrame:
+    """id, file_name, page, ratio, x0, y0, x1 and y1 of the best run of a page's words for each text (`Windows.best`); texts without one have no row.
+
+    pages: file_name, page, shown (the words in order), x0, y0, x1, y1 (of each word) and boxes (array of BOXED)."""
+    schema = pa.schema([("id", pa.string()), ("file_name", pa.string()), ("page", pa.int32()), ("ratio", pa.float64()), *[(c, pa.float64()) for c in ("x0", "y0", "x1", "y1")]])
+
+    def scan(batches):
+        for b in batches:
+            rows = []
+            for r in range(b.num_rows):
+                file, page, shown, x0, y0, x1, y1, boxes = (c[r] for c in b.columns)
+                words = Windows(shown.as_py())
+                xs = [c.values.to_numpy() for c in (x0, y0, x1, y1)]
+                for box in boxes.as_py():
+                    best = words.best(box["target"], box["least"], box["most"], threshold, off)
+                    if best:
+                        run = slice(best[1], best[1] + best[2])
+                        rows.append((box["id"], file.as_py(), page.as_py(), best[0], *[float(f(x[run])) for f, x in zip((np.min, np.min, np.max, np.max), xs)]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+    columns = ["file_name", "page", "shown", "x0", "y0", "x1", "y1", "boxes"]
+    return pages.select(*columns).mapInArrow(scan, "id string, file_name string, page int, ratio double, x0 double, y0 double, x1 double, y1 double")
+
+
 def cell(a: str, b: str) -> float:
     """Similarity of two cells from 0 to 1: equal, contained, half of the tokens shared (three tokens on a side), else the better ratio."""
     x, y = " ".join(a.lower().split()), " ".join(b.lower().split())

@@ -10,8 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemask.functions.geometry import rect
-from pagemask.functions.similarity import seq_ratio_from
-from pagemask.operators.search import find_on_page, group_occurrences
+from pagemask.functions.similarity import best_windows
+from pagemask.operators.search import find_on_page, group_occurrences, with_texts
 from pagemask.sources.layout import PAGE, READING
 
 DETECTIONS = "array<struct<text:string,page:int,confidence:string,category:string,justification:string,context:string>>"
@@ -206,22 +206,11 @@ def compound_names(contexts: DataFrame) -> DataFrame:
 def fuzzy_locate(targets: DataFrame, words: DataFrame, threshold: float = 0.8, window: int = 6) -> DataFrame:
     """id, ratio and rects of the best run of one to `window` words on the target's page; the first of equals.
 
-    A length bound drops runs that can't reach the threshold before any ratio is computed.
+    Length and letters drop runs that can't reach the threshold before any ratio is computed.
     """
-    page = W.partitionBy(*PAGE).orderBy(*READING)
-    runs = F.collect_list(F.struct("text", "x0", "y0", "x1", "y1")).over(page.rowsBetween(0, window - 1))
-    w = words.select(*PAGE, F.row_number().over(page).alias("pos"), runs.alias("run"))
-    t = targets.select(F.col("id"), *PAGE, F.lower("text").alias("target"))
-    c = t.join(w, PAGE).select("id", "target", "pos", "run", F.explode(F.sequence(F.lit(1), F.size("run"))).alias("k"))
-    c = c.withColumn("run", F.slice("run", 1, F.col("k"))).withColumn("shown", F.lower(F.array_join(F.transform("run", lambda x: x["text"]), " ")))
-    a, b = F.length("target"), F.length("shown")
-    c = c.filter(2.0 * F.least(a, b) >= threshold * (a + b)).withColumn("ratio", seq_ratio_from(threshold)("target", "shown")).filter(F.col("ratio") >= threshold)
-    best = c.groupBy("id").agg(F.max_by(F.struct("ratio", "run"), F.struct("ratio", -F.col("pos"), -F.col("k"))).alias("b")).select("id", "b.*")
-
-    def of(f, field):
-        return f(F.transform("run", lambda x: x[field]))
-
-    return best.select("id", "ratio", F.array(rect(of(F.array_min, "x0"), of(F.array_min, "y0"), of(F.array_max, "x1"), of(F.array_max, "y1"))).alias("rects"))
+    t = targets.select(F.col("id").cast("string"), *PAGE, F.lower("text").alias("target"), F.lit(1).alias("least"), F.lit(window).alias("most"))
+    best = best_windows(with_texts(words, t.filter("target IS NOT NULL")), threshold)
+    return best.select("id", "ratio", F.array(rect(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))).alias("rects"))
 
 
 def _rect_list():

@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemask.functions.geometry import area, coverage, overlap, rect
-from pagemask.functions.similarity import cell_similarity, indel_ratio, seq_ratio_from, token_set_ratio
-from pagemask.operators.search import find_on_page, text_under_boxes
+from pagemask.functions.similarity import best_windows, cell_similarity, indel_ratio, token_set_ratio
+from pagemask.operators.search import find_on_page, text_under_boxes, with_texts
 from pagemask.sources.layout import PAGE, READING, page_text
 
 TABLE = [*PAGE, "table_idx"]
@@ -438,37 +438,12 @@ def transfer_text_exact(boxes: DataFrame, target_words: DataFrame, window: DataF
 def transfer_text_fuzzy(boxes: DataFrame, exact: DataFrame, target_words: DataFrame, window: DataFrame, threshold: float = 0.85) -> DataFrame:
     """b_id, page, ratio and rectangle of the best window of n - 5 to n + 5 words on each page, for boxes without an exact hit.
 
-    A page's words are collected once and met by its boxes. Windows whose length is off by over 30 %, or that can't reach the
-    threshold by their length, are dropped before their text is made, and those that can't by their letters before any ratio.
+    A page and its boxes meet once. Of all windows only those are made into texts that can reach the threshold by their length and letters, the best ones first.
     """
     rest = boxes.join(exact.select(F.col("b_id").alias("id")).distinct(), "id", "left_anti")
-    q = _spread(rest, window).select("b_id", *PAGE, F.lower("text").alias("target"), F.size(F.split("text", r"\s+")).alias("n"))
-    word = F.struct(*READING, F.lower("text").alias("text"), "x0", "y0", "x1", "y1")
-    pages = target_words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(word)).alias("words"))
-    shown = F.transform("words", lambda w: w["text"])
-    # ends[i]: characters of the first i words, each with a space
-    ends = F.aggregate("shown", F.array(F.lit(0)), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(t) + 1)))
-    pages = pages.withColumn("shown", shown).withColumn("ends", ends)
-    a = F.length("target")
-
-    def fits(i: Column, k: Column) -> Column:
-        b = F.get("ends", i - 1 + k) - F.get("ends", i - 1) - 1
-        return (F.abs(a - b) <= 0.3 * a) & (2.0 * F.least(a, b) >= threshold * (a + b))
-
-    def of_size(k: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.size("shown") - k + 1), lambda i: fits(i, k))
-        return F.transform(starts, lambda i: F.struct(i.alias("pos"), k.alias("k"), F.array_join(F.slice("shown", i, k), " ").alias("text")))
-
-    least, most = F.greatest(F.lit(1), F.col("n") - 5), F.least(F.col("n") + 5, F.size("shown"))
-    c = q.join(pages, PAGE).filter(least <= most).select("b_id", *PAGE, "target", F.inline(F.flatten(F.transform(F.sequence(least, most), of_size))))
-    c = c.withColumn("ratio", seq_ratio_from(threshold)("target", "text")).filter(F.col("ratio") >= threshold)
-    best = c.groupBy("b_id", *PAGE).agg(F.max_by(F.struct("ratio", "pos", "k"), F.struct("ratio", -F.col("pos"), -F.col("k"))).alias("b")).select("b_id", *PAGE, "b.*")
-    run = F.slice("words", F.col("pos"), F.col("k"))
-
-    def of(f, field):
-        return f(F.transform(run, lambda x: x[field])).alias(field)
-
-    return best.join(pages.select(*PAGE, "words"), PAGE).select("b_id", *PAGE, "ratio", of(F.array_min, "x0"), of(F.array_min, "y0"), of(F.array_max, "x1"), of(F.array_max, "y1"))
+    n = F.size(F.split("text", r"\s+"))
+    q = _spread(rest, window).select(F.col("b_id").alias("id"), *PAGE, F.lower("text").alias("target"), (n - 5).alias("least"), (n + 5).alias("most"))
+    return best_windows(with_texts(target_words, q), threshold, 0.3).withColumnRenamed("id", "b_id")
 
 
 def match_lines(boxes: DataFrame, target_words: DataFrame, window: DataFrame, threshold: float = 0.8) -> DataFrame:
