@@ -83,7 +83,7 @@ _W = r"[\p{L}\p{M}\p{N}_]"
 VIEWS["gaps"] = (["boxes", "offsets", "pages"], _UNDER.strip() + rf""",
   idx AS (SELECT DISTINCT trim(u.text) AS text, lower(trim(u.text)) AS probe, b.file_name, b.page FROM boxes b JOIN under u USING (id) WHERE trim(u.text) <> ''),
   probes AS (SELECT DISTINCT probe FROM idx WHERE length(probe) >= 2),
-  pt AS (SELECT probe, trim(probe, '()[]{{}}<>.,;:!? ') AS needle FROM probes),
+  pt AS (SELECT probe, CASE WHEN trim(probe, '()[]{{}}<>.,;:!? ') <> '' THEN trim(probe, '()[]{{}}<>.,;:!? ') ELSE probe END AS needle FROM probes),
   lp AS (SELECT file_name, page, lower(text) AS text FROM pages_t),
   runs AS (SELECT DISTINCT file_name, page, unnest(regexp_extract_all(text, '{_W}+')) AS run FROM lp),
   rp AS (SELECT probe, needle, regexp_extract(needle, '{_W}+') AS run FROM pt WHERE needle <> ''),

@@ -16,6 +16,20 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def store_by_page(rows: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
+    """Writes a table with file_name and page below `path`, bucketed by both, and reads it back. Joins, groups and windows by page then need no shuffle of it, and joins of two tables
+    of as many buckets none at all; a file is spread over the buckets by its pages. buckets: as many as shuffles have partitions, unless said; more for larger tables,
+    so that a bucket of the words stays at a few hundred megabytes. The table has a name of its own in the session's catalog."""
+    import uuid
+
+    spark = rows.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"by_page_{uuid.uuid4().hex}"
+    # dealt as the buckets are, so that each bucket is one file
+    rows.repartition(n, *PAGE).write.format("parquet").bucketBy(n, *PAGE).sortBy(*PAGE).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def words_from_text(docs: DataFrame, per_page: int = 5, per_line: int = 12) -> DataFrame:
     """Words of plain texts, laid out with a fixed pitch: `per_page` lines of text a page, `per_line` words a visual line."""
     lines = docs.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("file_name"), F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
@@ -126,14 +140,11 @@ class Views:
         self.kept: dict[str, DataFrame] = {}
 
     def stored(self) -> Views:
-        """The same views, with words and boxes written once below the shared folder and read from there, as an application keeps them:
+        """The same views, with words and boxes written once below the shared folder, bucketed by page, and read from there, as an application keeps them:
         for queries that read them many times."""
         path, v = stream_dir(self.spark), Views(self.spark, self.dir)
-        self.words.write.parquet(path + "/words")
-        v.kept["words"] = read_words(self.spark, path + "/words")
-        boxes = v.boxes
-        boxes.write.parquet(path + "/boxes")
-        v.kept["boxes"] = self.spark.read.schema(boxes.schema).parquet(path + "/boxes")
+        v.kept["words"] = store_by_page(self.words, path + "/words")
+        v.kept["boxes"] = store_by_page(v.boxes, path + "/boxes")
         return v
 
     def table(self, name: str) -> DataFrame:
