@@ -94,17 +94,50 @@ def page_with_tables(pages: DataFrame, tables: DataFrame) -> DataFrame:
 # ---- prompts and model
 
 
-def library_block(library: DataFrame) -> DataFrame:
-    """One row: all of the library (a list that people keep by hand) as lines of a prompt: text, context, category and justification."""
+#: Characters of known items in one prompt, about.
+LIBRARY_CHARS = 1_000_000
+#: Tasks that share the chunks of a block, where there are several blocks.
+SALTS = 32
+
+
+def _items(library: DataFrame) -> DataFrame:
     shown = [(label, F.coalesce(F.col(c), F.lit("")) if c in library.columns else F.lit("")) for label, c in (("Text", "redacted_text"), ("Context", "context"), ("Category", "category"), ("Justification", "justification"))]
     item = F.concat_ws("\n", *[F.concat(F.lit(("- " if i == 0 else "  ") + label + ': "'), c, F.lit('"')) for i, (label, c) in enumerate(shown)])
-    items = library.select("redacted_text", item.alias("item")).distinct()
-    return items.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("redacted_text", "item"))), lambda x: x["item"]), "\n\n").alias("library"))
+    return library.select("redacted_text", item.alias("item")).distinct()
+
 
+def library_blocks(library: DataFrame, most: int = LIBRARY_CHARS) -> tuple[DataFrame, int]:
+    """block and library: all items as lines of prompts (text, context, category and justification), each once, in order within a block; and the number of blocks.
 
-def build_prompts(chunks: DataFrame, contexts: DataFrame, library: DataFrame, role: str = "You review clinical documents for confidential information.") -> DataFrame:
-    """chunks with prompt: role, document context, known items, section, page range, text and the form of the reply."""
-    c = chunks.join(contexts, "file_name", "left").crossJoin(F.broadcast(library_block(library)))
+    A library of up to `most` characters is one block. A longer one is dealt by the items' hashes to as many blocks as it takes, each put together in a task of its own.
+    Only the library's length reaches the driver.
+    """
+    items = _items(library)
+    total = items.agg(F.sum(F.length("item") + 2)).first()[0] or 0
+    n = max(1, -(-total // most))
+    block = (F.conv(F.substring(F.md5("item"), 1, 8), 16, 10).cast("long") % n).cast("int") if n > 1 else F.lit(0)
+    ordered = F.array_sort(F.collect_list(F.struct("redacted_text", "item")))
+    text = F.array_join(F.transform(ordered, lambda x: x["item"]), "\n\n")
+    return items.groupBy(block.alias("block")).agg(text.alias("library")), n
+
+
+def _with_library(chunks: DataFrame, library: DataFrame, most: int) -> DataFrame:
+    """chunks with a row for each block of the library, and its text. One block, whose length is known to be within `most`, is broadcast; several are joined by
+    their number, with the chunks dealt to SALTS tasks for each."""
+    blocks, n = library_blocks(library, most)
+    if n == 1:
+        return chunks.withColumn("library_block", F.lit(0)).join(F.broadcast(blocks.withColumnRenamed("block", "library_block")), "library_block", "left")
+    salted = chunks.withColumn("library_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_salt", F.pmod(F.xxhash64("file_name", "start_page", "library_block"), F.lit(SALTS)).cast("int"))
+    spread = blocks.withColumnRenamed("block", "library_block").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread, ["library_block", "_salt"], "left").drop("_salt")
+
+
+def build_prompts(chunks: DataFrame, contexts: DataFrame, library: DataFrame, role: str = "You review clinical documents for confidential information.", most: int = LIBRARY_CHARS) -> DataFrame:
+    """chunks with library_block and prompt: role, document context, known items, section, page range, text and the form of the reply.
+
+    A library that doesn't fit a prompt (`most` characters) gives a chunk one prompt for each of its blocks; no item is left out, and the replies of all of them are the chunk's.
+    """
+    c = _with_library(chunks.join(contexts, "file_name", "left"), library, most)
 
     def part(label: str, col: str) -> Column:
         return F.when(F.coalesce(F.length(col), F.lit(0)) > 0, F.concat(F.lit(label + "\n"), col))
@@ -115,13 +148,13 @@ def build_prompts(chunks: DataFrame, contexts: DataFrame, library: DataFrame, ro
         F.when(F.coalesce(F.length("section_title"), F.lit(0)) > 0, F.concat(F.lit("Section: "), "section_title")), pages, F.col("text"),
         F.lit('Reply with a JSON array of {"text", "page", "confidence", "category", "justification", "context"}.'),
     )
-    return c.select(*chunks.columns, prompt.alias("prompt"))
+    return c.select(*chunks.columns, "library_block", prompt.alias("prompt"))
 
 
 def score_chunks(prompts: DataFrame, scorer: Callable[[str], str], parallel: int | None = None) -> DataFrame:
     """prompts without their text, with response and error. A call that fails gives an error, never a failed job.
 
-    parallel bounds the concurrent calls; write the result as a table and score only what it lacks after a failure.
+    parallel bounds the concurrent calls. `score_missing` keeps the replies and asks only for those that are missing.
     """
     keys = [c for c in prompts.columns if c not in ("prompt", "text")]
 
@@ -140,6 +173,39 @@ def score_chunks(prompts: DataFrame, scorer: Callable[[str], str], parallel: int
     return df.mapInPandas(call, f"{fields}, response string, error string")
 
 
+def latest_replies(replies: DataFrame) -> DataFrame:
+    """The last reply of each prompt: of all attempts that succeeded the last one, else the last failure; attempts is their number."""
+    keys = [c for c in replies.columns if c not in ("attempt", "response", "error")]
+    best = F.max_by(F.struct("response", "error"), F.struct(F.col("error").isNull(), "attempt", "response"))
+    return replies.groupBy(*keys).agg(F.max("attempt").alias("attempts"), best.alias("b")).select(*keys, "attempts", "b.*")
+
+
+def score_missing(prompts: DataFrame, scorer: Callable[[str], str], path: str, attempts: int = 3, parallel: int | None = None) -> DataFrame:
+    """Scores the prompts that have no reply yet and returns the latest reply of each prompt: the prompts' columns without their text, prompt_hash, attempts, response and error.
+
+    Replies are appended to the table at `path`, keyed by the prompts' columns and a hash of the prompt, so a prompt that changes is asked again. A prompt that failed is asked again, up to
+    `attempts` times over all calls. A job that is lost midway has appended nothing; calling again scores what is missing, and nothing twice that is there. Replies of prompts that
+    aren't asked for any more stay in the table and aren't returned. Prompts that are given twice are asked once.
+    """
+    spark = prompts.sparkSession
+    keys = [c for c in prompts.columns if c not in ("prompt", "text")]
+    asked = prompts.select(*keys, F.xxhash64("prompt").alias("prompt_hash"), "prompt").dropDuplicates([*keys, "prompt_hash"])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema if f.name != "prompt")
+    schema = f"{fields}, attempt int, response string, error string"
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)  # so that there is a table
+    known = latest_replies(spark.read.schema(schema).parquet(path)).select(*[F.col(k).alias("_" + k) for k in (*keys, "prompt_hash")], "attempts", "error")
+    same = [F.col(k).eqNullSafe(F.col("_" + k)) for k in (*keys, "prompt_hash")]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    todo = asked.join(known, on, "left").filter(F.col("attempts").isNull() | (F.col("error").isNotNull() & (F.col("attempts") < attempts)))
+    scored = score_chunks(todo.select(*keys, "prompt_hash", (F.coalesce("attempts", F.lit(0)) + 1).alias("attempt"), "prompt"), scorer, parallel)
+    scored.select(*[c.strip().split(" ")[0].strip("`") for c in schema.split(", ")]).write.mode("append").parquet(path)
+    replies = spark.read.schema(schema).parquet(path)
+    wanted = asked.select(*[F.col(k).alias("_" + k) for k in (*keys, "prompt_hash")])
+    return latest_replies(replies).join(wanted, on, "left_semi")
+
+
 def fenced_json(response: Column) -> Column:
     """The body of a ```json fence if there is one, else the response."""
     body = F.regexp_extract(response, r"(?s)```(?:json)?\s*(.*?)```", 1)

@@ -9,6 +9,7 @@ from pagemask.operators import detect as dt
 from pagemask.operators import sections as sec
 from pagemask.plans.register import query
 from pagemask.plans.views_sql import VIEWS
+from pagemask.sources.layout import stream_dir
 
 # Four orders make a file: two pages with two tables of equal headers each. In the next version the two tables of a page have changed places,
 # all pages come one later, the grid is moved and stretched, and some texts differ.
@@ -99,21 +100,24 @@ def _contexts(v):
     return sec.document_context(v.pages, v.toc, v.files)
 
 
-_LIBRARY = """
+# A library of so many characters as a prompt takes; the sample's is longer on all but the smallest tables.
+_MOST = 20_000
+_LIBRARY = f"""
 lib AS (SELECT DISTINCT match AS t, '- Text: "' || match || '"' || chr(10) || '  Context: "' || context || '"' || chr(10) || '  Category: "' || term || '"' || chr(10) || '  Justification: "' || selection_mode || '"' AS item FROM boxes),
-lb AS (SELECT string_agg(item, chr(10) || chr(10) ORDER BY t, item) AS library FROM lib)"""
+ln AS (SELECT greatest(1, ceil(sum(length(item) + 2) / {_MOST}))::BIGINT AS n FROM lib),
+lb AS (SELECT (('0x' || substr(md5(item), 1, 8))::BIGINT % n)::INT AS block, string_agg(item, chr(10) || chr(10) ORDER BY t, item) AS library FROM lib, ln GROUP BY 1)"""
 
 
 def _library(v):
     return v.boxes.select(F.col("match").alias("redacted_text"), "context", F.col("term").alias("category"), F.col("selection_mode").alias("justification"))
 
 
-query("a10_library", "boxes", f"WITH {_LIBRARY} SELECT library FROM lb")(lambda v: dt.library_block(_library(v)))
+query("a10_library", "boxes", f"WITH {_LIBRARY} SELECT block, library FROM lb")(lambda v: dt.library_blocks(_library(v), _MOST)[0])
 query("a10_prompts", "pages boxes", f"""WITH {_LIBRARY}, c AS (SELECT file_name, (page - 1) // 5 * 5 + 1 AS s, max(page) AS e, string_agg(text || chr(10) || chr(10), '' ORDER BY page) AS t FROM pages_t GROUP BY ALL),
-p AS (SELECT file_name, s AS start_page, concat_ws(chr(10) || chr(10), 'You review clinical documents for confidential information.', 'Known items:' || chr(10) || library, 'Section: Intro', 'Pages ' || s || ' to ' || e, t,
+p AS (SELECT file_name, s AS start_page, block AS library_block, concat_ws(chr(10) || chr(10), 'You review clinical documents for confidential information.', 'Known items:' || chr(10) || library, 'Section: Intro', 'Pages ' || s || ' to ' || e, t,
   'Reply with a JSON array of {{"text", "page", "confidence", "category", "justification", "context"}}.') AS prompt FROM c, lb)
-SELECT file_name, start_page, length(prompt) AS n, sha1(prompt) AS digest FROM p""")(
-    lambda v: dt.build_prompts(_chunks(v), _contexts(v).select("file_name", *[F.lit("").alias(c) for c in ("title_text", "toc_text", "outline")]), _library(v)).select("file_name", "start_page", F.length("prompt").alias("n"), F.sha1("prompt").alias("digest")))
+SELECT file_name, start_page, library_block, length(prompt) AS n, sha1(prompt) AS digest FROM p""")(
+    lambda v: dt.build_prompts(_chunks(v), _contexts(v).select("file_name", *[F.lit("").alias(c) for c in ("title_text", "toc_text", "outline")]), _library(v), most=_MOST).select("file_name", "start_page", "library_block", F.length("prompt").alias("n"), F.sha1("prompt").alias("digest")))
 
 
 def stub(prompt: str) -> str:
@@ -126,6 +130,28 @@ def stub(prompt: str) -> str:
 
 query("a11_score_chunks", "pages", """SELECT file_name, (page - 1) // 5 * 5 + 1 AS start_page, contains(string_agg(text, ' '), 'ununun') AS failed FROM pages_t GROUP BY file_name, (page - 1) // 5""")(
     lambda v: dt.score_chunks(_chunks(v).withColumn("prompt", F.col("text")), stub).select("file_name", "start_page", F.col("error").isNotNull().alias("failed")))
+def _first_words(prompt: str) -> str:
+    return f"{len(prompt)} {prompt[:40]}"
+
+
+def _moody(prompt: str) -> str:
+    """A model that is out of order for every other prompt."""
+    if len(prompt) % 2:
+        raise TimeoutError("try again")
+    return "early " + _first_words(prompt)
+
+
+@query("a11_resumed", "pages", """SELECT file_name, (page - 1) // 5 * 5 + 1 AS start_page, CASE WHEN n % 2 = 1 THEN 2 ELSE 1 END AS attempts, CASE WHEN n % 2 = 0 THEN 'early ' ELSE '' END || n || ' ' || substr(t, 1, 40) AS response, NULL::VARCHAR AS error
+FROM (SELECT file_name, min(page) AS page, string_agg(text || chr(10) || chr(10), '' ORDER BY page) AS t, length(t) AS n FROM pages_t GROUP BY file_name, (page - 1) // 5)""")
+def _(v):
+    """A scan half of whose calls fail, and a second one, which asks only for these."""
+    path = stream_dir(v.spark) + "/replies"
+    prompts = _chunks(v).select("file_name", "start_page", F.col("text").alias("prompt"))
+    dt.score_missing(prompts, _moody, path)
+    dt.score_missing(prompts, _first_words, path)
+    return dt.score_missing(prompts, _moody, path).drop("prompt_hash")
+
+
 query("a12_parse_detections", "dets", """SELECT file_name, page AS start_page, text, page, CASE WHEN length(text) % 2 = 0 THEN 'high' ELSE 'medium' END AS confidence, 'unknown' AS category FROM dets WHERE page % 3 = 0 OR page % 5 <> 0""")(
     lambda v: dt.parse_detections(replies(v)).select("file_name", "start_page", "text", "page", "confidence", "category"))
 query("a13_summaries", "files toc", "SELECT file_name FROM files WHERE total_pages <= 2")(lambda v: dt.summaries_to_fetch(v.files, v.files.filter("total_pages > 2").select("file_name")).select("file_name"))

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import json
+import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -244,8 +246,53 @@ def test_dismissing_twice_keeps_both(spark):
 
 def test_library_has_every_item(spark):
     df = spark.createDataFrame([(f"text {i:04d}", "c", "k", f"j{i}") for i in range(450)], "redacted_text string, context string, category string, justification string")
-    (r,) = detect.library_block(df).collect()
-    assert r.library.count("- Text:") == 450 and '  Justification: "j449"' in r.library
+    blocks, n = detect.library_blocks(df)
+    (r,) = blocks.collect()
+    assert n == 1 and r.library.count("- Text:") == 450 and '  Justification: "j449"' in r.library
+    chunks = spark.createDataFrame([(f"{i}.pdf", 1, 5, "Intro", f"body {i}") for i in range(6)], "file_name string, start_page int, end_page int, section_title string, text string")
+    none = spark.createDataFrame([], "file_name string, title_text string, toc_text string, outline string")
+    for most in (10**6, 5_000):
+        prompts = detect.build_prompts(chunks, none, df, most=most).collect()
+        _, n = detect.library_blocks(df, most)
+        assert len(prompts) == 6 * n and (n > 5) == (most == 5_000)
+        for i in range(6):
+            own = [p.prompt for p in prompts if p.file_name == f"{i}.pdf"]
+            assert all(f"body {i}" in p for p in own) and sorted(x for p in own for x in re.findall(r"text \d{4}", p)) == [f"text {k:04d}" for k in range(450)]
+    empty = detect.build_prompts(chunks, none, df.limit(0)).collect()
+    assert len(empty) == 6 and not any("Known items" in p.prompt for p in empty)
+
+
+def test_only_missing_replies_are_asked_for(spark, tmp_path):
+    """Attempts that failed are repeated up to a bound, those that succeeded never; a changed prompt is another one."""
+    log = tmp_path / "calls"
+    log.mkdir()
+    frame = lambda rows: spark.createDataFrame(rows, "file_name string, start_page int, prompt string")
+
+    def model(name, fails):
+        def call(prompt):
+            with open(log / f"{name}-{abs(hash(prompt))}-{os.getpid()}", "a") as f:
+                f.write(prompt + "\n")
+            if prompt in fails:
+                raise ValueError("no")
+            return f"{name}: {prompt}"
+
+        return call
+
+    def asked(name):
+        return sorted(x for p in log.glob(f"{name}-*") for x in p.read_text().split("\n")[:-1])
+
+    path, rows = f"file://{tmp_path}/replies", [("a", 1, "one"), ("a", 2, "two"), (None, 1, "three"), ("a", 1, "one")]
+    get = lambda r: {(x.file_name, x.start_page): (x.response, x.error, x.attempts) for x in r.collect()}
+    first = get(detect.score_missing(frame(rows), model("m1", {"two", "three"}), path, parallel=3))
+    assert first == {("a", 1): ("m1: one", None, 1), ("a", 2): (None, "ValueError: no", 1), (None, 1): (None, "ValueError: no", 1)} and asked("m1") == ["one", "three", "two"]
+    second = get(detect.score_missing(frame(rows), model("m2", {"two"}), path))
+    assert second == {("a", 1): ("m1: one", None, 1), ("a", 2): (None, "ValueError: no", 2), (None, 1): ("m2: three", None, 2)} and asked("m2") == ["three", "two"]
+    third = get(detect.score_missing(frame(rows[1:2] + [("a", 1, "one more")]), model("m3", {"two"}), path))
+    assert third == {("a", 2): (None, "ValueError: no", 3), ("a", 1): ("m3: one more", None, 1)} and asked("m3") == ["one more", "two"]
+    fourth = get(detect.score_missing(frame(rows), model("m4", set()), path))
+    assert fourth[("a", 2)] == (None, "ValueError: no", 3) and asked("m4") == []
+    assert get(detect.score_missing(frame(rows), model("m5", set()), path, attempts=4))[("a", 2)] == ("m5: two", None, 4) and asked("m5") == ["two"]
+    assert detect.score_missing(frame([]), model("m6", set()), f"{path}-none").collect() == []
 
 
 def test_clusters_over_tables_are_passed_over(spark):
