@@ -9,7 +9,7 @@ from pagemask.plans.state_queries import actions, edits
 from pagemask.plans.views_sql import VIEWS
 from pagemask.sources import io, project
 from pagemask.sources.layout import stream_dir
-from pagemask.streaming.jobs import fold_actions, stream_boxes
+from pagemask.streaming.jobs import box_state, fold_actions, stream_boxes
 
 _PLAIN = "id, file_name, page, x, y, w, h, selection_mode, match, term, batch_id, context"
 VIEWS["drafts"] = (["results"], """
@@ -118,6 +118,6 @@ def _(v):
     path = stream_dir(v.spark)
     schema = v.table("events").schema
     live = v.spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(v.dir + "/events.parquet*")
-    batches = []
-    stream_boxes(actions(live), path + "/state", path + "/checkpoint", on_boxes=lambda df, n: batches.append(n), once=True).awaitTermination()
-    return replay_actions(v.spark.read.parquet(f"{path}/state/{max(batches)}")).select("file_name", "box_id", "page", "x", "seq")
+    stream_boxes(actions(live), path + "/state", path + "/checkpoint", once=True).awaitTermination()
+    state = box_state(v.spark, path + "/state")
+    return replay_actions(state.read(state.last())).select("file_name", "box_id", "page", "x", "seq")

@@ -11,7 +11,8 @@ from pagemask.plans.search_queries import _UNDER
 from pagemask.plans.register import query
 from pagemask.plans.views_sql import VIEWS
 from pagemask.sources.layout import Views, stream_dir
-from pagemask.streaming.jobs import stream_gap_scan
+from pagemask.streaming.jobs import GapState, stream_gap_scan
+from pagemask.streaming.parts import of_files, store_by_file
 
 
 VIEWS["notes"] = ([], """
@@ -133,25 +134,27 @@ def _(v):
 
 @query("g9_stream_gaps", "gaps", "SELECT * FROM gaps")
 def _(v):
-    """Three micro-batches: pages of lower numbers first, then all pages with a half of the boxes, then everything as it is."""
-    path, v = stream_dir(v.spark), v.stored()
-    v.table("documents").select("doc_id").repartition(3).write.parquet(path + "/changes")
-    changes = v.spark.readStream.schema("doc_id long").option("maxFilesPerTrigger", 1).parquet(path + "/changes")
-    turn = iter(range(3))
-    now: dict = {}
-
-    def words():
-        now["n"] = next(turn, 2)
-        return v.words.filter("page <= 2") if now["n"] == 0 else v.words
-
-    stream_gap_scan(changes, words, lambda: v.boxes if now["n"] == 2 else v.boxes.filter("seq % 2 = 0"), path + "/state", path + "/checkpoint", once=True).awaitTermination()
-    last = max(int(x.getPath().getName()) for x in _folders(v.spark, path + "/state"))
-    return _rounded(v.spark.read.parquet(f"{path}/state/{last}/gaps"))
-
-
-def _folders(spark, path):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    """Three micro-batches: all files with their first two pages and half of their boxes; then half of the files, and then the others, as they are."""
+    path = stream_dir(v.spark)
+    store_by_file(v.words, path + "/words")
+    store_by_file(v.boxes, path + "/boxes")
+    even = F.pmod(F.xxhash64("file_name"), F.lit(2)) == 0
+    files = v.spark.read.parquet(path + "/words").select("file_name").distinct()
+    for some in (files, files.filter(even), files.filter(~even)):
+        some.coalesce(1).write.mode("append").parquet(path + "/changes")
+
+    def table(name, first):
+        """Rows of files as they are in batch n: files of later batches still have their first state."""
+
+        def of(some, n):
+            new = [F.lit(False), even][n] if n < 2 else F.lit(True)
+            return of_files(v.spark, f"{path}/{name}", some).filter(new | F.expr(first))
+
+        return of
+
+    changes = v.spark.readStream.schema("file_name string").option("maxFilesPerTrigger", 1).parquet(path + "/changes")
+    stream_gap_scan(changes, table("words", "page <= 2"), table("boxes", "seq % 2 = 0"), path + "/state", path + "/checkpoint", once=True).awaitTermination()
+    return _rounded(GapState(v.spark, path + "/state").gaps())
 
 
 query("g8_gap_results", "gaps results", "SELECT id, file_name, page, match, term, category FROM results WHERE category <> 'gap' UNION ALL SELECT concat_ws('#', 'gap', file_name, page, match_text, trunc(x0)::INT, y0::INT), file_name, page, match_text, 'CCI:consistency', 'gap' FROM gaps")(

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from pagemask.operators import detect, gaps, sections, state, transfer
 from pagemask.sources import io, project
-from pagemask.streaming.jobs import STATE, fold_actions, stream_gap_scan
+from pagemask.streaming.jobs import STATE, GapState, box_state, fold_actions, stream_gap_scan
+from pagemask.streaming.parts import Parts, folders, parts_of
 from tests.conftest import line_words
 
 
@@ -127,16 +128,67 @@ def test_action_log_in_any_split(spark):
     assert {r.box_id: r.x for r in state.replay_actions(kept).collect()} == boxes and kept.columns == STATE
 
 
-def test_gap_stream_equals_a_full_scan(spark, tmp_path):
-    words = line_words(spark, ["secretword here", "see secretword now", "nothing"])
-    boxes = spark.createDataFrame([("b", "doc_0.pdf", 1, 72.0, 72.0, 60.0, 10.0)], "id string, file_name string, page int, x double, y double, w double, h double")
-    log = tmp_path / "log"
-    spark.range(2).write.parquet(str(log))
-    changes = spark.readStream.schema("id long").parquet(str(log))
-    q = stream_gap_scan(changes, lambda: words, lambda: boxes, f"file://{tmp_path}/state", f"file://{tmp_path}/checkpoint", once=True)
-    q.awaitTermination()
-    got = spark.read.parquet(f"file://{tmp_path}/state/0/gaps")
-    assert [r.file_name for r in got.collect()] == ["doc_1.pdf"] == [r.file_name for r in gaps.gap_scan(words, boxes).collect()]
+def test_gap_stream_equals_a_full_scan_after_each_batch(spark, tmp_path):
+    """Files change, come and go, boxes come and go; each batch is told the names alone, and asks for the words of the files it needs."""
+    rng = random.Random(9)
+    names = ["Alderton", "Birkhoff", "Castellan", "and", "of", "met", "C++"]
+    text = lambda: " ".join(rng.choice(names) for _ in range(8))
+    pages = {f"doc_{i}.pdf": text() for i in range(7)}
+    boxes: list[tuple] = []
+    schema = "id string, file_name string, page int, x double, y double, w double, h double"
+    turns, asked = [], []
+    for turn in range(4):
+        changed = set(pages) if not turn else set(rng.sample(sorted(pages), 2))
+        if turn:
+            for f in changed:
+                pages[f] = text()
+            pages.pop(sorted(changed)[0]) if turn == 2 else None
+        words = [(f, *r[1:]) for f, r in ((f, r) for f, t in pages.items() for r in line_words(spark, [t]).collect())]
+        boxes = [x for x in boxes if x[1] not in changed]
+        own = [r for r in words if r[0] in changed and r[-1] not in ("and", "of")]
+        boxes += [(f"{turn}#{k}", r[0], r[1], r[5], r[6], r[7] - r[5], r[8] - r[6]) for k, r in enumerate(rng.sample(own, min(3, len(own))))]
+        turns.append((words, list(boxes)))
+        spark.createDataFrame([(f,) for f in changed], "file_name string").coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    word_schema = line_words(spark, ["a"]).schema
+
+    def of(k):
+        def table(files, n):
+            some = {r.file_name for r in files.collect()}
+            asked.append((n, k, some))
+            return spark.createDataFrame([r for r in turns[n][k] if (r[0] if k == 0 else r[1]) in some], word_schema if k == 0 else schema)
+
+        return table
+
+    changes = spark.readStream.schema("file_name string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    state = f"file://{tmp_path}/state"
+    stream_gap_scan(changes, of(0), of(1), state, f"file://{tmp_path}/checkpoint", once=True, parts=4).awaitTermination()
+    kept = GapState(spark, state, 4)
+    for n in (2, 3):  # the last two batches are kept
+        words, b = (spark.createDataFrame(t, s) for t, s in zip(turns[n], (word_schema, schema)))
+        full = gaps.gap_scan(words, b).collect()
+        got = kept.gaps(n).collect()
+        assert sorted(map(tuple, got)) == sorted((r.file_name, r.page, r.match_text, r.x0, r.y0, r.x1, r.y1) for r in full) and full
+    assert kept.hits.last() == 3 and all(len(some) <= 2 for n, k, some in asked if n and (n, k) not in {x[:2] for x in asked[: asked.index((n, k, some))]})
+
+
+def test_a_batch_writes_the_parts_of_its_files(spark, tmp_path):
+    """Bytes and rows that a batch writes follow the batch, not the state; a repeated batch gives the same state."""
+    state = Parts(spark, f"file://{tmp_path}/s", "file_name string, v int", 16)
+    rows = lambda names, v: spark.createDataFrame([(n, v) for n in names], "file_name string, v int")
+    every = [f"f{i}" for i in range(200)]
+    state.replace(rows(every, 0), 0, list(range(16)))
+    for n, name in enumerate(("f3", "f5", "f3"), 1):
+        for _ in range(2):  # the second time as after a failure
+            touched = parts_of(rows([name], n), 16)
+            assert len(touched) == 1
+            old = state.read(n - 1, touched).filter(F.col("file_name") != name)
+            state.replace(old.unionByName(rows([name], n)), n, touched)
+        assert spark.read.parquet(f"file://{tmp_path}/s/data/{n}").count() < 40
+        now = {r.file_name: r.v for r in state.read(n).collect()}
+        assert len(now) == 200 and now[name] == n
+    assert state.last() == 3 and set(folders(spark, f"file://{tmp_path}/s/live")) == {"2", "3"} and len(state.read(2).collect()) == 200
+    state.replace(rows([], 0), 4, parts_of(rows(["f3"], 0), 16))
+    assert state.read(4).count() < 200 and state.read(-1).count() == 0
 
 
 def test_a_document_with_all_keys_is_read(spark, tmp_path):
@@ -385,6 +437,6 @@ def test_log_entries_count_however_late(spark, tmp_path):
     live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(log)
     last: list[int] = []
     stream_boxes(live, f"file://{tmp_path}/state", f"file://{tmp_path}/checkpoint", on_boxes=lambda df, n: last.append(n), once=True).awaitTermination()
-    got = state.replay_actions(spark.read.parquet(f"file://{tmp_path}/state/{last[-1]}")).collect()
+    got = state.replay_actions(box_state(spark, f"file://{tmp_path}/state").read(last[-1])).collect()
     assert {(r.box_id, r.x) for r in got} == {("a", 9.0), ("b", 2.0)} and last[-1] >= 3
     assert not (tmp_path / "state" / "0").exists()
