@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 VIEWS: dict[str, tuple[list[str], str]] = {
     "words": ([], r"""
   w_lines AS (SELECT 'doc_' || doc_id || '.pdf' AS file_name, unnest(range(len(l))) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
@@ -56,7 +58,8 @@ def with_views(names: str, query: str) -> str:
     for n in names.split():
         add(n)
     body = query.strip()
-    ctes = ",".join(VIEWS[n][1] for n in done)
+    # each view once, however often it is read
+    ctes = re.sub(r"(?m)^(\s*\w+) AS \(", r"\1 AS MATERIALIZED (", ",".join(VIEWS[n][1] for n in done))
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
