@@ -163,29 +163,34 @@ def subtract_rect(boxes: DataFrame) -> DataFrame:
 def drawing_clusters(drawings: DataFrame, reach: float = 30.0) -> DataFrame:
     """file_name, page, cluster, n, x0, y0, x1, y1: connected groups of drawings of a page, where one grown by reach meets another.
 
-    Pages are independent; within one, a sweep over x meets near rectangles only.
+    Pages are independent. Within one, a sweep over x meets the rectangles that are still near in x, all at once; of their groups only the different ones are united, and
+    a rectangle that ends before a later one and lies within its height is dropped, as whatever meets it meets that one.
     """
 
     def one_page(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf[["x0", "y0", "x1", "y1"]].to_numpy()
-        order = np.argsort(r[:, 0], kind="stable")
-        root = list(range(len(r)))
+        up: dict[int, int] = {}
+        label = np.arange(len(r))
 
         def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
+            while up.get(i, i) != i:
+                up[i] = up.get(up[i], up[i])
+                i = up[i]
             return i
 
         open_ = np.zeros(0, dtype=int)
-        for i in order:
-            open_ = open_[r[open_, 2] + reach >= r[i, 0]]
-            near = open_[(r[open_, 1] - reach <= r[i, 3]) & (r[open_, 3] + reach >= r[i, 1])]
-            for j in near:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-            open_ = np.append(open_, i)
-        g = pdf.assign(c=[find(i) for i in range(len(r))]).groupby("c", sort=True)
+        for i in np.argsort(r[:, 0], kind="stable").tolist():
+            x0, y0, x1, y1 = r[i]
+            open_ = open_[r[open_, 2] + reach >= x0]
+            low, high = r[open_, 1], r[open_, 3]
+            near = open_[(low - reach <= y1) & (high + reach >= y0)]
+            if len(near):
+                roots = {find(k) for k in np.unique(label[near]).tolist()}
+                least = min(roots)
+                up.update((k, least) for k in roots)
+                label[near] = label[i] = least
+            open_ = np.append(open_[(low < y0) | (high > y1) | (r[open_, 2] > x1)], i)
+        g = pdf.assign(c=[find(k) for k in label.tolist()]).groupby("c", sort=True)
         out = g.agg(n=("x0", "size"), x0=("x0", "min"), y0=("y0", "min"), x1=("x1", "max"), y1=("y1", "max")).sort_values(["x0", "y0", "x1", "y1"]).reset_index(drop=True)
         out.insert(0, "cluster", range(len(out)))
         out.insert(0, "page", key[1])
@@ -481,7 +486,7 @@ def parse_amend_matches(replies: DataFrame, boxes: DataFrame) -> DataFrame:
 def suppress_overlaps(new: DataFrame, existing: DataFrame, threshold: float = 0.5) -> DataFrame:
     """New boxes (id, file_name, page, seq, x, y, w, h) that no existing one covers by the threshold; a box that is taken counts for those after it.
 
-    Existing boxes are met by page; the order among new ones is followed page by page.
+    Existing boxes are met by page; the order among new ones is followed page by page, where a box meets those taken before it that touch one of its cells of a grid.
     """
     e = _prefixed(existing, [*PAGE, "x", "y", "w", "h"])
     share = coverage(*_box(), F.col("_x"), F.col("_y"), F.col("_x") + F.col("_w"), F.col("_y") + F.col("_h"))
@@ -490,14 +495,22 @@ def suppress_overlaps(new: DataFrame, existing: DataFrame, threshold: float = 0.
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["seq", "id"])
         r = pdf[["x", "y", "w", "h"]].to_numpy()
-        taken = np.zeros((0, 4))
+        ends = r[:, :2] + r[:, 2:]
+        # cells of twice the usual size, and not so small that a large box has more than some thousands
+        size = np.maximum(2 * np.median(np.abs(r[:, 2:]), axis=0), np.maximum((ends.max(axis=0) - r[:, :2].min(axis=0)) / 64, 1e-9))
+        first, last = np.floor(r[:, :2] / size).astype(int).tolist(), np.floor(ends / size).astype(int).tolist()
+        grid: dict[tuple[int, int], list[int]] = {}
         keep = []
-        for x, y, w, h in r:
-            cut = np.maximum(0, np.minimum(x + w, taken[:, 0] + taken[:, 2]) - np.maximum(x, taken[:, 0])) * np.maximum(0, np.minimum(y + h, taken[:, 1] + taken[:, 3]) - np.maximum(y, taken[:, 1]))
+        for i, ((a, b), (c, d)) in enumerate(zip(first, last)):
+            x, y, w, h = r[i]
+            cells = [(k, l) for k in range(a, c + 1) for l in range(b, d + 1)]
+            near = np.unique(np.array([j for cell in cells for j in grid.get(cell, ())], dtype=int))
+            cut = np.maximum(0, np.minimum(x + w, ends[near, 0]) - np.maximum(x, r[near, 0])) * np.maximum(0, np.minimum(y + h, ends[near, 1]) - np.maximum(y, r[near, 1]))
             ok = not (w * h > 0 and (cut >= threshold * w * h).any())
             keep.append(ok)
             if ok:
-                taken = np.vstack([taken, [x, y, w, h]])
+                for cell in cells:
+                    grid.setdefault(cell, []).append(i)
         return pdf[keep]
 
     return left.groupBy(*PAGE).applyInPandas(greedy, left.schema)

@@ -4,7 +4,9 @@ import json
 import os
 import random
 import re
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +111,19 @@ def test_suppression_follows_the_order(spark):
     assert sorted(r.id for r in got.collect()) == sorted(want)
 
 
+def test_dense_pages(spark):
+    """A hundred thousand rectangles on one page: groups by a grid of their own, and boxes that cover each other."""
+    rng = random.Random(14)
+    n, began = 100_000, time.time()
+    rects = [("f", 1, x := 300.0 * (k % 20) + rng.uniform(0, 200), y := 300.0 * (k // 20 % 20) + rng.uniform(0, 200), x + rng.uniform(0, 60), y + rng.uniform(0, 60)) for k in range(n)]
+    frame = spark.createDataFrame(pd.DataFrame(rects, columns=["file_name", "page", "x0", "y0", "x1", "y1"]).astype({"page": "int32"}))
+    got = transfer.drawing_clusters(frame).collect()
+    assert len(got) == 400 and all(r.n == n // 400 for r in got)
+    boxes = frame.selectExpr("concat_ws('#', x0, y0) AS id", "file_name", "page", "monotonically_increasing_id() AS seq", "x0 AS x", "y0 AS y", "x1 - x0 AS w", "y1 - y0 AS h")
+    kept = transfer.suppress_overlaps(boxes, boxes.limit(0)).count()
+    assert 10_000 < kept < n and time.time() - began < 120
+
+
 def test_action_log_in_any_split(spark):
     rng = random.Random(5)
     rows = [("f", f"b{rng.randint(0, 5)}", i, rng.choice(["add", "edit", "remove"]), 1, float(i), 0.0, 1.0, 1.0) for i in range(80)]
