@@ -7,9 +7,9 @@ from difflib import SequenceMatcher
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 
 def lcs(a: str, b: str) -> int:
@@ -183,3 +183,46 @@ seq_ratio, indel_ratio, partial_ratio, token_set_ratio, cell_similarity = (_udf(
 def seq_ratio_from(threshold: float):
     """seq_ratio, with 0 for pairs that can't reach the threshold by their length or letters."""
     return _udf(lambda a, b: sequence_from(a, b, threshold))
+
+
+#: Stated as a type, not as text: workers import this module without a session.
+SKETCH = StructType([StructField("plain", StringType()), StructField("letters", LongType()), StructField("words", IntegerType())])
+
+
+@F.pandas_udf(SKETCH)
+def cell_sketch(text: pd.Series) -> pd.DataFrame:
+    """What `cell_bounds` needs of a cell, made once a cell and not once a pair: its plain form, its letters as bits, and its number of words. A null text is empty."""
+    known: dict[str | None, tuple[str, int, int]] = {}  # of this batch: a cell is its neighbours' neighbour
+    out = []
+    for t in text:
+        v = known.get(t)
+        if v is None:
+            words = (t or "").lower().split()
+            plain, bits = " ".join(words), 0
+            for ch in set(plain):
+                bits |= 1 << (ord(ch) & 63)
+            v = known[t] = plain, bits - (1 << 64) if bits >> 63 else bits, len(words)
+        out.append(v)
+    return pd.DataFrame(out, columns=["plain", "letters", "words"])
+
+
+def cell_bounds(a: Column, b: Column) -> Column:
+    """struct<lo, hi> around `cell` of two cells by their sketches, without a look at more than their letters; lo = hi where that settles it.
+
+    Equal, contained, empty and missing (null sketch) cells are settled. Else a letter that the other cell lacks can't be matched: with k letters left of the shorter
+    cell's m, both ratios are at most 2k / (m + k). Shared words aren't bounded so: cells of three words and more may reach 1."""
+    x, y = a["plain"], b["plain"]
+    lacks = lambda x, y: F.length(x["plain"]) - F.bit_count(x["letters"].bitwiseAND(F.bitwise_not(y["letters"])))
+    m, k = F.least(F.length(x), F.length(y)), F.least(lacks(a, b), lacks(b, a))
+    both = lambda v: F.struct(F.lit(v).alias("lo"), F.lit(v).alias("hi"))
+    upto = lambda v: F.struct(F.lit(0.0).alias("lo"), v.alias("hi"))
+    return (
+        F.when(x.isNull() | y.isNull() | (x == "") | (y == ""), both(0.0)).when(x == y, both(1.0)).when(F.contains(x, y) | F.contains(y, x), both(0.95))
+        .when(a["letters"].bitwiseAND(b["letters"]) == 0, both(0.0)).when(F.greatest(a["words"], b["words"]) >= 3, upto(F.lit(1.0))).otherwise(upto(2.0 * k / (m + k)))
+    )
+
+
+def settled_or(score, a: str, b: str, known: Column) -> Column:
+    """known where it isn't null, else `score` of two text columns (null is empty); Python looks at no other pair."""
+    open_ = lambda c: F.when(known.isNull(), F.coalesce(c, F.lit("")))
+    return F.coalesce(known, score(open_(a), open_(b)))

@@ -455,3 +455,21 @@ def test_log_entries_count_however_late(spark, tmp_path):
     got = state.replay_actions(box_state(spark, f"file://{tmp_path}/state").read(last[-1])).collect()
     assert {(r.box_id, r.x) for r in got} == {("a", 9.0), ("b", 2.0)} and last[-1] >= 3
     assert not (tmp_path / "state" / "0").exists()
+
+
+def test_cell_bounds_hold_the_similarity(spark):
+    from pagemask.functions.similarity import cell, cell_bounds, cell_sketch
+
+    rng = random.Random(3)
+    marks = ["a", "b", "c", "A", "1", "2", " ", "  ", ".", "é", "x y", "\n", "\t", "İ", "ß", " ", "Ж", "5 mg", "?", "\u007f"]
+    some = lambda: "".join(rng.choice(marks) for _ in range(rng.randint(0, 7)))
+    rows = []
+    for _ in range(20_000):
+        a = some()
+        b = some() if rng.random() < 0.7 else a[: rng.randint(0, 7)] + rng.choice(marks) + a[rng.randint(0, 7) :]
+        rows.append((a, b, cell(a, b)))
+    rows += [(None, "a", 0.0), ("a", None, 0.0), (None, None, 0.0)]
+    d = spark.createDataFrame(rows, "a string, b string, c double")
+    d = d.withColumns({"k": cell_sketch("a"), "l": cell_sketch("b")}).select("c", cell_bounds(F.col("k"), F.col("l")).alias("b")).select("c", "b.*")
+    assert d.filter("lo IS NULL OR hi IS NULL OR c < lo - 1e-9 OR c > hi + 1e-9 OR (lo = hi AND c <> lo)").count() == 0
+    assert d.filter("lo = hi").count() > 2_000 and d.filter("lo = 0 AND hi BETWEEN 0.01 AND 0.84").count() > 1_000
