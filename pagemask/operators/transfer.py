@@ -248,29 +248,31 @@ def match_clusters(source: DataFrame, target: DataFrame, pages: int = 2, variant
 
 
 def _neighbours(cells: DataFrame) -> DataFrame:
-    """cells with the texts and origins above, below, left and right of each, by a look along its column and along its row."""
-    column, row = W.partitionBy(*TABLE, "col_idx").orderBy("row_idx"), W.partitionBy(*TABLE, "row_idx").orderBy("col_idx")
+    """cells with the texts and origins above, below, left and right of each, by a look along its column and along its row. Both looks go over the whole table, so that cells are
+    dealt by it once, or not at all where they are by their page."""
+    column, row = W.partitionBy(*TABLE).orderBy("col_idx", "row_idx"), W.partitionBy(*TABLE).orderBy("row_idx", "col_idx")
     looks = {"up": (F.lag, column, "row_idx", -1), "down": (F.lead, column, "row_idx", 1), "left": (F.lag, row, "col_idx", -1), "right": (F.lead, row, "col_idx", 1)}
-    near = {side: look(F.struct(idx, "text", "x0", "y0")).over(over) for side, (look, over, idx, _) in looks.items()}
+    near = {side: look(F.struct("row_idx", "col_idx", "text", "x0", "y0")).over(over) for side, (look, over, _, _) in looks.items()}
     out = cells.withColumns({f"_{side}": c for side, c in near.items()})
     for side, (_, _, idx, step) in looks.items():
-        n = F.when(F.col(f"_{side}")[idx] == F.col(idx) + step, F.col(f"_{side}"))  # a gap in the grid has no neighbour
+        own, other = F.col(f"_{side}"), "col_idx" if idx == "row_idx" else "row_idx"
+        n = F.when((own[idx] == F.col(idx) + step) & (own[other] == F.col(other)), own)  # a gap in the grid has no neighbour
         out = out.withColumns({side: n["text"], f"{side}_x": n["x0"], f"{side}_y": n["y0"]})
     return out.drop(*[f"_{side}" for side in looks])
 
 
-def table_fingerprint(cells: DataFrame) -> DataFrame:
-    """Key cells (four corners and centre, each once) with their neighbours: file_name, page, table_idx, row_idx, col_idx, text, up, down, left, right."""
-    size = cells.groupBy(*TABLE).agg((F.max("row_idx") + 1).alias("rows"), (F.max("col_idx") + 1).alias("cols"))
-    r, c = F.col("rows"), F.col("cols")
+def _key_cells(cells: DataFrame) -> DataFrame:
+    """cells with their neighbours, and rows and cols of their table, and key: whether a cell is one of the four corners or the centre."""
+    table = W.partitionBy(*TABLE)
+    c = _neighbours(cells).withColumns({"rows": F.max("row_idx").over(table) + 1, "cols": F.max("col_idx").over(table) + 1})
+    r, k = F.col("row_idx"), F.col("col_idx")
+    corner = ((r == 0) | (r == F.col("rows") - 1)) & ((k == 0) | (k == F.col("cols") - 1))
+    return c.withColumn("key", corner | ((r == F.floor(F.col("rows") / 2)) & (k == F.floor(F.col("cols") / 2))))
 
-    def at(a, b):
-        return F.struct(a.cast("int").alias("row_idx"), b.cast("int").alias("col_idx"))
 
-    zero = F.lit(0)
-    keys = F.array_distinct(F.array(at(zero, zero), at(zero, c - 1), at(r - 1, zero), at(r - 1, c - 1), at(F.floor(r / 2), F.floor(c / 2))))
-    k = size.select(*TABLE, F.inline(keys))
-    return k.join(_neighbours(cells), [*TABLE, "row_idx", "col_idx"]).select(*TABLE, "row_idx", "col_idx", "text", *SIDES)
+def table_fingerprint(cells: DataFrame) -> DataFrame:
+    """Key cells (four corners and centre, each once) with their neighbours: file_name, page, table_idx, row_idx, col_idx, text, up, down, left, right."""
+    return _key_cells(cells).filter("key").select(*TABLE, "row_idx", "col_idx", "text", *SIDES)
 
 
 def _window(df: DataFrame, pages: int, keep: list[str]) -> DataFrame:
@@ -287,32 +289,38 @@ def match_tables(source: DataFrame, target: DataFrame, pages: int = 2, variant:
     """
     weights, threshold = ((0.30, 0.30, 0.25, 0.15), 0.40) if variant == "newer" else ((0.50, 0.25, 0.15, 0.10), 0.65)
 
-    def shape(cells):
-        return cells.groupBy(*TABLE).agg((F.max("row_idx") + 1).alias("rows"), (F.max("col_idx") + 1).alias("cols"))
-
-    s, t = shape(source), shape(target)
-    pair = _window(s.withColumnRenamed("table_idx", "s_table"), pages, ["file_name", "page", "s_page", "s_table", F.col("rows").alias("s_rows"), F.col("cols").alias("s_cols")]).join(t, PAGE)
-
     def near(a, b):
         return F.greatest(F.lit(0.0), 1.0 - F.abs(F.col(a) - F.col(b)) / 5.0)
 
-    pair = pair.withColumn("structure", (near("s_cols", "cols") + near("s_rows", "rows")) / 2)
+    # A source table is one row with its first row's and its key cells. It goes to the pages of its window once and meets the target's cells there, by page only: they stay
+    # where they are. The first cell of a target table holds the pair if nothing else does.
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    entry = F.struct(F.when(F.col("key"), 0).otherwise(1).alias("later"), F.col("row_idx").alias("row"), F.col("col_idx").alias("col"), "key", (F.col("row_idx") == 0).alias("head"), blank("text").alias("s_text"), *[F.col(c).alias("s_" + c) for c in SIDES])
+    s = _key_cells(source).groupBy(*TABLE).agg(F.max("rows").alias("s_rows"), F.max("cols").alias("s_cols"), F.array_sort(F.collect_list(F.when(F.col("key") | (F.col("row_idx") == 0), entry))).alias("entries"))
+    s = s.withColumn("entries", F.transform("entries", lambda e, i: e.withField("later", i)))
+    s = _window(s.withColumnRenamed("table_idx", "s_table"), pages, ["file_name", "page", "s_page", "s_table", "s_rows", "s_cols", "entries"]).repartition(*PAGE)
+    t = _key_cells(target).withColumn("lead", F.row_number().over(W.partitionBy(*TABLE).orderBy("row_idx", "col_idx")) == 1)
+    t = t.select(*PAGE, "table_idx", "row_idx", "col_idx", "rows", "cols", "text", *SIDES, "lead")
+    here = lambda e: (e["row"] == F.col("row_idx")) & (e["col"] == F.col("col_idx"))
+    met = F.filter("entries", here)
+    pair = s.join(t, PAGE).withColumn("met", met).filter("lead OR size(met) > 0").withColumn("structure", (near("s_cols", "cols") + near("s_rows", "rows")) / 2)
     key = ["file_name", "s_page", "s_table", "page", "table_idx"]
-    head_s = source.filter("row_idx = 0").select("file_name", F.col("page").alias("s_page"), F.col("table_idx").alias("s_table"), "col_idx", F.trim(F.coalesce("text", F.lit(""))).alias("a"))
-    head_t = target.filter("row_idx = 0").select(*TABLE, "col_idx", F.trim(F.coalesce("text", F.lit(""))).alias("b"))
-    heads = pair.select(*key).join(head_s, ["file_name", "s_page", "s_table"]).join(head_t, [*TABLE, "col_idx"])
+    keys = F.size(F.filter("entries", lambda e: e["key"])).alias("keys")
+    cells = pair.select(*key, "structure", keys, "text", *SIDES, F.inline_outer("met"))
+    first = F.col("head")
+    a, b = F.trim("s_text"), F.trim(blank("text"))
+    cells = cells.withColumns({"a": F.when(first, a), "b": F.when(first, b)})
     both = F.when((F.col("a") == "") & (F.col("b") == ""), 1.0).when((F.col("a") == "") | (F.col("b") == ""), 0.0).otherwise(indel_ratio("a", "b") / 100.0)
-    headers = heads.groupBy(*key).agg(F.avg(both).alias("headers"))
-    fs = table_fingerprint(source).select("file_name", F.col("page").alias("s_page"), F.col("table_idx").alias("s_table"), "row_idx", "col_idx", *[F.coalesce(c, F.lit("")).alias("s_" + c) for c in ("text", *SIDES)], *[F.col(c).isNotNull().alias("has_" + c) for c in SIDES])
-    ft = _neighbours(target).select(*TABLE, "row_idx", "col_idx", "text", *SIDES)
-    cells = pair.select(*key).join(fs, ["file_name", "s_page", "s_table"]).join(ft, [*TABLE, "row_idx", "col_idx"], "left")
-    sims = {f"m_{c}": cell_similarity(f"s_{c}", F.coalesce(c, F.lit(""))) for c in ("text", *SIDES)}
-    cells = cells.withColumns(sims)
-    there = [F.when(F.col("has_" + c) & F.col(c).isNotNull(), 1).otherwise(0) for c in SIDES]
-    good = [F.when(F.col("has_" + c) & F.col(c).isNotNull() & (F.col("m_" + c) > 0.85), 1).otherwise(0) for c in SIDES]
+    sims = {f"m_{c}": cell_similarity(F.when(F.col("key"), blank("s_" + c)), blank(c)) for c in ("text", *SIDES)}
+    cells = cells.withColumns({"both": both, **sims})
+    there = [F.when(F.col("s_" + c).isNotNull() & F.col(c).isNotNull(), 1).otherwise(0) for c in SIDES]
+    good = [F.when(F.col("s_" + c).isNotNull() & F.col(c).isNotNull() & (F.col("m_" + c) > 0.85), 1).otherwise(0) for c in SIDES]
     score = 0.5 * F.when(F.col("m_text") > 0.85, 1.0).otherwise(0.0) + 0.5 * F.coalesce(F.try_divide(sum(good[1:], good[0]), sum(there[1:], there[0])), F.lit(0.0))
-    adjacency = cells.groupBy(*key).agg(F.avg(score).alias("adjacency"))
-    out = pair.join(headers, key, "left").join(adjacency, key, "left").fillna({"headers": 1.0, "adjacency": 0.0})
+    own_key = F.col("key")
+    # a key cell without a cell at its place counts as unlike
+    missing = F.max("keys") - F.coalesce(F.bit_count(F.bit_or(F.when(own_key, F.expr("shiftleft(1L, later)")))), F.lit(0))
+    adjacency = F.try_divide(F.sum(F.when(own_key, score)), F.count(F.when(own_key, 1)) + missing)
+    out = cells.groupBy(*key).agg(F.first("structure").alias("structure"), F.avg(F.when(first, F.col("both"))).alias("headers"), adjacency.alias("adjacency")).fillna({"headers": 1.0, "adjacency": 0.0})
     for titles, own, name in ((source_titles, ["file_name", "s_page", "s_table"], "s_title"), (target_titles, TABLE, "t_title")):
         if titles is None:
             out = out.withColumn(name, F.lit(None).cast("string"))
@@ -327,21 +335,29 @@ def match_tables(source: DataFrame, target: DataFrame, pages: int = 2, variant:
     return out.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("file_name", "s_page", "s_table", "page", "table_idx", "score")
 
 
+def _moved() -> list[Column]:
+    """x, y, w, h at the same place in the target's bounds."""
+    kx = F.try_divide(F.col("tx1") - F.col("tx0"), F.col("sx1") - F.col("sx0"))
+    ky = F.try_divide(F.col("ty1") - F.col("ty0"), F.col("sy1") - F.col("sy0"))
+    return [(F.col("tx0") + (F.col("x") - F.col("sx0")) * kx).alias("x"), (F.col("ty0") + (F.col("y") - F.col("sy0")) * ky).alias("y"), (F.col("w") * kx).alias("w"), (F.col("h") * ky).alias("h")]
+
+
 def transfer_relative(boxes: DataFrame) -> DataFrame:
     """id, x, y, w, h: a box at the same place in the target's bounds. boxes: x, y, w, h, source bounds sx0.. and target bounds tx0..; a degenerate
     source gives none."""
-    sw, sh = F.col("sx1") - F.col("sx0"), F.col("sy1") - F.col("sy0")
-    kx, ky = F.try_divide(F.col("tx1") - F.col("tx0"), sw), F.try_divide(F.col("ty1") - F.col("ty0"), sh)
-    b = boxes.filter((sw > 0) & (sh > 0))
-    return b.select("id", (F.col("tx0") + (F.col("x") - F.col("sx0")) * kx).alias("x"), (F.col("ty0") + (F.col("y") - F.col("sy0")) * ky).alias("y"), (F.col("w") * kx).alias("w"), (F.col("h") * ky).alias("h"))
+    return boxes.filter("sx1 - sx0 > 0 AND sy1 - sy0 > 0").select("id", *_moved())
 
 
 def anchor_cells(source: DataFrame, target: DataFrame, matches: DataFrame) -> DataFrame:
     """The best anchor of each matched table: the key cell with equal content (2) and equal neighbours (1 each), 2 at least, case ignored;
     the first of equals. file_name, s_page, s_table, dx, dy (the anchor's shift) and anchor (its score)."""
-    s = table_fingerprint(source).join(source.select(*TABLE, "row_idx", "col_idx", "x0", "y0"), [*TABLE, "row_idx", "col_idx"])
-    s = s.select("file_name", F.col("page").alias("s_page"), F.col("table_idx").alias("s_table"), "row_idx", "col_idx", *[F.col(c).alias("s_" + c) for c in ("text", *SIDES, "x0", "y0")])
-    j = matches.join(s, ["file_name", "s_page", "s_table"]).join(_neighbours(target).drop(*[f"{c}_{k}" for c in SIDES for k in "xy"]), [*TABLE, "row_idx", "col_idx"])
+    cell = F.struct(F.col("row_idx").alias("row"), F.col("col_idx").alias("col"), *[F.col(c).alias("s_" + c) for c in ("text", *SIDES, "x0", "y0")])
+    s = _key_cells(source).groupBy("file_name", F.col("page").alias("s_page"), F.col("table_idx").alias("s_table")).agg(F.collect_list(F.when(F.col("key"), cell)).alias("cells"))
+    # key cells go to the page of their table's match, one row a table, and meet the target's cells there, which stay where they are
+    keys = matches.join(s, ["file_name", "s_page", "s_table"]).select("s_page", "s_table", *PAGE, F.transform("cells", lambda c: c.withField("table", F.col("table_idx"))).alias("cells")).repartition(*PAGE)
+    here = lambda c: (c["table"] == F.col("table_idx")) & (c["row"] == F.col("row_idx")) & (c["col"] == F.col("col_idx"))
+    t = _neighbours(target).select(*PAGE, "table_idx", "row_idx", "col_idx", "text", "x0", "y0", *SIDES)
+    j = keys.join(t, PAGE).select("file_name", "s_page", "s_table", *[c for c in t.columns if c not in PAGE], F.inline(F.filter("cells", here)))
     plain = lambda c: F.lower(F.trim(c))
     total = F.when(plain(F.coalesce("text", F.lit(""))) == plain(F.coalesce("s_text", F.lit(""))), 2).otherwise(0)
     for c in SIDES:
@@ -361,18 +377,19 @@ def transfer_anchored(boxes: DataFrame, source: DataFrame, target: DataFrame, ma
     own = ["file_name", "s_page", "s_table"]
     b = boxes.select("id", "file_name", F.col("page").alias("s_page"), F.col("table_idx").alias("s_table"), "x", "y", "w", "h").join(matches, own)
     b = b.join(anchor_cells(source, target, matches), own, "left")
-    held = b.filter("anchor IS NOT NULL").select("id", "file_name", "page", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "w", "h", F.lit("anchor").alias("how"))
-    free = b.filter("anchor IS NULL").join(bounds(source, "s", own), own).join(bounds(target, "t", TABLE), TABLE)
-    moved = transfer_relative(free).join(free.select("id", *PAGE), "id")
-    return held.unionByName(moved.withColumn("how", F.lit("relative")))
+    b = b.join(bounds(source, "s", own), own, "left").join(bounds(target, "t", TABLE), TABLE, "left")
+    anchored = F.col("anchor").isNotNull()
+    place = F.when(anchored, F.struct((F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "w", "h", F.lit("anchor").alias("how"))).when(
+        (F.col("sx1") > F.col("sx0")) & (F.col("sy1") > F.col("sy0")) & F.col("tx0").isNotNull(), F.struct(*_moved(), F.lit("relative").alias("how")))
+    return b.withColumn("p", place).filter("p IS NOT NULL").select("id", "file_name", "page", "p.*")
 
 
 def containing_cell(boxes: DataFrame, cells: DataFrame) -> DataFrame:
-    """id and the cell that shares the most area with a box, with its neighbours and the box's offset in it."""
-    c = _prefixed(_neighbours(cells), [*TABLE, "row_idx", "col_idx", "x0", "y0", "x1", "y1", "text", *SIDES])
+    """id and the cell that shares the most area with a box, with its neighbours, the box's offset in it (dx, dy) and in the neighbours (up_dx and so on)."""
+    c = _prefixed(_neighbours(cells), [*TABLE, "row_idx", "col_idx", "x0", "y0", "x1", "y1", "text", *SIDES, *[f"{s}_{k}" for s in SIDES for k in "xy"]])
     cut = overlap(*_box(), F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1"))
     hit = boxes.select("id", *PAGE, "x", "y", "w", "h").join(c, _same_page() & (cut > 0))
-    cell = F.struct(F.col("_table_idx").alias("table_idx"), F.col("_row_idx").alias("row_idx"), F.col("_col_idx").alias("col_idx"), F.col("_text").alias("text"), *[F.col("_" + s).alias(s) for s in SIDES], (F.col("x") - F.col("_x0")).alias("dx"), (F.col("y") - F.col("_y0")).alias("dy"))
+    cell = F.struct(F.col("_table_idx").alias("table_idx"), F.col("_row_idx").alias("row_idx"), F.col("_col_idx").alias("col_idx"), F.col("_text").alias("text"), *[F.col("_" + s).alias(s) for s in SIDES], (F.col("x") - F.col("_x0")).alias("dx"), (F.col("y") - F.col("_y0")).alias("dy"), *[(F.col("_x0") + (F.col("x") - F.col("_x0")) - F.col(f"_{s}_x")).alias(f"{s}_dx") for s in SIDES], *[(F.col("_y0") + (F.col("y") - F.col("_y0")) - F.col(f"_{s}_y")).alias(f"{s}_dy") for s in SIDES])
     best = F.max_by(cell, F.struct(cut, -F.col("_row_idx"), -F.col("_col_idx")))
     return hit.groupBy("id", *PAGE, "w", "h").agg(best.alias("c")).select("id", *PAGE, "w", "h", "c.*")
 
@@ -428,14 +445,10 @@ def match_cell_content(boxes: DataFrame, target: DataFrame, pages: int = 2, thre
     return j.groupBy("id").agg(F.min(F.struct("page", "table_idx", "row_idx", "col_idx")).alias("c")).select("id", "c.*")
 
 
-def reconstruct(matches: DataFrame, refs: DataFrame, source: DataFrame) -> DataFrame:
+def reconstruct(matches: DataFrame, refs: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """id, page, x, y, w, h of matched references: the mean of cell origins plus offsets, the centre weighing 5 and each neighbour
-    1; the size stays."""
-    n = _neighbours(source)
-    shift = refs.join(n.drop("text", *SIDES), [*TABLE, "row_idx", "col_idx"])
-    bx, by = F.col("x0") + F.col("dx"), F.col("y0") + F.col("dy")
-    s = shift.select("id", "w", "h", "dx", "dy", *[(bx - F.col(f"{k}_x")).alias(f"{k}_dx") for k in SIDES], *[(by - F.col(f"{k}_y")).alias(f"{k}_dy") for k in SIDES])
-    j = matches.join(s, "id")
+    1; the size stays. refs: rows of containing_cell, which hold their offsets; source isn't read."""
+    j = matches.join(refs.select("id", "w", "h", "dx", "dy", *[f"{k}_d{c}" for k in SIDES for c in "xy"]), "id")
     weight, x, y = F.lit(5.0), 5.0 * (F.col("x0") + F.col("dx")), 5.0 * (F.col("y0") + F.col("dy"))
     for k in SIDES:
         ok = F.col(f"{k}_x").isNotNull() & F.col(f"{k}_dx").isNotNull()
