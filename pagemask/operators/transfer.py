@@ -108,14 +108,17 @@ def drawing_overlap(boxes: DataFrame, drawings: DataFrame, cells: DataFrame, rea
     """id, count, cluster rectangle and the box's place in it, of boxes over drawings: no table covers 30 %, `least` drawings are hit,
     and the box covers 80 % of the union of the drawings within reach."""
     tabled = table_overlap(boxes, cells, 0.3).select("id")
-    d = _prefixed(drawings, [*PAGE, "x0", "y0", "x1", "y1"])
-    b = boxes.select("id", *PAGE, "x", "y", "w", "h").join(tabled, "id", "left_anti")
+    # equal rectangles of a page are one row on both sides: copies never make pairs
+    d = _prefixed(drawings, [*PAGE, "x0", "y0", "x1", "y1"]).groupBy(*[f"_{c}" for c in (*PAGE, "x0", "y0", "x1", "y1")]).agg(F.count("*").alias("_copies"))
+    placed = boxes.select("id", *PAGE, "x", "y", "w", "h").join(tabled, "id", "left_anti")
+    place_key = [*PAGE, "x", "y", "w", "h"]
+    b = placed.select(*place_key).distinct()
     bx = _box()
     near = (F.col("_x0") <= bx[2] + reach) & (F.col("_x1") >= bx[0] - reach) & (F.col("_y0") <= bx[3] + reach) & (F.col("_y1") >= bx[1] - reach)
     touch = (F.col("_x0") < bx[2]) & (F.col("_x1") > bx[0]) & (F.col("_y0") < bx[3]) & (F.col("_y1") > bx[1])
-    g = b.join(d, _same_page() & near).groupBy("id", "x", "y", "w", "h").agg(F.count_if(touch).alias("hit"), F.count("*").alias("count"), F.min("_x0").alias("x0"), F.min("_y0").alias("y0"), F.max("_x1").alias("x1"), F.max("_y1").alias("y1"))
+    g = b.join(d, _same_page() & near).groupBy(*place_key).agg(F.sum(F.when(touch, F.col("_copies")).otherwise(0)).alias("hit"), F.sum("_copies").alias("count"), F.min("_x0").alias("x0"), F.min("_y0").alias("y0"), F.max("_x1").alias("x1"), F.max("_y1").alias("y1"))
     c = [F.col(k) for k in ("x0", "y0", "x1", "y1")]
-    g = g.filter((F.col("hit") >= least) & (coverage(*c, *_box()) >= 0.8))
+    g = placed.join(g.filter((F.col("hit") >= least) & (coverage(*c, *_box()) >= 0.8)), place_key)
 
     def place(v: Column, low: str, high: str) -> Column:
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(v - F.col(low), F.col(high) - F.col(low)), F.lit(0.0))))
