@@ -115,10 +115,10 @@ def apply_toc_edits(toc: DataFrame, edits: DataFrame) -> DataFrame:
     return toc.join(e, ["file_name", "toc_index"], "left").withColumn("title", F.coalesce("new_title", "title")).select(*toc.columns)
 
 
-def redact_bookmark_pages(toc: DataFrame, files: DataFrame, words: DataFrame, term: str) -> DataFrame:
-    """Boxes of a term on all pages of each bookmark, one batch for each bookmark."""
+def redact_bookmark_pages(toc: DataFrame, files: DataFrame, words: DataFrame, term: str, dehyphenate: bool = True) -> DataFrame:
+    """Boxes of a term on all pages of each bookmark, one batch for each bookmark. dehyphenate: as in search_terms."""
     from pagemask.operators.search import term_boxes
 
     ranges = bookmark_ranges(toc, files).select(F.col("file_name").alias("_f"), "toc_index", F.explode(F.sequence("page", "end_page")).alias("_p"))
-    hit = term_boxes(words, term).join(ranges, (F.col("file_name") == F.col("_f")) & (F.col("page") == F.col("_p")))
+    hit = term_boxes(words, term, dehyphenate).join(ranges, (F.col("file_name") == F.col("_f")) & (F.col("page") == F.col("_p")))
     return hit.select("file_name", "page", "x", "y", "w", "h", F.concat_ws("#", F.lit("bookmark"), "file_name", F.col("toc_index").cast("string")).alias("batch_id"))
