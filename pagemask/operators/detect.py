@@ -96,7 +96,9 @@ def page_with_tables(pages: DataFrame, tables: DataFrame) -> DataFrame:
 
 #: Characters of known items in one prompt, about.
 LIBRARY_CHARS = 1_000_000
-#: Tasks that share the chunks of a block, where there are several blocks.
+#: Characters of known items that a task holds, about: blocks that meet the same copy of a chunk.
+GROUP_CHARS = 16_000_000
+#: Tasks that share the chunks of a group of blocks, where there are several blocks.
 SALTS = 32
 
 
@@ -122,14 +124,18 @@ def library_blocks(library: DataFrame, most: int = LIBRARY_CHARS) -> tuple[DataF
 
 
 def _with_library(chunks: DataFrame, library: DataFrame, most: int) -> DataFrame:
-    """chunks with a row for each block of the library, and its text. One block, whose length is known to be within `most`, is broadcast; several are joined by
-    their number, with the chunks dealt to SALTS tasks for each."""
+    """chunks with a row for each block of the library, and its text. One block, whose length is known to be within `most`, is broadcast; several are joined in groups of
+    GROUP_CHARS characters, with the chunks dealt to SALTS tasks for each: a chunk is shuffled once a group, and meets the group's blocks after that."""
     blocks, n = library_blocks(library, most)
     if n == 1:
         return chunks.withColumn("library_block", F.lit(0)).join(F.broadcast(blocks.withColumnRenamed("block", "library_block")), "library_block", "left")
-    salted = chunks.withColumn("library_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_salt", F.pmod(F.xxhash64("file_name", "start_page", "library_block"), F.lit(SALTS)).cast("int"))
-    spread = blocks.withColumnRenamed("block", "library_block").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(spread, ["library_block", "_salt"], "left").drop("_salt")
+    each = max(1, GROUP_CHARS // most)
+    groups = -(-n // each)
+    salted = chunks.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("_salt", F.pmod(F.xxhash64("file_name", "start_page"), F.lit(SALTS)).cast("int"))
+    # every number has its row, also one that no item's hash has hit
+    numbers = library.sparkSession.range(n).select(F.col("id").cast("int").alias("block"))
+    spread = numbers.join(blocks, "block", "left").select(F.col("block").alias("library_block"), F.floor(F.col("block") / each).cast("int").alias("_group"), "library", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return salted.join(spread.hint("merge"), ["_group", "_salt"]).drop("_group", "_salt")
 
 
 def build_prompts(chunks: DataFrame, contexts: DataFrame, library: DataFrame, role: str = "You review clinical documents for confidential information.", most: int = LIBRARY_CHARS) -> DataFrame:
