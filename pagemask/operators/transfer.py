@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -528,37 +529,68 @@ def parse_amend_matches(replies: DataFrame, boxes: DataFrame) -> DataFrame:
     return d.join(by_text, ["file_name", "source"], "left").join(first, "file_name").select("file_name", "n", F.coalesce("own", "any").alias("id"), "text", "page")
 
 
+#: Boxes of a page up to which each is held against all those taken before it.
+FEW = 64
+
+
 def suppress_overlaps(new: DataFrame, existing: DataFrame, threshold: float = 0.5) -> DataFrame:
     """New boxes (id, file_name, page, seq, x, y, w, h) that no existing one covers by the threshold; a box that is taken counts for those after it.
 
-    Existing boxes are met by page; the order among new ones is followed page by page, where a box meets those taken before it that touch one of its cells of a grid.
+    Existing boxes are met by page; the order among new ones is followed page by page, where a box meets those taken before it, on a page of many boxes
+    only those that touch one of its cells of a grid.
     """
     e = _prefixed(existing, [*PAGE, "x", "y", "w", "h"])
     share = coverage(*_box(), F.col("_x"), F.col("_y"), F.col("_x") + F.col("_w"), F.col("_y") + F.col("_h"))
     left = new.select("id", *PAGE, "seq", "x", "y", "w", "h").join(e, _same_page() & (share >= threshold), "left_anti")
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["seq", "id"])
-        r = pdf[["x", "y", "w", "h"]].to_numpy()
+    def few(r: list[list[float]]) -> list[int]:
+        kept, at = [], []
+        for i, (x, y, w, h) in enumerate(r):
+            x1, y1, least = x + w, y + h, threshold * w * h
+            covered = w * h > 0 and any(max(0.0, min(x1, c) - max(x, a)) * max(0.0, min(y1, d) - max(y, b)) >= least for a, b, c, d in kept)
+            if not covered:
+                kept.append((x, y, x1, y1))
+                at.append(i)
+        return at
+
+    def many(r: np.ndarray) -> list[int]:
         ends = r[:, :2] + r[:, 2:]
         # cells of twice the usual size, and not so small that a large box has more than some thousands
         size = np.maximum(2 * np.median(np.abs(r[:, 2:]), axis=0), np.maximum((ends.max(axis=0) - r[:, :2].min(axis=0)) / 64, 1e-9))
         first, last = np.floor(r[:, :2] / size).astype(int).tolist(), np.floor(ends / size).astype(int).tolist()
         grid: dict[tuple[int, int], list[int]] = {}
-        keep = []
+        at = []
         for i, ((a, b), (c, d)) in enumerate(zip(first, last)):
             x, y, w, h = r[i]
             cells = [(k, l) for k in range(a, c + 1) for l in range(b, d + 1)]
             near = np.unique(np.array([j for cell in cells for j in grid.get(cell, ())], dtype=int))
             cut = np.maximum(0, np.minimum(x + w, ends[near, 0]) - np.maximum(x, r[near, 0])) * np.maximum(0, np.minimum(y + h, ends[near, 1]) - np.maximum(y, r[near, 1]))
-            ok = not (w * h > 0 and (cut >= threshold * w * h).any())
-            keep.append(ok)
-            if ok:
+            if not (w * h > 0 and (cut >= threshold * w * h).any()):
+                at.append(i)
                 for cell in cells:
                     grid.setdefault(cell, []).append(i)
-        return pdf[keep]
-
-    return left.groupBy(*PAGE).applyInPandas(greedy, left.schema)
+        return at
+
+    def scan(batches):
+        for b in batches:
+            boxes = b.column(2)
+            ends, values = boxes.offsets.to_numpy(), boxes.values.flatten()
+            r = np.stack([v.to_numpy(zero_copy_only=False) for v in values[4:]], axis=1)
+            kept, page = [], []
+            for k, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                at = many(r[lo:hi]) if hi - lo > FEW else few(r[lo:hi].tolist())
+                kept += [lo + i for i in at]
+                page += [k] * len(at)
+            kept, page = pa.array(kept, pa.int64()), pa.array(page, pa.int64())
+            own = {"file_name": b.column(0).take(page), "page": b.column(1).take(page), **{n: values[i].take(kept) for i, n in fields.items()}}
+            yield pa.RecordBatch.from_arrays([own[c] for c in columns], names=columns)
+
+    columns = left.columns
+    # a page is one row: pages of a batch are gone through without a call for each
+    order = [F.col("seq").isNull().alias("no_seq"), F.col("seq"), F.col("id").isNull().alias("no_id"), F.col("id")]
+    fields = {1: "seq", 3: "id", 4: "x", 5: "y", 6: "w", 7: "h"}
+    pages = left.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*order, "x", "y", "w", "h"))).alias("boxes"))
+    return pages.mapInArrow(scan, left.schema)
 
 
 def finalize_boxes(df: DataFrame) -> DataFrame:
