@@ -226,3 +226,132 @@ def settled_or(score, a: str, b: str, known: Column) -> Column:
     """known where it isn't null, else `score` of two text columns (null is empty); Python looks at no other pair."""
     open_ = lambda c: F.when(known.isNull(), F.coalesce(c, F.lit("")))
     return F.coalesce(known, score(open_(a), open_(b)))
+
+
+class Cells:
+    """Cells of a page, each of one text or more, in order, against which references of as many texts are held. A pair's score is the sum of its weighted similarities.
+
+    Letters bound similarities from above (as in `cell_bounds`), for all pairs at once; `cell` is asked only where a pair can still win, and once for two texts."""
+
+    #: Pairs of references and cells whose bounds are held at once, and similarities that are kept.
+    AT_ONCE = 200_000
+    KEPT = 1_000_000
+    #: Slack of bounds against rounding.
+    EPS = 1e-9
+
+    def __init__(self, weights: tuple[float, ...], least: float, full: float):
+        self.weights, self.least, self.full = weights, least, full
+        self.sketches: dict[str, tuple[int, int, int]] = {}
+        self.known: dict[tuple[str, str], float] = {}
+
+    def sketch(self, text: str) -> tuple[int, int, int]:
+        v = self.sketches.get(text)
+        if v is None:
+            words = text.lower().split()
+            plain, bits = " ".join(words), 0
+            for ch in set(plain):
+                bits |= 1 << (ord(ch) & 63)
+            if len(self.sketches) >= self.KEPT:
+                self.sketches.clear()
+            v = self.sketches[text] = len(plain), bits, len(words)
+        return v
+
+    def sim(self, a: str, b: str) -> float:
+        v = self.known.get((a, b))
+        if v is None:
+            if len(self.known) >= self.KEPT:
+                self.known.clear()
+            v = self.known[a, b] = cell(a, b)
+        return v
+
+    def coded(self, rows: list[tuple[str, ...]]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The rows' texts as numbers, and length, letters and words of each number's text."""
+        number: dict[str, int] = {}
+        at = np.array([[number.setdefault(t, len(number)) for t in r] for r in rows], dtype=np.int64)
+        n, bits, words = zip(*[self.sketch(t) for t in number])
+        return at, [np.array(n, np.int64), np.array(bits, np.uint64), np.array(words, np.int64)]
+
+    @staticmethod
+    def upper(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        """Upper bounds of `cell` for all pairs."""
+        (n, x, w), (o, y, v) = ([c[:, None] for c in a], [c[None, :] for c in b])
+        lacks = lambda size, own, other: size - np.bitwise_count(own & ~other).astype(np.int64)
+        m, k = np.minimum(n, o), np.minimum(lacks(n, x, y), lacks(o, y, x))
+        hi = np.where(np.maximum(w, v) >= 3, 1.0, 2.0 * k / np.maximum(m + k, 1))
+        return np.where((x & y) == 0, 0.0, hi)
+
+    def best(self, refs: list[tuple[str, ...]], cells: list[tuple[str, ...]]) -> list[tuple[int, int, list[float], float]]:
+        """(reference, cell, similarities, score) of each reference's cell: the first that scores `full` and more, else the best of `least` and more, the first of equals."""
+        out, step = [], max(1, self.AT_ONCE // max(1, len(cells)))
+        if not cells:
+            return out
+        there, b = self.coded(cells)
+        for k in range(0, len(refs), step):
+            some = refs[k : k + step]
+            here, a = self.coded(some)
+            every = self.upper(a, b)
+            his = [every[here[:, p][:, None], there[:, p][None, :]] for p in range(len(self.weights))]
+            total = sum(w * h for w, h in zip(self.weights, his))
+            rest = total - self.weights[0] * his[0]
+            out += [(k + r, *w) for r, ref in enumerate(some) if (w := self.winner(ref, cells, total[r], rest[r]))]
+        return out
+
+    def winner(self, ref: tuple[str, ...], cells: list[tuple[str, ...]], hi: np.ndarray, rest: np.ndarray) -> tuple[int, list[float], float] | None:
+        def score(c: int, least: float) -> tuple[list[float], float] | None:
+            """Where the first texts allow `least`."""
+            first = self.sim(ref[0], cells[c][0])
+            if self.weights[0] * first + rest[c] < least - self.EPS:
+                return None
+            sims = [first, *[self.sim(x, y) for x, y in zip(ref[1:], cells[c][1:])]]
+            total = self.weights[0] * first
+            for w, v in zip(self.weights[1:], sims[1:]):
+                total += w * v
+            return sims, total
+
+        for c in np.flatnonzero(hi >= self.full - self.EPS).tolist():
+            found = score(c, self.full)
+            if found and found[1] >= self.full:
+                return c, *found
+        if self.full <= self.least:
+            return None
+        best = None
+        open_ = np.flatnonzero(hi >= self.least - self.EPS)
+        for c in open_[np.argsort(-hi[open_], kind="stable")].tolist():
+            if best and hi[c] < best[2] - self.EPS:
+                break
+            found = score(c, best[2] if best else self.least)
+            if found and found[1] >= self.least and (best is None or (-found[1], c) < (-best[2], best[0])):
+                best = c, *found
+        return best
+
+
+def best_cells(pages: DataFrame, texts: tuple[list[str], list[str]], weights: tuple[float, ...], least: float, full: float, schema: StructType) -> DataFrame:
+    """Each reference with its cell on each page (`Cells.best`): the columns of schema, which are those of the page, of its refs and of its cells, and m_0, m_1 and so on and score.
+
+    pages: file_name, page, refs and cells (arrays of structs); texts: the fields of either that are compared, in the weights' order; a missing text is empty."""
+    names = schema.names
+
+    def scan(batches):
+        held = Cells(weights, least, full)
+        for b in batches:
+            sides = []
+            for c, own in zip(("refs", "cells"), texts):
+                col = b.column(b.schema.get_field_index(c))
+                fields = dict(zip([f.name for f in col.type.value_type], col.values.flatten()))
+                rows = list(zip(*[["" if t is None else t for t in fields[t].to_pylist()] for t in own]))
+                sides.append((col.offsets.to_pylist(), fields, rows))
+            (ra, r_fields, refs), (ca, c_fields, cells) = sides
+            found, at = [], []
+            for k in range(b.num_rows):
+                for r, c, sims, total in held.best(refs[ra[k] : ra[k + 1]], cells[ca[k] : ca[k + 1]]):
+                    found.append((ra[k] + r, ca[k] + c, *sims, total))
+                    at.append(k)
+            if not found:
+                continue
+            r, c, *values = zip(*found)
+            own = {n: b.column(b.schema.get_field_index(n)).take(pa.array(at, pa.int64())) for n in ("file_name", "page")}
+            own |= {n: v.take(pa.array(r, pa.int64())) for n, v in r_fields.items()} | {n: v.take(pa.array(c, pa.int64())) for n, v in c_fields.items()}
+            own |= {n: pa.array(v, pa.float64()) for n, v in zip([*[f"m_{i}" for i in range(len(weights))], "score"], values)}
+            yield pa.RecordBatch.from_arrays([own[n] for n in names], names=names)
+
+    return pages.select("file_name", "page", "refs", "cells").mapInArrow(scan, schema)

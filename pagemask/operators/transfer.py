@@ -8,9 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pagemask.functions.geometry import area, coverage, overlap, rect
-from pagemask.functions.similarity import best_windows, cell_bounds, cell_similarity, cell_sketch, indel_ratio, settled_or, token_set_ratio
+from pagemask.functions.similarity import best_cells, best_windows, cell_similarity, indel_ratio, token_set_ratio
 from pagemask.operators.search import find_on_page, text_under_boxes, with_texts
 from pagemask.sources.layout import PAGE, READING, page_text
 
@@ -398,19 +399,17 @@ def containing_cell(boxes: DataFrame, cells: DataFrame) -> DataFrame:
     return hit.groupBy("id", *PAGE, "w", "h").agg(best.alias("c")).select("id", *PAGE, "w", "h", "c.*")
 
 
-#: Slack of bounds against rounding.
-EPS = 1e-9
-
-
-def _sketched(df: DataFrame, prefix: str) -> DataFrame:
-    """df with the sketch _k_<column> of a cell's text and of its neighbours'."""
-    return df.withColumns({f"_k_{prefix}{c}": cell_sketch(F.col(prefix + c)) for c in ("text", *SIDES)})
-
-
-def _settled(bounds: str) -> Column:
-    """The similarity where its bounds meet, else null."""
-    b = F.col(bounds)
-    return F.when(b["lo"] == b["hi"], b["lo"])
+def _best_on_pages(refs: DataFrame, cells: DataFrame, texts: tuple[list[str], list[str]], weights: tuple[float, ...], least: float, full: float, at_once: int = 500) -> DataFrame:
+    """Each reference with its best cell on each of its pages (`best_cells`). References (id, file_name, page and more) and cells meet as one row a page each; a page of more than
+    `at_once` references has several. No pair is a row but the best one."""
+    place = ["table_idx", "row_idx", "col_idx"]
+    own, more = [c for c in refs.columns if c not in PAGE], [c for c in cells.columns if c not in (*PAGE, *place)]
+    dealt = refs.withColumn("_part", F.floor((F.row_number().over(W.partitionBy(*PAGE).orderBy("id")) - 1) / at_once))
+    r = dealt.groupBy(*PAGE, "_part").agg(F.collect_list(F.struct(*own)).alias("refs"))
+    t = cells.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*place, *more))).alias("cells"))
+    types = {f.name: f.dataType for f in [*refs.schema, *cells.schema]}
+    schema = StructType([StructField(c, types[c]) for c in (*PAGE, *own, *place, *more)] + [StructField(c, DoubleType()) for c in [*[f"m_{i}" for i in range(len(weights))], "score"]])
+    return best_cells(r.join(t, PAGE), texts, weights, least, full, schema)
 
 
 def match_cells(refs: DataFrame, target: DataFrame, offset: int = 1) -> DataFrame:
@@ -419,33 +418,19 @@ def match_cells(refs: DataFrame, target: DataFrame, offset: int = 1) -> DataFram
     low, high = min(0, offset), max(0, offset)
     r = refs.select("id", "file_name", F.col("page").alias("s_page"), F.col("text").alias("r_text"), *[F.col(s).alias("r_" + s) for s in SIDES])
     r = r.withColumn("page", F.explode(F.sequence(F.greatest(F.lit(1), F.col("s_page") + low), F.col("s_page") + high)))
-    r, t = _sketched(r, "r_"), _sketched(_neighbours(target), "")
-    parts = ("text", *SIDES)
-    j = r.join(t, PAGE).withColumns({f"_b_{c}": cell_bounds(F.col(f"_k_r_{c}"), F.col(f"_k_{c}")) for c in parts}).drop(*[f"_k_{p}{c}" for p in ("r_", "") for c in parts])
-
-    def total(of):
-        return 5.0 * of("text") + of("up") + of("down") + of("left") + of("right")
-
-    j = j.withColumns({e: total(lambda c: F.col(f"_b_{c}")[e]) for e in ("lo", "hi")}).filter(F.col("hi") >= 3.5 - EPS)
-    place = F.struct("page", "table_idx", "row_idx", "col_idx")
-    each = W.partitionBy("id")
-    j = j.withColumns({"_first": F.min(F.when(F.col("lo") >= 8.0, place)).over(each), "_best": F.max("lo").over(each)})
-    j = j.filter(F.when(F.col("_first").isNotNull(), (place <= F.col("_first")) & (F.col("hi") >= 8.0 - EPS)).otherwise((F.col("hi") >= 8.0 - EPS) | (F.col("hi") >= F.col("_best") - EPS)))
-    j = j.withColumns({f"m_{c}": settled_or(cell_similarity, f"r_{c}", c, _settled(f"_b_{c}")) for c in parts}).drop("lo", "hi", "_first", "_best", *[f"_b_{c}" for c in parts])
-    j = j.withColumn("score", total(lambda c: F.col(f"m_{c}"))).filter("score >= 3.5")
+    parts = ["text", *SIDES]
+    j = _best_on_pages(r, _neighbours(target), ([f"r_{c}" for c in parts], parts), (5.0, 1.0, 1.0, 1.0, 1.0), 3.5, 8.0)
+    j = j.withColumnsRenamed({f"m_{i}": f"m_{c}" for i, c in enumerate(parts)})
     full = F.when(F.col("score") >= 8.0, F.lit(1)).otherwise(0)
-    w = W.partitionBy("id").orderBy(full.desc(), F.when(full == 1, F.lit(0.0)).otherwise(-F.col("score")), place)
+    w = W.partitionBy("id").orderBy(full.desc(), F.when(full == 1, F.lit(0.0)).otherwise(-F.col("score")), F.struct("page", "table_idx", "row_idx", "col_idx"))
     return j.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
 def match_cell_content(boxes: DataFrame, target: DataFrame, pages: int = 2, threshold: float = 0.85) -> DataFrame:
     """The first target cell within `pages` pages whose text is alike to a box's text: id, page, table_idx, row_idx, col_idx."""
     b = boxes.select("id", "file_name", "text", F.explode(F.sequence(F.greatest(F.lit(1), F.col("page") - pages), F.col("page") + pages)).alias("page"))
-    b = b.withColumnRenamed("text", "b_text").withColumn("_k_b", cell_sketch(F.col("b_text")))
-    j = b.join(target.select(*TABLE, "row_idx", "col_idx", "text", cell_sketch(F.col("text")).alias("_k")), PAGE).withColumn("_b", cell_bounds(F.col("_k_b"), F.col("_k"))).drop("_k_b", "_k")
-    place = F.struct("page", "table_idx", "row_idx", "col_idx")
-    j = j.filter(F.col("_b")["hi"] >= threshold - EPS).withColumn("_first", F.min(F.when(F.col("_b")["lo"] >= threshold, place)).over(W.partitionBy("id")))
-    j = j.filter(F.col("_first").isNull() | (place <= F.col("_first"))).withColumn("sim", settled_or(cell_similarity, "b_text", "text", _settled("_b"))).filter(F.col("sim") >= threshold)
+    b = b.withColumnRenamed("text", "b_text")
+    j = _best_on_pages(b, target.select(*TABLE, "row_idx", "col_idx", "text"), (["b_text"], ["text"]), (1.0,), threshold, threshold)
     return j.groupBy("id").agg(F.min(F.struct("page", "table_idx", "row_idx", "col_idx")).alias("c")).select("id", "c.*")
 
 
