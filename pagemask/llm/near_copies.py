@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from pagemask.llm.common import id_and_text, join_hot, materialize, portions
 from pagemask.llm.components import components
-from pagemask.llm.simhash import first_of_each
+from pagemask.llm.simhash import fingerprints, first_of_each, links
 
 BANDS = 40
 ROWS = 5
@@ -213,12 +213,27 @@ def _rest(members: DataFrame, found: DataFrame) -> DataFrame:
     return left.unionByName(right).select(F.xxhash64("bucket", "l", "r").alias("block"), "right", "node", "comp")
 
 
-def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _sim_members(docs: DataFrame, sketches: DataFrame, errors: int, id_col: str, text_col: str) -> DataFrame:
+    """node, th and bucket, each once: the shingle sets of texts whose SimHash fingerprints are linked by the trie join, over any number of links; bucket names
+    the component of fingerprints. Components of one set are left out."""
+    prints = materialize(fingerprints(docs, id_col=id_col, text_col=text_col).dropDuplicates(["th"]).select("th", "fp"), "prints")
+    roots = components(links(prints.select("fp").distinct(), errors))
+    rooted = prints.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("th").alias("_th"), F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("bucket"))
+    # sketches has one row of each set here
+    return sketches.join(rooted, F.col("th") == F.col("_th")).select("node", "th", "bucket")
+
+
+def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", errors: int | None = None) -> DataFrame:
     """doc_id, th and root (the shingle set that names the component): rows whose shingle sets have a Jaccard similarity of `least`
     and more are linked, and links are followed. One row per input row; null and empty texts are equal. Other columns aren't read.
+
+    errors: texts whose SimHash fingerprints the trie join links at so many differing bits (`simhash.links`) are candidates as well, besides those of the bands; None: only these.
     """
     sketches = materialize(_sketches(docs, words, id_col, text_col), "sketches")
-    rows = sketches.dropDuplicates(["node"]).select("node", "th", F.explode("keys").alias("bucket"))
+    each = sketches.dropDuplicates(["node"])
+    rows = each.select("node", "th", F.explode("keys").alias("bucket"))
+    if errors is not None:
+        rows = rows.unionByName(_sim_members(docs, each, errors, id_col, text_col))
     members = materialize(_bucketed(rows), "members")
     sets = materialize(_sets(docs, members.select("th").distinct(), words, id_col, text_col), "sets")
     star = materialize(_verified(_stars(members), sets, least), "star-links")
@@ -229,6 +244,6 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str
     return sketches.join(found, F.col("node") == F.col("_node"), "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
 
 
-def without_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", errors: int | None = None) -> DataFrame:
     """docs with one row of each component: that of the smallest id (null last), of one id that of the smallest text hash."""
-    return first_of_each(docs, near_copies(docs, words, least, id_col, text_col), id_col, text_col)
+    return first_of_each(docs, near_copies(docs, words, least, id_col, text_col, errors), id_col, text_col)
