@@ -222,12 +222,6 @@ def cell_bounds(a: Column, b: Column) -> Column:
     )
 
 
-def settled_or(score, a: str, b: str, known: Column) -> Column:
-    """known where it isn't null, else `score` of two text columns (null is empty); Python looks at no other pair."""
-    open_ = lambda c: F.when(known.isNull(), F.coalesce(c, F.lit("")))
-    return F.coalesce(known, score(open_(a), open_(b)))
-
-
 class Cells:
     """Cells of a page, each of one text or more, in order, against which references of as many texts are held. A pair's score is the sum of its weighted similarities.
 
