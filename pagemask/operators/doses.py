@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemask.functions.geometry import rect
-from pagemask.functions.text import clean_token
+from pagemask.functions.text import clean_token, let
 from pagemask.sources.layout import PAGE, READING
 
 # Units, number forms, structural references and clinical keywords.
@@ -49,8 +49,9 @@ def not_structural(context: Column) -> Column:
 
 
 def has_dose_keyword(context: Column) -> Column:
-    """Whether any keyword occurs in the context, also within words."""
-    return F.exists(F.array(*[F.lit(k) for k in KEYWORDS]), lambda k: F.contains(F.lower(context), k))
+    """Whether any keyword occurs in the context, also within words. The context is made and lowered once, not for each keyword; a keyword that holds another one is found by that."""
+    least = [k for k in KEYWORDS if not any(o != k and o in k for o in KEYWORDS)]
+    return let(F.lower(context), lambda c: F.exists(F.array(*[F.lit(k) for k in least]), lambda k: F.contains(c, k)))
 
 
 def dose_matches(words: DataFrame, n: int = 8) -> DataFrame:
