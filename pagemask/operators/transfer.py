@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pagemask.functions.geometry import area, coverage, overlap, rect
-from pagemask.functions.similarity import best_cells, best_windows, cell_similarity, indel_ratio, token_set_ratio
+from pagemask.functions.grids import table_scores
+from pagemask.functions.similarity import best_cells, best_windows, indel_ratio, token_set_ratio
 from pagemask.operators.search import find_on_page, text_under_boxes, with_texts
 from pagemask.sources.layout import PAGE, READING, page_text
 
@@ -294,38 +295,7 @@ def match_tables(source: DataFrame, target: DataFrame, pages: int = 2, variant:
     """
     weights, threshold = ((0.30, 0.30, 0.25, 0.15), 0.40) if variant == "newer" else ((0.50, 0.25, 0.15, 0.10), 0.65)
 
-    def near(a, b):
-        return F.greatest(F.lit(0.0), 1.0 - F.abs(F.col(a) - F.col(b)) / 5.0)
-
-    # A source table is one row with its first row's and its key cells. It goes to the pages of its window once and meets the target's cells there, by page only: they stay
-    # where they are. The first cell of a target table holds the pair if nothing else does.
-    blank = lambda c: F.coalesce(c, F.lit(""))
-    entry = F.struct(F.when(F.col("key"), 0).otherwise(1).alias("later"), F.col("row_idx").alias("row"), F.col("col_idx").alias("col"), "key", (F.col("row_idx") == 0).alias("head"), blank("text").alias("s_text"), *[F.col(c).alias("s_" + c) for c in SIDES])
-    s = _key_cells(source).groupBy(*TABLE).agg(F.max("rows").alias("s_rows"), F.max("cols").alias("s_cols"), F.array_sort(F.collect_list(F.when(F.col("key") | (F.col("row_idx") == 0), entry))).alias("entries"))
-    s = s.withColumn("entries", F.transform("entries", lambda e, i: e.withField("later", i)))
-    s = _window(s.withColumnRenamed("table_idx", "s_table"), pages, ["file_name", "page", "s_page", "s_table", "s_rows", "s_cols", "entries"]).repartition(*PAGE)
-    t = _key_cells(target).withColumn("lead", F.row_number().over(W.partitionBy(*TABLE).orderBy("row_idx", "col_idx")) == 1)
-    t = t.select(*PAGE, "table_idx", "row_idx", "col_idx", "rows", "cols", "text", *SIDES, "lead")
-    here = lambda e: (e["row"] == F.col("row_idx")) & (e["col"] == F.col("col_idx"))
-    met = F.filter("entries", here)
-    pair = s.join(t, PAGE).withColumn("met", met).filter("lead OR size(met) > 0").withColumn("structure", (near("s_cols", "cols") + near("s_rows", "rows")) / 2)
-    key = ["file_name", "s_page", "s_table", "page", "table_idx"]
-    keys = F.size(F.filter("entries", lambda e: e["key"])).alias("keys")
-    cells = pair.select(*key, "structure", keys, "text", *SIDES, F.inline_outer("met"))
-    first = F.col("head")
-    a, b = F.trim("s_text"), F.trim(blank("text"))
-    cells = cells.withColumns({"a": F.when(first, a), "b": F.when(first, b)})
-    both = F.when((F.col("a") == "") & (F.col("b") == ""), 1.0).when((F.col("a") == "") | (F.col("b") == ""), 0.0).otherwise(indel_ratio("a", "b") / 100.0)
-    sims = {f"m_{c}": cell_similarity(F.when(F.col("key"), blank("s_" + c)), blank(c)) for c in ("text", *SIDES)}
-    cells = cells.withColumns({"both": both, **sims})
-    there = [F.when(F.col("s_" + c).isNotNull() & F.col(c).isNotNull(), 1).otherwise(0) for c in SIDES]
-    good = [F.when(F.col("s_" + c).isNotNull() & F.col(c).isNotNull() & (F.col("m_" + c) > 0.85), 1).otherwise(0) for c in SIDES]
-    score = 0.5 * F.when(F.col("m_text") > 0.85, 1.0).otherwise(0.0) + 0.5 * F.coalesce(F.try_divide(sum(good[1:], good[0]), sum(there[1:], there[0])), F.lit(0.0))
-    own_key = F.col("key")
-    # a key cell without a cell at its place counts as unlike
-    missing = F.max("keys") - F.coalesce(F.bit_count(F.bit_or(F.when(own_key, F.expr("shiftleft(1L, later)")))), F.lit(0))
-    adjacency = F.try_divide(F.sum(F.when(own_key, score)), F.count(F.when(own_key, 1)) + missing)
-    out = cells.groupBy(*key).agg(F.first("structure").alias("structure"), F.avg(F.when(first, F.col("both"))).alias("headers"), adjacency.alias("adjacency")).fillna({"headers": 1.0, "adjacency": 0.0})
+    out = table_scores(source, target, pages)
     for titles, own, name in ((source_titles, ["file_name", "s_page", "s_table"], "s_title"), (target_titles, TABLE, "t_title")):
         if titles is None:
             out = out.withColumn(name, F.lit(None).cast("string"))
