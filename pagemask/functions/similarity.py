@@ -317,35 +317,3 @@ class Cells:
             if found and found[1] >= self.least and (best is None or (-found[1], c) < (-best[2], best[0])):
                 best = c, *found
         return best
-
-
-def best_cells(pages: DataFrame, texts: tuple[list[str], list[str]], weights: tuple[float, ...], least: float, full: float, schema: StructType) -> DataFrame:
-    """Each reference with its cell on each page (`Cells.best`): the columns of schema, which are those of the page, of its refs and of its cells, and m_0, m_1 and so on and score.
-
-    pages: file_name, page, refs and cells (arrays of structs); texts: the fields of either that are compared, in the weights' order; a missing text is empty."""
-    names = schema.names
-
-    def scan(batches):
-        held = Cells(weights, least, full)
-        for b in batches:
-            sides = []
-            for c, own in zip(("refs", "cells"), texts):
-                col = b.column(b.schema.get_field_index(c))
-                fields = dict(zip([f.name for f in col.type.value_type], col.values.flatten()))
-                rows = list(zip(*[["" if t is None else t for t in fields[t].to_pylist()] for t in own]))
-                sides.append((col.offsets.to_pylist(), fields, rows))
-            (ra, r_fields, refs), (ca, c_fields, cells) = sides
-            found, at = [], []
-            for k in range(b.num_rows):
-                for r, c, sims, total in held.best(refs[ra[k] : ra[k + 1]], cells[ca[k] : ca[k + 1]]):
-                    found.append((ra[k] + r, ca[k] + c, *sims, total))
-                    at.append(k)
-            if not found:
-                continue
-            r, c, *values = zip(*found)
-            own = {n: b.column(b.schema.get_field_index(n)).take(pa.array(at, pa.int64())) for n in ("file_name", "page")}
-            own |= {n: v.take(pa.array(r, pa.int64())) for n, v in r_fields.items()} | {n: v.take(pa.array(c, pa.int64())) for n, v in c_fields.items()}
-            own |= {n: pa.array(v, pa.float64()) for n, v in zip([*[f"m_{i}" for i in range(len(weights))], "score"], values)}
-            yield pa.RecordBatch.from_arrays([own[n] for n in names], names=names)
-
-    return pages.select("file_name", "page", "refs", "cells").mapInArrow(scan, schema)

@@ -8,11 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pagemask.functions.geometry import area, coverage, overlap, rect
-from pagemask.functions.grids import table_scores
-from pagemask.functions.similarity import best_cells, best_windows, indel_ratio, token_set_ratio
+from pagemask.functions.grids import anchors, best_cells, first_alike, holding, refs_by_page, table_scores
+from pagemask.functions.similarity import best_windows, indel_ratio, token_set_ratio
 from pagemask.operators.search import find_on_page, text_under_boxes, with_texts
 from pagemask.sources.layout import PAGE, READING, page_text
 
@@ -96,6 +95,8 @@ def text_coverage(boxes: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def table_bounds(cells: DataFrame) -> DataFrame:
+    if "cells" in cells.columns:  # one row a table
+        return cells.select(*TABLE, *[f(f"cells.{c}").alias(c) for f, c in ((F.array_min, "x0"), (F.array_min, "y0"), (F.array_max, "x1"), (F.array_max, "y1"))])
     return cells.groupBy(*TABLE).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
@@ -326,33 +327,18 @@ def transfer_relative(boxes: DataFrame) -> DataFrame:
 def anchor_cells(source: DataFrame, target: DataFrame, matches: DataFrame) -> DataFrame:
     """The best anchor of each matched table: the key cell with equal content (2) and equal neighbours (1 each), 2 at least, case ignored;
     the first of equals. file_name, s_page, s_table, dx, dy (the anchor's shift) and anchor (its score)."""
-    cell = F.struct(F.col("row_idx").alias("row"), F.col("col_idx").alias("col"), *[F.col(c).alias("s_" + c) for c in ("text", *SIDES, "x0", "y0")])
-    s = _key_cells(source).groupBy("file_name", F.col("page").alias("s_page"), F.col("table_idx").alias("s_table")).agg(F.collect_list(F.when(F.col("key"), cell)).alias("cells"))
-    # key cells go to the page of their table's match, one row a table, and meet the target's cells there, which stay where they are
-    keys = matches.join(s, ["file_name", "s_page", "s_table"]).select("s_page", "s_table", *PAGE, F.transform("cells", lambda c: c.withField("table", F.col("table_idx"))).alias("cells")).repartition(*PAGE)
-    here = lambda c: (c["table"] == F.col("table_idx")) & (c["row"] == F.col("row_idx")) & (c["col"] == F.col("col_idx"))
-    t = _neighbours(target).select(*PAGE, "table_idx", "row_idx", "col_idx", "text", "x0", "y0", *SIDES)
-    j = keys.join(t, PAGE).select("file_name", "s_page", "s_table", *[c for c in t.columns if c not in PAGE], F.inline(F.filter("cells", here)))
-    plain = lambda c: F.lower(F.trim(c))
-    total = F.when(plain(F.coalesce("text", F.lit(""))) == plain(F.coalesce("s_text", F.lit(""))), 2).otherwise(0)
-    for c in SIDES:
-        total = total + F.when(F.coalesce((F.length(c) > 0) & (plain(c) == plain(f"s_{c}")), F.lit(False)), 1).otherwise(0)
-    j = j.withColumn("anchor", total).filter(F.col("anchor") >= 2)
-    best = F.max_by(F.struct((F.col("x0") - F.col("s_x0")).alias("dx"), (F.col("y0") - F.col("s_y0")).alias("dy"), "anchor"), F.struct("anchor", -F.col("row_idx"), -F.col("col_idx")))
-    return j.groupBy("file_name", "s_page", "s_table").agg(best.alias("b")).select("file_name", "s_page", "s_table", "b.*")
+    best = F.max_by(F.struct("dx", "dy", "anchor"), F.struct("anchor", -F.col("row"), -F.col("col")))
+    return anchors(source, target, matches).filter("anchor IS NOT NULL").groupBy("file_name", "s_page", "s_table").agg(best.alias("b")).select("file_name", "s_page", "s_table", "b.*")
 
 
 def transfer_anchored(boxes: DataFrame, source: DataFrame, target: DataFrame, matches: DataFrame) -> DataFrame:
     """id, file_name, page, x, y, w, h, how: boxes (with table_idx) carried to the matched table by its anchor's shift, or else to the same
     place in its bounds; boxes of tables without a match, or without an anchor in a degenerate table, have no row."""
-
-    def bounds(cells: DataFrame, p: str, own: list[str]) -> DataFrame:
-        return table_bounds(cells).select(*[F.col(a).alias(b) for a, b in zip(TABLE, own)], *[F.col(c).alias(p + c) for c in ("x0", "y0", "x1", "y1")])
-
-    own = ["file_name", "s_page", "s_table"]
-    b = boxes.select("id", "file_name", F.col("page").alias("s_page"), F.col("table_idx").alias("s_table"), "x", "y", "w", "h").join(matches, own)
-    b = b.join(anchor_cells(source, target, matches), own, "left")
-    b = b.join(bounds(source, "s", own), own, "left").join(bounds(target, "t", TABLE), TABLE, "left")
+    # boxes meet what is known of a page's tables there, and stay where they are
+    m = anchors(source, target, matches).withColumnRenamed("s_table", "_table").repartition("file_name", "s_page")
+    best = F.max_by(F.struct("dx", "dy", "anchor"), F.when(F.col("anchor").isNotNull(), F.struct("anchor", -F.col("row"), -F.col("col")))).over(W.partitionBy("file_name", "s_page", "_table"))
+    m = m.withColumn("_best", best).drop("dx", "dy", "anchor").select("*", "_best.*")
+    b = boxes.select("id", "file_name", F.col("page").alias("s_page"), F.col("table_idx").alias("s_table"), "x", "y", "w", "h").join(m, ["file_name", "s_page"]).filter("s_table - _table = 0")
     anchored = F.col("anchor").isNotNull()
     place = F.when(anchored, F.struct((F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "w", "h", F.lit("anchor").alias("how"))).when(
         (F.col("sx1") > F.col("sx0")) & (F.col("sy1") > F.col("sy0")) & F.col("tx0").isNotNull(), F.struct(*_moved(), F.lit("relative").alias("how")))
@@ -361,25 +347,7 @@ def transfer_anchored(boxes: DataFrame, source: DataFrame, target: DataFrame, ma
 
 def containing_cell(boxes: DataFrame, cells: DataFrame) -> DataFrame:
     """id and the cell that shares the most area with a box, with its neighbours, the box's offset in it (dx, dy) and in the neighbours (up_dx and so on)."""
-    c = _prefixed(_neighbours(cells), [*TABLE, "row_idx", "col_idx", "x0", "y0", "x1", "y1", "text", *SIDES, *[f"{s}_{k}" for s in SIDES for k in "xy"]])
-    cut = overlap(*_box(), F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1"))
-    hit = boxes.select("id", *PAGE, "x", "y", "w", "h").join(c, _same_page() & (cut > 0))
-    cell = F.struct(F.col("_table_idx").alias("table_idx"), F.col("_row_idx").alias("row_idx"), F.col("_col_idx").alias("col_idx"), F.col("_text").alias("text"), *[F.col("_" + s).alias(s) for s in SIDES], (F.col("x") - F.col("_x0")).alias("dx"), (F.col("y") - F.col("_y0")).alias("dy"), *[(F.col("_x0") + (F.col("x") - F.col("_x0")) - F.col(f"_{s}_x")).alias(f"{s}_dx") for s in SIDES], *[(F.col("_y0") + (F.col("y") - F.col("_y0")) - F.col(f"_{s}_y")).alias(f"{s}_dy") for s in SIDES])
-    best = F.max_by(cell, F.struct(cut, -F.col("_row_idx"), -F.col("_col_idx")))
-    return hit.groupBy("id", *PAGE, "w", "h").agg(best.alias("c")).select("id", *PAGE, "w", "h", "c.*")
-
-
-def _best_on_pages(refs: DataFrame, cells: DataFrame, texts: tuple[list[str], list[str]], weights: tuple[float, ...], least: float, full: float, at_once: int = 500) -> DataFrame:
-    """Each reference with its best cell on each of its pages (`best_cells`). References (id, file_name, page and more) and cells meet as one row a page each; a page of more than
-    `at_once` references has several. No pair is a row but the best one."""
-    place = ["table_idx", "row_idx", "col_idx"]
-    own, more = [c for c in refs.columns if c not in PAGE], [c for c in cells.columns if c not in (*PAGE, *place)]
-    dealt = refs.withColumn("_part", F.floor((F.row_number().over(W.partitionBy(*PAGE).orderBy("id")) - 1) / at_once))
-    r = dealt.groupBy(*PAGE, "_part").agg(F.collect_list(F.struct(*own)).alias("refs"))
-    t = cells.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*place, *more))).alias("cells"))
-    types = {f.name: f.dataType for f in [*refs.schema, *cells.schema]}
-    schema = StructType([StructField(c, types[c]) for c in (*PAGE, *own, *place, *more)] + [StructField(c, DoubleType()) for c in [*[f"m_{i}" for i in range(len(weights))], "score"]])
-    return best_cells(r.join(t, PAGE), texts, weights, least, full, schema)
+    return holding(boxes, cells)
 
 
 def match_cells(refs: DataFrame, target: DataFrame, offset: int = 1) -> DataFrame:
@@ -389,7 +357,7 @@ def match_cells(refs: DataFrame, target: DataFrame, offset: int = 1) -> DataFram
     r = refs.select("id", "file_name", F.col("page").alias("s_page"), F.col("text").alias("r_text"), *[F.col(s).alias("r_" + s) for s in SIDES])
     r = r.withColumn("page", F.explode(F.sequence(F.greatest(F.lit(1), F.col("s_page") + low), F.col("s_page") + high)))
     parts = ["text", *SIDES]
-    j = _best_on_pages(r, _neighbours(target), ([f"r_{c}" for c in parts], parts), (5.0, 1.0, 1.0, 1.0, 1.0), 3.5, 8.0)
+    j = best_cells(refs_by_page(r), target, [f"r_{c}" for c in parts], (5.0, 1.0, 1.0, 1.0, 1.0), 3.5, 8.0)
     j = j.withColumnsRenamed({f"m_{i}": f"m_{c}" for i, c in enumerate(parts)})
     full = F.when(F.col("score") >= 8.0, F.lit(1)).otherwise(0)
     w = W.partitionBy("id").orderBy(full.desc(), F.when(full == 1, F.lit(0.0)).otherwise(-F.col("score")), F.struct("page", "table_idx", "row_idx", "col_idx"))
@@ -400,14 +368,14 @@ def match_cell_content(boxes: DataFrame, target: DataFrame, pages: int = 2, thre
     """The first target cell within `pages` pages whose text is alike to a box's text: id, page, table_idx, row_idx, col_idx."""
     b = boxes.select("id", "file_name", "text", F.explode(F.sequence(F.greatest(F.lit(1), F.col("page") - pages), F.col("page") + pages)).alias("page"))
     b = b.withColumnRenamed("text", "b_text")
-    j = _best_on_pages(b, target.select(*TABLE, "row_idx", "col_idx", "text"), (["b_text"], ["text"]), (1.0,), threshold, threshold)
+    j = first_alike(refs_by_page(b), target, "b_text", threshold)
     return j.groupBy("id").agg(F.min(F.struct("page", "table_idx", "row_idx", "col_idx")).alias("c")).select("id", "c.*")
 
 
-def reconstruct(matches: DataFrame, refs: DataFrame, source: DataFrame | None = None) -> DataFrame:
+def reconstruct(matches: DataFrame, refs: DataFrame | None = None, source: DataFrame | None = None) -> DataFrame:
     """id, page, x, y, w, h of matched references: the mean of cell origins plus offsets, the centre weighing 5 and each neighbour
-    1; the size stays. refs: rows of containing_cell, which hold their offsets; source isn't read."""
-    j = matches.join(refs.select("id", "w", "h", "dx", "dy", *[f"{k}_d{c}" for k in SIDES for c in "xy"]), "id")
+    1; the size stays. refs: rows of containing_cell, which hold their offsets, or None where matches hold them; source isn't read."""
+    j = matches if refs is None else matches.join(refs.select("id", "w", "h", "dx", "dy", *[f"{k}_d{c}" for k in SIDES for c in "xy"]), "id")
     weight, x, y = F.lit(5.0), 5.0 * (F.col("x0") + F.col("dx")), 5.0 * (F.col("y0") + F.col("dy"))
     for k in SIDES:
         ok = F.col(f"{k}_x").isNotNull() & F.col(f"{k}_dx").isNotNull()

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from pagemask.functions.grids import by_table, table_scores
+from pagemask.functions.grids import by_table, look_up, table_scores
 from pagemask.functions.similarity import cell, indel
 from pagemask.operators import transfer as tr
 from pagemask.plans.detect_queries import cells, dest_cells, tables
@@ -91,3 +91,59 @@ def test_tables_hold_the_cells(spark, moved):
     opened = tables(v, moved).selectExpr("file_name", "page", "table_idx", "inline(cells)").select(*at)
     assert own.select(*at).exceptAll(opened).count() == 0 and opened.count() == own.count()
     assert by_table(own).count() == tables(v, moved).count()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_are_not_ordered_in_rows(spark):
+    """No window over cells or references, on either side: a page's cells are one row."""
+    frame = spark.createDataFrame(odd_grid(3, 1, [(5, 4)]), SCHEMA)
+    boxes = spark.createDataFrame([("b", "f", 1, 0, 65.0, 15.0, 20.0, 9.0, "12345")], "id string, file_name string, page int, table_idx int, x double, y double, w double, h double, text string")
+    matches = spark.createDataFrame([("f", 1, 0, 1, 0)], "file_name string, s_page int, s_table int, page int, table_idx int")
+    refs = tr.containing_cell(boxes, frame)
+    for made in (refs, tr.anchor_cells(frame, frame, matches), tr.match_cell_content(boxes, frame), look_up(boxes.selectExpr("id", "file_name", "page", "table_idx AS t", "1 AS r", "1 AS c"), frame, ("t", "r", "c"))):
+        assert "Window" not in plan_of(made)
+    assert plan_of(tr.match_cells(refs, frame)).count("Window [") == 1  # the best of several pages
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_anchors_are_those_of_all_key_cells(spark, seed):
+    sizes = [(5, 4), (9, 9), (1, 1), (2, 3)]
+    source, target = odd_grid(seed, 1, sizes), odd_grid(seed, 2, sizes) if seed == 1 else odd_grid(seed + 7, 2, sizes[1:])
+    target = [(*r[:5], r[5] + 3.0, *r[6:9], r[9].upper() if r[9] else r[9]) for r in target]
+    pairs = [("f", 1, t, 2, u) for t, u in ((0, 0), (1, 1), (2, 2), (3, 0), (0, 2), (7, 0), (1, 7))]
+    s, t = keyed(source), keyed(target)
+    plain = lambda x: x.strip(" ").lower()
+    want = {}
+    for _, _, st, _, tt in pairs:
+        a, b = s.get((1, st), {}), t.get((2, tt), {})
+        if not a:
+            continue
+        rows, cols = max(r for r, _ in a) + 1, max(c for _, c in a) + 1
+        for k in a:
+            if k in b and ((k[0] in (0, rows - 1) and k[1] in (0, cols - 1)) or k == (rows // 2, cols // 2)):
+                n = 2 * (plain(a[k] or "") == plain(b[k] or ""))
+                for d, e in STEP.values():
+                    x, y = (g.get((k[0] + d, k[1] + e)) for g in (a, b))
+                    n += bool(x is not None and y and plain(x) == plain(y))
+                if n >= 2:
+                    want[st] = max(want.get(st, (0, 0, 0)), (n, -k[0], -k[1]))
+    matches = spark.createDataFrame(pairs, "file_name string, s_page int, s_table int, page int, table_idx int")
+    got = {r.s_table: (r.anchor, r.dx) for r in tr.anchor_cells(spark.createDataFrame(source, SCHEMA), spark.createDataFrame(target, SCHEMA), matches).collect()}
+    assert got == {st: (n, 3.0) for st, (n, *_) in want.items()} and (got or seed > 1)
+
+
+def test_the_first_alike_cell_of_a_page(spark):
+    grid = odd_grid(5, 1, [(6, 4), (6, 4)])
+    texts = [w for *_, w in odd_grid(6, 1, [(6, 4)])]
+    boxes = spark.createDataFrame([(f"b{i}", "f", 1, w) for i, w in enumerate(texts)], "id string, file_name string, page int, text string")
+    want = {}
+    for i, w in enumerate(texts):
+        for f, p, t, r, c, *_, x in sorted(grid, key=lambda g: g[1:5]):
+            if cell(w or "", x or "") >= 0.85:
+                want[f"b{i}"] = (p, t, r, c)
+                break
+    got = {r.id: (r.page, r.table_idx, r.row_idx, r.col_idx) for r in tr.match_cell_content(boxes, spark.createDataFrame(grid, SCHEMA), pages=0).collect()}
+    assert got == want and 5 < len(want)
