@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -138,23 +140,99 @@ def _with_library(chunks: DataFrame, library: DataFrame, most: int) -> DataFrame
     return salted.join(spread.hint("merge"), ["_group", "_salt"]).drop("_group", "_salt")
 
 
-def build_prompts(chunks: DataFrame, contexts: DataFrame, library: DataFrame, role: str = "You review clinical documents for confidential information.", most: int = LIBRARY_CHARS) -> DataFrame:
-    """chunks with library_block and prompt: role, document context, known items, section, page range, text and the form of the reply.
+ROLE = "You review clinical documents for confidential information."
 
-    A library that doesn't fit a prompt (`most` characters) gives a chunk one prompt for each of its blocks; no item is left out, and the replies of all of them are the chunk's.
-    """
-    c = _with_library(chunks.join(contexts, "file_name", "left"), library, most)
+
+def _prompt_ends(role: str) -> tuple[Column, Column]:
+    """What stands in a prompt before the known items, and after them."""
 
     def part(label: str, col: str) -> Column:
         return F.when(F.coalesce(F.length(col), F.lit(0)) > 0, F.concat(F.lit(label + "\n"), col))
 
-    pages = F.format_string("Pages %d to %d", F.col("start_page"), F.col("end_page"))
-    prompt = F.concat_ws(
-        "\n\n", F.lit(role), part("Title pages:", "title_text"), part("Contents:", "toc_text"), part("Outline:", "outline"), part("Known items:", "library"),
-        F.when(F.coalesce(F.length("section_title"), F.lit(0)) > 0, F.concat(F.lit("Section: "), "section_title")), pages, F.col("text"),
+    head = F.concat_ws("\n\n", F.lit(role), part("Title pages:", "title_text"), part("Contents:", "toc_text"), part("Outline:", "outline"))
+    tail = F.concat_ws(
+        "\n\n", F.when(F.coalesce(F.length("section_title"), F.lit(0)) > 0, F.concat(F.lit("Section: "), "section_title")), F.format_string("Pages %d to %d", F.col("start_page"), F.col("end_page")), F.col("text"),
         F.lit('Reply with a JSON array of {"text", "page", "confidence", "category", "justification", "context"}.'),
     )
-    return c.select(*chunks.columns, "library_block", prompt.alias("prompt"))
+    return head, tail
+
+
+def _known(library: Column) -> Column:
+    return F.when(F.coalesce(F.length(library), F.lit(0)) > 0, F.concat(F.lit("Known items:\n"), library))
+
+
+def build_prompts(chunks: DataFrame, contexts: DataFrame, library: DataFrame, role: str = ROLE, most: int = LIBRARY_CHARS) -> DataFrame:
+    """chunks with library_block and prompt: role, document context, known items, section, page range, text and the form of the reply.
+
+    A library that doesn't fit a prompt (`most` characters) gives a chunk one prompt for each of its blocks; no item is left out, and the replies of all of them are the chunk's.
+    """
+    c = _with_library(chunks.join(contexts, "file_name", "left"), library, most)
+    head, tail = _prompt_ends(role)
+    return c.select(*chunks.columns, "library_block", F.concat_ws("\n\n", head, _known(F.col("library")), tail).alias("prompt"))
+
+
+def prompt_digests(chunks: DataFrame, contexts: DataFrame, library: DataFrame, role: str = ROLE, most: int = LIBRARY_CHARS) -> DataFrame:
+    """file_name, start_page, library_block, n and digest: length and SHA-1 of each prompt of `build_prompts`, one row a prompt, without its text.
+
+    All chunks of a library block begin alike: the hash of this beginning is kept, and goes on with each chunk's own end. A chunk is shuffled once for a group of blocks
+    (GROUP_CHARS characters), as there; a task holds the group's blocks and goes through its chunks.
+    """
+    blocks, n = library_blocks(library, most)
+    each = max(1, GROUP_CHARS // most)
+    head, tail = _prompt_ends(role)
+    binary = lambda c: c.cast("binary")
+    c = chunks.join(contexts, "file_name", "left").select("file_name", "start_page", head.alias("head"), tail.alias("tail"))
+    group = F.explode(F.sequence(F.lit(0), F.lit(-(-n // each) - 1))).alias("_group")
+    c = c.select(group, F.pmod(F.xxhash64("file_name", "start_page"), F.lit(SALTS)).cast("int").alias("_salt"), "file_name", "start_page", F.lit(None).cast("int").alias("block"), (F.length("head") + F.length("tail") + 2).alias("n"), binary(F.col("head")).alias("head"), binary(F.col("tail")).alias("tail"))
+    # every number has its row, also one that no item's hash has hit
+    numbers = library.sparkSession.range(n).select(F.col("id").cast("int").alias("block"))
+    known = F.coalesce(F.concat(_known(F.col("library")), F.lit("\n\n")), F.lit(""))
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    b = numbers.join(blocks, "block", "left").select("block", known.alias("known"), F.floor(F.col("block") / each).cast("int").alias("_group"), salt)
+    b = b.select("_group", "_salt", F.lit(None).cast("string").alias("file_name"), F.lit(None).cast("int").alias("start_page"), "block", F.length("known").alias("n"), binary(F.col("known")).alias("head"), F.lit(None).cast("binary").alias("tail"))
+    rows = b.unionByName(c.withColumn("start_page", F.col("start_page").cast("int"))).repartition("_group", "_salt").sortWithinPartitions("_group", "_salt", F.col("block").isNull())
+    names = ["file_name", "start_page", "library_block", "n", "digest"]
+
+    def scan(batches):
+        at, held, first, states = None, [], None, []
+        out: list[list] = [[], [], [], [], []]
+
+        def made():
+            batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()))], names=names)
+            for v in out:
+                v.clear()
+            return batch
+
+        for batch in batches:
+            for g, s, file, page, block, n, head, tail in zip(*[c.to_pylist() for c in batch.columns]):
+                if (g, s) != at:
+                    at, held, first = (g, s), [], None
+                if block is not None:
+                    held.append((block, n, head))
+                    continue
+                if head != first:
+                    begun = hashlib.sha1(head + b"\n\n")
+                    first, states = head, []
+                    for number, length, text in held:
+                        state = begun.copy()
+                        state.update(text)
+                        states.append((number, length, state.copy))
+                digests = []
+                for _, _, copy in states:
+                    state = copy()
+                    state.update(tail)
+                    digests.append(state.hexdigest())
+                out[0] += [file] * len(states)
+                out[1] += [page] * len(states)
+                out[2] += [number for number, _, _ in states]
+                out[3] += [n + length for _, length, _ in states]
+                out[4] += digests
+                if len(out[0]) >= 50_000:
+                    yield made()
+        if out[0]:
+            yield made()
+
+    return rows.mapInArrow(scan, "file_name string, start_page int, library_block int, n int, digest string")
 
 
 def score_chunks(prompts: DataFrame, scorer: Callable[[str], str], parallel: int | None = None) -> DataFrame:
