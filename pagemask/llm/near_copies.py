@@ -204,7 +204,8 @@ def _rest(members: DataFrame, found: DataFrame) -> DataFrame:
     m = members.join(found, "node", "left").select("bucket", "n", "sign", "node", F.coalesce("root", "node").alias("comp"))
     sizes = m.groupBy("bucket", "n", "sign", "comp").agg(F.count("*").alias("size"))
     open_ = sizes.groupBy("bucket", "n", "sign").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.max("size").alias("most"), F.count("*").alias("comps")).filter("comps > 1")
-    open_ = open_.dropDuplicates(["n", "sign"])  # buckets of the same members are one
+    # buckets of the same members are one: the least, as left and right members must take the same one
+    open_ = open_.groupBy("n", "sign").agg(F.min(F.struct("bucket", "main", "most")).alias("b")).select("n", "b.*")
     open_ = open_.select("bucket", "main", F.ceil((F.col("n") - F.col("most")) / LEFT).cast("int").alias("lefts"), F.ceil(F.col("n") / RIGHT).cast("int").alias("rights"))
     m = m.select("bucket", "node", "comp").join(open_, "bucket")
     own = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
